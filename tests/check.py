@@ -62,6 +62,9 @@ def main(folder: str, wanted: list[str]) -> int:
     con = connect(folder)
     queries, sql = e.queries(), e.oracle_sql()
     bad = 0
+    if len(wanted) == 1 and wanted[0].startswith("from:"):
+        every = list(queries)
+        wanted = every[every.index(wanted[0][5:]) :]
     for name in wanted or queries:
         start = time.time()
         try:

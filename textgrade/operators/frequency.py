@@ -24,36 +24,45 @@ def last_wins(dictionary: DataFrame, key: str, row: Sequence[str]) -> DataFrame:
     return dictionary.groupBy(key).agg(newest).select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-def form_counts(tokens: DataFrame, form: str) -> DataFrame:
-    """How often each document uses each form: ``doc_id, form, n``."""
-    return tokens.select("doc_id", F.col(form).alias("form")).groupBy("doc_id", "form").agg(F.count("*").alias("n"))
+def form_counts(tokens: DataFrame) -> DataFrame:
+    """How often each document uses each word form and lemma: ``doc_id, text, lemma, n``.
+
+    The one heavy shuffle of the lookups. Dictionary, word and lemma lookups all read its result;
+    for that its keys are never NULL (a missing form is the empty string), or else every reader
+    would push a filter of its own below the shuffle.
+    """
+    keys = ["doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lemma")]]
+    return tokens.select(*keys).groupBy("doc_id", "text", "lemma").agg(F.count("*").alias("n"))
 
 
-def dictionary_from_counts(counts: DataFrame, min_freq: int = 1) -> DataFrame:
+def dictionary_from_counts(counts: DataFrame, form: str, min_freq: int = 1) -> DataFrame:
     """Dictionary ``form, freq, rank`` of a collection; rarer forms than ``min_freq`` are left out."""
-    totals = counts.groupBy("form").agg(F.sum("n").alias("freq")).where(F.col("freq") >= min_freq)
+    totals = counts.groupBy(F.col(form).alias("form")).agg(F.sum("n").alias("freq"))
+    totals = totals.where(F.when(F.col("form") == "", F.lit(False)).otherwise(F.col("freq") >= min_freq))
     return count_rank(totals, "freq").select("form", "freq", "rank")
 
 
-def look_up(counts: DataFrame, dictionary: DataFrame, head_rows: int = HEAD_ROWS) -> DataFrame:
+def look_up(counts: DataFrame, form: str, dictionary: DataFrame, head_rows: int = HEAD_ROWS) -> DataFrame:
     """Inner join of ``counts`` with a dictionary of any size.
 
     Word use is so uneven that joining on the form would send the commonest word of every document
     to one task. The ``head_rows`` commonest entries are therefore broadcast, a fixed number of rows,
     and only the rest, where no form is common any more, is joined by key.
     """
+    used = counts.select("doc_id", F.col(form).alias("form"), "n")
     entries = dictionary.select("form", "freq", "rank")
     head = F.broadcast(entries.orderBy(F.desc("freq"), "form").limit(head_rows))
-    common = counts.join(head, "form")
-    rare = counts.join(F.broadcast(head.select("form")), "form", "left_anti").join(entries, "form")
+    tried = used.join(head, "form", "left")
+    common = tried.where(F.col("freq").isNotNull())
+    rare = tried.where(F.col("freq").isNull()).select("form", "doc_id", "n").join(entries, "form")
     return common.unionByName(rare)
 
 
-def frequency_features(counts: DataFrame, dictionary: DataFrame, prefix: str) -> DataFrame:
+def frequency_features(counts: DataFrame, form: str, dictionary: DataFrame, prefix: str) -> DataFrame:
     """Mean and lowest frequency, mean and highest rank per document over the forms found."""
     hits = F.sum("n")
     return (
-        look_up(counts, dictionary)
+        look_up(counts, form, dictionary)
         .groupBy("doc_id")
         .agg(
             (F.sum(F.col("n") * F.col("freq")) / hits).alias(f"mean_{prefix}_freq"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("document_features",)
+MODULES = ("document_features", "corpus")
 
 
 def load_all():

@@ -307,9 +307,8 @@ looked_{prefix} AS (SELECT doc_id,
   FROM counts_{form} JOIN dict_{form} USING (form) GROUP BY doc_id)"""
 
 
-def _frequency(tokens: DataFrame, form: str, prefix: str) -> DataFrame:
-    counts = frequency.form_counts(tokens, form)
-    return frequency.frequency_features(counts, frequency.dictionary_from_counts(counts, MIN_FREQ), prefix)
+def _frequency(counts: DataFrame, form: str, prefix: str) -> DataFrame:
+    return frequency.frequency_features(counts, form, frequency.dictionary_from_counts(counts, form, MIN_FREQ), prefix)
 
 
 _FREQ_NAMES = {p: [f"{m}_{p}_{w}" for w, ms in (("freq", ("mean", "min")), ("rank", ("mean", "max"))) for m in ms] for p in ("lemma", "word")}
@@ -317,7 +316,7 @@ _FREQ_NAMES = {p: [f"{m}_{p}_{w}" for w, ms in (("freq", ("mean", "min")), ("ran
 for _prefix, _form in (("lemma", "lemma"), ("word", "text")):
 
     def _run(spark: SparkSession, folder: str, form: str = _form, prefix: str = _prefix, only: str | None = None) -> DataFrame:
-        feats = _frequency(annotate.tokenize(documents(spark, folder)), form, prefix)
+        feats = _frequency(frequency.form_counts(annotate.tokenize(documents(spark, folder))), form, prefix)
         return feats.select("doc_id", *[rounded(c).alias(c) for c in ([only] if only else _FREQ_NAMES[prefix])])
 
     def _sql(columns: list[str], form: str = _form, prefix: str = _prefix) -> str:
@@ -329,8 +328,8 @@ for _prefix, _form in (("lemma", "lemma"), ("word", "text")):
         register(_column, lambda s, f, run=_run, c=_column: run(s, f, only=c), _sql([_column]))
 
     def _dictionary(spark: SparkSession, folder: str, form: str = _form) -> DataFrame:
-        counts = frequency.form_counts(annotate.tokenize(documents(spark, folder)), form)
-        return frequency.dictionary_from_counts(counts, MIN_FREQ)
+        counts = frequency.form_counts(annotate.tokenize(documents(spark, folder)))
+        return frequency.dictionary_from_counts(counts, form, MIN_FREQ)
 
     register(
         f"{_prefix}_dictionary",
@@ -384,10 +383,11 @@ def feature_table(df: DataFrame) -> DataFrame:
     """All 44 features with name, group and label; a document without words keeps its row."""
     named = groups.with_groups(named_documents(df.select("doc_id", "lang", "source")))
     tokens = annotate.annotate_rules(df)
+    counts = frequency.form_counts(annotate.tokenize(df))
     parts = [
         features.document_features(tokens, features.TOKEN_FEATURE_NAMES),
-        _frequency(tokens, "lemma", "lemma"),
-        _frequency(tokens, "text", "word"),
+        _frequency(counts, "lemma", "lemma"),
+        _frequency(counts, "text", "word"),
     ]
     joined = reduce(lambda left, right: left.join(right, "doc_id", "left"), parts, named)
     return joined.select("doc_id", "name", *features.FEATURE_NAMES, "group", "label")

@@ -89,10 +89,10 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a table that comes in fewer files than there are cores.
+    """Spread a table that comes in fewer files than there are cores over all of them.
 
     Per-document work is far dearer than reading, and one small file is one task however many
-    executors wait. Tables of many files are left as they are.
+    executors wait. Tables of many files are left as they are, and the plan above stays the same.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, F.xxhash64(key)) if len(df.inputFiles()) < cores else df
