@@ -19,26 +19,42 @@ def _stack(df: DataFrame, keys: Sequence[str], rows: Sequence[Column]) -> DataFr
     return exploded.select(*keys, "_r.*")
 
 
-def confusion(df: DataFrame, by: Sequence[str] = (), labels: Sequence[int] = CLASSES) -> DataFrame:
+def _total(condition: Column, weight: str | None) -> Column:
+    """Rows that meet a condition; of counted rows, the sum of their counts."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0).cast("long"))
+
+
+def confusion(
+    df: DataFrame, by: Sequence[str] = (), labels: Sequence[int] = CLASSES, weight: str | None = None
+) -> DataFrame:
     """Confusion matrix per key with every label of the fixed set: ``by, label, pred_0, pred_1, …``."""
     cells = [
-        F.count_if((F.col("label") == a) & (F.col("prediction") == b)).alias(f"_{a}_{b}") for a in labels for b in labels
+        _total((F.col("label") == a) & (F.col("prediction") == b), weight).alias(f"_{a}_{b}") for a in labels for b in labels
     ]
     rows = [F.struct(F.lit(a).alias("label"), *[F.col(f"_{a}_{b}").alias(f"pred_{b}") for b in labels]) for a in labels]
     return _stack(df.groupBy(*by).agg(*cells), by, rows)
 
 
 def class_scores(
-    df: DataFrame, by: Sequence[str] = (), labels: Sequence[int] = CLASSES, zero_division: float | None = None
+    df: DataFrame,
+    by: Sequence[str] = (),
+    labels: Sequence[int] = CLASSES,
+    zero_division: float | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Precision, recall, F1 and support per class: one aggregation, whatever the number of keys."""
+    """Precision, recall, F1 and support per class: one aggregation, whatever the number of keys.
+
+    With ``weight`` each row stands for that many predictions.
+    """
     counts = []
     for c in labels:
         truth, guess = F.col("label") == c, F.col("prediction") == c
         counts += [
-            F.count_if(truth & guess).alias(f"_tp{c}"),
-            F.count_if(guess).alias(f"_pred{c}"),
-            F.count_if(truth).alias(f"_true{c}"),
+            _total(truth & guess, weight).alias(f"_tp{c}"),
+            _total(guess, weight).alias(f"_pred{c}"),
+            _total(truth, weight).alias(f"_true{c}"),
         ]
     rows = [
         F.struct(
@@ -59,26 +75,30 @@ def class_scores(
         share(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"),
         "support",
         "predicted",
+        "tp",
     )
 
 
 def weighted_scores(
-    df: DataFrame, by: Sequence[str] = (), labels: Sequence[int] = CLASSES, zero_division: float | None = None
+    df: DataFrame,
+    by: Sequence[str] = (),
+    labels: Sequence[int] = CLASSES,
+    zero_division: float | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Support-weighted precision, recall, F1 and accuracy per key."""
-    scores = class_scores(df, by, labels, zero_division)
+    scores = class_scores(df, by, labels, zero_division, weight)
 
     def weighted(m: str) -> Column:
         defined = F.sum(F.when(F.col(m).isNotNull(), F.col("support")))
         return F.try_divide(F.sum(F.col(m) * F.col("support")), defined).alias(m)
 
-    right = F.sum(F.coalesce(F.col("recall"), F.lit(0.0)) * F.col("support"))
     return scores.groupBy(*by).agg(
         weighted("precision"),
         weighted("recall"),
         weighted("f1"),
         F.sum("support").alias("support"),
-        F.try_divide(F.round(right), F.sum("support")).alias("accuracy"),
+        F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("accuracy"),
     )
 
 
@@ -105,7 +125,7 @@ def classification_report(df: DataFrame, by: Sequence[str] = (), labels: Sequenc
     def by_support(m: str) -> Column:
         return F.try_divide(F.sum(F.col(m) * weight), F.sum(weight))
 
-    accuracy = F.try_divide(F.round(F.sum(F.col("recall") * weight)), F.sum(weight))
+    accuracy = F.try_divide(F.sum("tp").cast("double"), F.sum(weight))
     summary = scores.groupBy(*by).agg(
         *[F.avg(m).alias(f"_m_{m}") for m in ("precision", "recall", "f1")],
         *[by_support(m).alias(f"_w_{m}") for m in ("precision", "recall", "f1")],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("document_features", "corpus")
+MODULES = ("document_features", "corpus", "modelling")
 
 
 def load_all():
