@@ -31,6 +31,7 @@ def form_counts(tokens: DataFrame) -> DataFrame:
     for that its keys are never NULL (a missing form is the empty string), or else every reader
     would push a filter of its own below the shuffle.
     """
+    tokens = tokens.where(F.col("doc_id").isNotNull())
     keys = ["doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lemma")]]
     return tokens.select(*keys).groupBy("doc_id", "text", "lemma").agg(F.count("*").alias("n"))
 

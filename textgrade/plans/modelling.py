@@ -455,6 +455,6 @@ register(
     _sliced,
     f"""WITH {BASE_SQL}, spread AS (SELECT d, round(var_pop(v), 9) AS variance FROM
   (SELECT unnest(x) AS v, unnest(range(1, 65)) AS d FROM part) GROUP BY d),
-best AS (SELECT list(d ORDER BY variance DESC, d) AS at FROM (SELECT * FROM spread ORDER BY variance DESC, d LIMIT 10))
-SELECT id, list_transform(at, lambda i: x[i]) AS top, label, grp AS "group" FROM part, best""",
+best AS (SELECT list(d ORDER BY variance DESC, d) AS picked FROM (SELECT * FROM spread ORDER BY variance DESC, d LIMIT 10))
+SELECT id, list_transform(picked, lambda i: x[i]) AS top, label, grp AS "group" FROM part, best""",
 )
