@@ -25,19 +25,23 @@ def title_groups(df: DataFrame, seed: int = SEED) -> DataFrame:
 def round_robin_groups(
     df: DataFrame, first: int = THIRD_CLASS_FIRST_GROUP, groups: int = THIRD_CLASS_GROUPS, seed: int = SEED
 ) -> DataFrame:
-    """Third-corpus documents dealt in seeded order over a fixed range of groups: ``name, group``."""
-    third = df.where(title(F.col("name")) == THIRD_CORPUS_TITLE).select("name")
+    """Third-corpus rows with ``group``: dealt in seeded order over a fixed range of groups."""
+    third = df.where(title(F.col("name")) == THIRD_CORPUS_TITLE)
     numbered = number_rows(third, seeded_key("name", seed), out="_n", tie=["name"])
-    return numbered.select("name", (F.lit(first) + F.pmod(F.col("_n") - 1, F.lit(groups))).cast("int").alias("group"))
+    turn = (F.lit(first) + F.pmod(F.col("_n") - 1, F.lit(groups))).cast("int")
+    return numbered.select(*df.columns, turn.alias("group"))
 
 
 def with_groups(df: DataFrame, seed: int = SEED) -> DataFrame:
-    """Add ``group``: by title for books, by turns for the third corpus, NULL for other names."""
+    """Add ``group``: by title for books, by turns for the third corpus, NULL for other names.
+
+    The three kinds are handled apart, so that the third corpus, one title for any number of rows,
+    never meets the join on titles.
+    """
     titled = df.withColumn("title", title(F.col("name")))
-    books = titled.join(title_groups(df, seed), "title", "left").withColumnRenamed("group", "_book")
-    turns = round_robin_groups(df, seed=seed).withColumnRenamed("group", "_turn")
-    joined = books.join(turns, "name", "left")
-    return joined.select(*df.columns, F.coalesce("_book", "_turn").alias("group"))
+    books = titled.where(F.col("title") != THIRD_CORPUS_TITLE).join(title_groups(df, seed), "title").select(*df.columns, "group")
+    others = titled.where(F.col("title").isNull()).select(*df.columns, F.lit(None).cast("int").alias("group"))
+    return books.unionByName(round_robin_groups(df, seed=seed)).unionByName(others)
 
 
 def group_labels(df: DataFrame) -> DataFrame:
@@ -127,11 +131,12 @@ def stratified_group_folds(df: DataFrame, k: int) -> DataFrame:
     main = counts.groupBy("group").agg(
         F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"), F.sum("n").alias("n")
     )
-    place = F.row_number().over(Window.orderBy("main", F.desc("n"), "group")) - 1
-    turn = F.pmod(place, F.lit(2 * k))
-    return main.withColumn("_turn", turn).select(
-        "group", "main", "n", F.when(F.col("_turn") < k, F.col("_turn")).otherwise(2 * k - 1 - F.col("_turn")).cast("int").alias("fold")
-    )
+    # numbered by class, size and group, in buckets of like groups
+    bucket = F.struct("main", -F.col("n"), F.floor(F.col("group") / FOLD_BLOCK))
+    numbered = number_rows(main, F.col("group"), out="_n", bucket=bucket)
+    turn = F.pmod(F.col("_n") - 1, F.lit(2 * k))
+    fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
+    return numbered.select("group", "main", "n", fold.alias("fold"))
 
 
 def lookup_by_group(df: DataFrame, labels: DataFrame, titles: DataFrame) -> DataFrame:

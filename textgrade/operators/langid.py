@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from textgrade.functions.text import split_units
 from textgrade.operators.ingest import reassembled, units
 
-GRAM_SIZES = (1, 2, 3)
-PROFILE_SIZE = 300
+GRAM_SIZES = (3,)
+PROFILE_SIZE = 1000
 FLOOR = 1e-6  # share assumed for a gram missing from a profile
 _NOT_LETTERS = r"(?:[^\p{L}]|[\x{10000}-\x{10FFFF}])+"  # letters of the basic plane are kept
 SCALE = 1_000_000  # weights are whole millionths, so that sums do not depend on their order

@@ -155,6 +155,11 @@ register(
     f"""WITH {NAMED_SQL} SELECT label::INTEGER AS label, name, text FROM named WHERE label <> 2
 UNION ALL (SELECT 2 AS label, name, text FROM named WHERE label = 2 ORDER BY name LIMIT 230)""",
 )
+register(
+    "named_texts",
+    lambda s, f: named_documents(read_table(s, f, "documents")).select("name", "text"),
+    f"WITH {NAMED_SQL} SELECT name, text FROM named",
+)
 register(
     "features_with_text",
     lambda s, f: read_table(s, f, "labels").join(read_table(s, f, "documents").select("doc_id", "text"), "doc_id", "left"),
@@ -231,8 +236,8 @@ SELECT doc_id, string_agg(unit, '' ORDER BY unit_id) AS text FROM lines JOIN fou
 )
 register(
     "reassemble_text",
-    lambda s, f: ingest.reassembled(read_table(s, f, "conversations"), "conv_id", "turn", "text"),
-    "SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
+    lambda s, f: ingest.reassembled(_lines(s, f), "doc_id", "unit_id", "unit"),
+    "SELECT doc_id, text FROM documents",
 )
 
 # --- groups, folds, roles -----------------------------------------------------------------------------
@@ -245,7 +250,7 @@ register(
 )
 register(
     "round_robin_groups",
-    lambda s, f: groups.round_robin_groups(named(s, f)),
+    lambda s, f: groups.round_robin_groups(named(s, f)).select("name", "group"),
     f'WITH {_G} SELECT name, grp::INTEGER AS "group" FROM turn',
 )
 register(
@@ -342,6 +347,11 @@ register(
     f"""WITH {_F}, c AS (SELECT fold, count(*) AS n_val FROM roled WHERE fold <> 0 GROUP BY fold)
 SELECT fold, n_val, (SELECT sum(n_val) FROM c)::BIGINT - n_val AS n_train FROM c""",
 )
+register(
+    "folds_but_one",
+    lambda s, f: groups.create_folds(_slim(s, f)).where("fold not in (0, 1)"),
+    f'WITH {_F} SELECT fold, label, "group" FROM folds WHERE fold NOT IN (0, 1)',
+)
 register(
     "training_groups",
     lambda s, f: groups.training_groups(groups.create_folds(_slim(s, f)), 1),

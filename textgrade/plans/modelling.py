@@ -12,9 +12,10 @@ from textgrade.models import crossval, gnb, knn, reports, selection
 from textgrade.models.moments import class_moments
 from textgrade.models.registry import FOLD_MODELS, MODELS, boosted_forest, boosted_trees, forest
 from textgrade.operators import groups, metrics, sampling
-from textgrade.plans.document_features import documents, feature_table
 from textgrade.operators.features import FEATURE_NAMES
+from textgrade.plans.document_features import documents, feature_table
 from textgrade.plans.registry import register, rounded, sql_rounded
+from textgrade.session import materialize
 from textgrade.sources.tables import read_table
 
 DIMENSIONS = 64
@@ -400,7 +401,7 @@ register("group_cv_models", lambda s, f: metrics.weighted_scores(_group_cv(s, f)
 
 def _feature_cv(spark: SparkSession, folder: str) -> DataFrame:
     """From raw text to scores: the feature table, group folds, and LDA over all folds."""
-    table = feature_table(documents(spark, folder))
+    table = materialize(feature_table(documents(spark, folder)))
     assembled = crossval.assemble(table, FEATURE_NAMES).select(
         F.col("doc_id").alias("id"), vector_to_array("features").alias("features"), "label", "group"
     )
@@ -441,6 +442,16 @@ register(
 )
 
 
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+register(
+    "assembled_vectors",
+    lambda s, f: crossval.assemble(read_table(s, f, "lineitem"), _MEASURES, drop_features=("l_tax",)).select(
+        "l_orderkey", "l_linenumber", vector_to_array("features").alias("features")
+    ),
+    "SELECT l_orderkey, l_linenumber, [l_quantity, l_extendedprice, l_discount] AS features FROM lineitem",
+)
+
+
 def _sliced(spark: SparkSession, folder: str) -> DataFrame:
     """The ten features of largest variance, in that order, as vectors of their own."""
     df = vectors(spark, folder)
