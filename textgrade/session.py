@@ -1,8 +1,9 @@
-"""Session helpers: building a local session and cutting lineage durably."""
+"""Session helpers: a local session, and tables that outlive executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,19 +23,25 @@ def local_session(app: str = "textgrade", cores: int | str = "*", shuffle_partit
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share: ``spark.checkpoint.dir``, or one of its own in a local session."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="textgrade-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+    """Compute ``df`` once, as a Parquet table in the shared folder, and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, so the data outlive any
-    executor. Only a local session without that setting gets a folder of its own.
+    The table outlives any executor, is read by column, and tells the optimizer its size.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="textgrade-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/textgrade-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
