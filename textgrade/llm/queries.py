@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgrade.llm import chat, sharding, simhash
+from textgrade.llm import chat, minhash, sharding, simhash
 from textgrade.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +39,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return minhash.fingerprints_and_edits(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_kd_sharding": op3_kd_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op10_minhash_fingerprints": op10_minhash_fingerprints,
 }
 
 _ESCAPED = "replace(text, chr(92), chr(92) || chr(92))"
