@@ -55,8 +55,9 @@ def kd_shards(
         shards = max(1, -(-total // target_bytes))
     piece = max(1, total // (shards * PIECES))
     heavy = rows.groupBy("digest").agg(F.sum("size").alias("w")).filter(F.col("w") > piece)
+    # fewer rows than shards * PIECES, for their weights add up to no more than the whole
     parts = heavy.select("digest", F.ceil(F.col("w") / piece).alias("parts"))
-    unit_of_row = rows.join(parts, "digest", "left").withColumn(
+    unit_of_row = rows.join(F.broadcast(parts), "digest", "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("doc_id"), "parts"), F.lit(0))
     )
     units = saved(
