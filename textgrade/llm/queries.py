@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgrade.llm import chat, minhash, sharding, simhash
+from textgrade.llm import chat, linededup, minhash, sharding, simhash
 from textgrade.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(turns))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of lines that stood earlier."""
+    out = linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", sha.alias("kept_sha256"))
+
+
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
     docs = read_table(spark, sf_dir, "documents")
@@ -46,6 +53,7 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_line_dedup": op2_line_dedup,
     "op3_kd_sharding": op3_kd_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
@@ -73,4 +81,26 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(body) + CASE WHEN opens THEN length(name) + {len(chat.START) + len(chat.MESSAGE) + len(chat.END)}
     ELSE {len(chat.NEXT)} END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id""",
+    "op2_line_dedup": f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs
+), solid AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), windows AS (
+  SELECT doc_id, pos, lead(line, {linededup.RUN - 1}) OVER w AS final, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY i
+    ROWS BETWEEN CURRENT ROW AND {linededup.RUN - 1} FOLLOWING) AS gram FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), repeated AS (
+  SELECT doc_id, pos FROM windows WHERE final IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) > 1
+), runs AS (
+  SELECT doc_id, pos, pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {linededup.RUN}, 0) AS opens FROM repeated
+), gone AS (
+  SELECT DISTINCT s.doc_id, s.i FROM solid s JOIN repeated r ON s.doc_id = r.doc_id AND s.pos BETWEEN r.pos AND r.pos + {linededup.RUN - 1}
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+)
+SELECT k.doc_id, n_lines, n_removed, coalesce(r.n, 0) AS n_runs, sha256(k.text) AS kept_sha256
+FROM kept k LEFT JOIN (SELECT doc_id, count(*) FILTER (opens) AS n FROM runs GROUP BY doc_id) r ON k.doc_id = r.doc_id""",
 }
