@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgrade.llm import chat, linededup, minhash, sharding, simhash
+from textgrade.llm import bpe, chat, linededup, minhash, sharding, simhash
 from textgrade.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 8
+RANKS, WORDS = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"  # vocabulary files
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +48,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike they are."""
     return minhash.fingerprints_and_edits(read_table(spark, sf_dir, "documents"))
@@ -56,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_kd_sharding": op3_kd_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
 }
 
