@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgrade.llm import bpe, chat, linededup, minhash, sharding, simhash
+from textgrade.llm import bpe, chat, linededup, minhash, packing, sharding, simhash
 from textgrade.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS)))
+
+
 def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike they are."""
     return minhash.fingerprints_and_edits(read_table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op3_kd_sharding": op3_kd_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
 }
 
