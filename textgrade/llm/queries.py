@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgrade.llm import bpe, chat, linededup, minhash, packing, sharding, simhash
+from textgrade.llm import bpe, chat, langid, linededup, minhash, packing, sharding, simhash
 from textgrade.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op8_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model learned from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS)))
@@ -69,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op3_kd_sharding": op3_kd_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_crf_language_id": op8_crf_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
 }
