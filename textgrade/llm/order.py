@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import cell_count, text_bytes
+from textgrade.llm.common import cell_count
 
-CELL_BYTES = 16 << 20
+CELL_BYTES = 64 << 20  # of text in a cell at most, on average
+CELLS_A_PARTITION = 4
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str, cell_bytes: int = CELL_BYTES) -> DataFrame:
@@ -25,7 +26,8 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, cell_bytes: int = CELL
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
-    cells = cell_count(rows, "text", cell_bytes)
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * CELLS_A_PARTITION
+    cells = max(spread, cell_count(rows, "text", cell_bytes))
     marks = ids.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 100 * cells)).first()[0] if cells > 1 else []
     bounds = np.unique(np.array(marks or [], np.int64))
 
@@ -58,7 +60,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, cell_bytes: int = CELL
         "doc_id",
         "text",
     ).select("at.*", "doc_id", "text")
-    return sent.repartition(cells, "cell").sortWithinPartitions("cell", "extra", F.col("doc_id").asc_nulls_first(), F.md5(F.col("text").cast("binary")))
+    return sent.repartition("cell").sortWithinPartitions("cell", "extra", F.col("doc_id").asc_nulls_first(), F.md5(F.col("text").cast("binary")))
 
 
 def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list[str]]]:
