@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgrade.llm import bpe, chat, langid, linededup, minhash, packing, sharding, simhash
+from textgrade.llm import bpe, chat, langid, linededup, minhash, packing, sharding, simhash, suffixdedup
 from textgrade.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of passages that stand in a document with a smaller id."""
+    out = suffixdedup.dedup_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a model learned from those that are not held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op3_kd_sharding": op3_kd_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_crf_language_id": op8_crf_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
