@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgrade.llm import bpe, chat, langid, linededup, minhash, packing, sharding, simhash, suffixdedup
+from textgrade.llm import ann, bpe, chat, langid, linededup, minhash, packing, sharding, simhash, suffixdedup
 from textgrade.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_learned_partitions_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
     "op3_kd_sharding": op3_kd_sharding,
+    "op4_learned_partitions_ann": op4_learned_partitions_ann,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
