@@ -55,16 +55,17 @@ def simhash(text: bytes | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``doc_id, fp`` of every row; a text that is null or has no word gets 0."""
+    """``doc_id, digest, fp`` of every row: id, hash of the text, fingerprint (0 for null and without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((simhash(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    text = F.col(text_col)
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, fp long")
+    return chosen.mapInArrow(run, f"doc_id {kind}, digest long, fp long")
 
 
 def postings(fps: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -193,7 +194,7 @@ def links(fps: DataFrame, max_bits: int = 4, block_size: int = BLOCK) -> DataFra
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4
 ) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row of ``docs``.
+    """``doc_id, digest, fp, component_id`` of every row of ``docs``; ``digest`` is a hash of the text.
 
     A-Z is lower-cased, words are what ASCII white space separates, and a shingle is ``width`` words
     (fewer words: all of them). Fingerprints link at ``max_bits`` differing bits or less;
@@ -207,4 +208,19 @@ def near_duplicates(
     classes = saved(own.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "digest", "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: the smallest id (null last), then hash of the text.
+
+    Of rows equal in id and text one stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, max_bits)
+    # a class without any id has no component id; its fingerprint stands in
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    stays = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row"))
+    stays = stays.select(F.col("row.doc_id").alias("__id"), F.col("row.digest").alias("__digest"))
+    digest = F.xxhash64(F.col(text_col))
+    met = docs.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
+    return met.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
