@@ -264,3 +264,12 @@ def test_shards_are_even_and_whole(spark):
     by_target = sharding.kd_shards(df, sharding.default_dimensions(), target_bytes=20_000).agg(F.countDistinct("shard")).first()[0]
     assert by_target == -(-sum(len((t or "").encode()) + 1 for _, t, *_ in rows) // 20_000)
     assert sharding.kd_shards(df.limit(0), sharding.default_dimensions(), shards=8).count() == 0
+
+
+def test_tokens_with_a_small_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 40)
+    tokens = packing.Tokens(WORDS)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcde!") for _ in range(rng.randint(1, 4))) for _ in range(60)) for _ in range(50)]
+    want = [tokens.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in tokens.encode(texts)] == want and [tokens.encode([t])[0].tolist() for t in texts] == want

@@ -15,7 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from textgrade.llm.common import saved
 
 CAPACITY = 2048
-CACHE = 500_000  # chunks of text kept in the cache of a worker
+CACHE = 1_000_000  # chunks of text kept in the cache of a worker
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the word rule of the vocabulary file
 
 
@@ -76,8 +76,12 @@ class Tokens:
 
 
 def _plain(text: str) -> bool:
-    odd = not text.isascii() and max(text) >= "\u0250"
-    return not odd and "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        if max(text) >= "\u0250":
+            return False
+    return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
 
 
 class _Lists:
@@ -89,16 +93,19 @@ class _Lists:
 
     def get(self, keys: list[str], make) -> tuple[np.ndarray, np.ndarray]:
         """The lists of ``keys`` end to end, and the bounds of each; ``make`` gives those not held."""
-        new = [k for k in set(keys) if k not in self.place]
-        if self.n + len(new) > CACHE:
-            self.place.clear()
-            self.n = 0
-            new = list(set(keys))
-        if len(new) > CACHE:
-            half = len(keys) // 2
-            (a, x), (b, y) = self.get(keys[:half], make), self.get(keys[half:], make)
-            return np.r_[a, b], np.r_[x, y[1:] + len(a)]
-        if new:
+        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(map(keys.__getitem__, missing)))
+            if self.n + len(new) > CACHE:
+                held = self.n
+                self.place.clear()
+                self.n = 0
+                if held:
+                    return self.get(keys, make)
+                half = len(keys) // 2
+                (a, x), (b, y) = self.get(keys[:half], make), self.get(keys[half:], make)
+                return np.r_[a, b], np.r_[x, y[1:] + len(a)]
             flat, bounds = make(new)
             used = self.ends[self.n]
             if used + len(flat) > len(self.ids):
@@ -107,7 +114,7 @@ class _Lists:
             self.ends[self.n + 1 : self.n + 1 + len(new)] = used + bounds[1:]
             self.place.update(zip(new, range(self.n, self.n + len(new))))
             self.n += len(new)
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+            at[missing] = np.fromiter(map(self.place.__getitem__, map(keys.__getitem__, missing)), np.int64, len(missing))
         starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
         bounds = np.r_[0, np.cumsum(sizes)]
         return self.ids[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
@@ -209,7 +216,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     matches = sweep(counts, capacity)
     # ranks: rows of a length are dealt to blocks by hash, the counts of blocks give where each begins
-    blocks = max(1, sum(counts.values()) // 50_000)
+    blocks = max(1, sum(counts.values()) // 5_000)
     dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begin = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
