@@ -35,7 +35,7 @@ def test_csv_sources(spark, tmp_path):
     path = str(tmp_path / "c.csv")
     with open(path, "w", encoding="utf8") as f:
         f.write('label,name,text\n0,a,"line one\nsays ""hi"""\n1,b,_\n1,NA,NA\n')
-    rows = tables.read_csv(spark, path, tables.CORPUS_SCHEMA).collect()
+    rows = tables.read_csv(spark, path, tables.CORPUS_SCHEMA, multi_line=True).collect()
     assert [r["text"] for r in rows] == ['line one\nsays "hi"', None, "NA"] and rows[2]["name"] == "NA"
     assert tables.read_labelled(spark, path, (0, 1)).count() == 3
     with pytest.raises(Exception, match="undeclared label 1"):
@@ -109,7 +109,7 @@ def test_names(spark):
     assert rows[given[0]]["b"] == "title" and [rows[g]["c"] for g in given] == [0, None, None, 1, 0]
     assert (rows["story-b1.txt"]["lv"], rows["story-b1.txt"]["lt"]) == ("b1", "story")
     assert (rows["a1.txt"]["lv"], rows["a1.txt"]["lt"]) == ("a1", "a1.tx")
-    with pytest.raises(Exception, match="wrong number of characters"):
+    with pytest.raises(Exception, match="name of neither corpus"):
         df.select(names.bare_title(n, strict=True)).collect()
     assert spark.range(1).select(names.padded(F.lit(12345), 4).alias("p"), names.padded(F.lit(7), 3).alias("q")).first() == ("12345", "007")
 
@@ -188,7 +188,7 @@ def test_roles_do_not_overlap(spark):
         train = {r["name"] for r in rows if r["role"] == "train"}
         test = {r["name"] for r in groups.with_fold(df, folds).where("fold = 0").collect()}
         assert not val & train and not test & (val | train)
-        three = groups.three_way_split(df, folds, fold, "name").collect()
+        three = groups.three_way_split(df, folds, fold).collect()
         assert {r["name"] for r in three if r["role"] == "train"} == train and len(three) == df.count()
         seen += sorted(val)
     assert len(seen) == len(set(seen)) == df.count() - len(test)
@@ -236,8 +236,43 @@ def test_capped_union(spark):
     assert sorted((r["label"], r["name"]) for r in rows) == [(0, "0001_P_a1_t_001.txt"), (1, "0003_P_b1_t_001.txt")] + [(2, f"{i:05d}_c.txt") for i in range(4)]
 
 
-def test_spread_leaves_many_files_alone(spark, tmp_path):
-    spark.range(100).repartition(20).write.parquet(str(tmp_path / "many"))
-    df = spark.read.parquet(str(tmp_path / "many"))
-    assert tables.spread(df, "id") is df
+def test_spread_takes_the_given_number(spark):
+    assert tables.spread(spark.range(100), "id", 5).rdd.getNumPartitions() == 5
     assert isinstance(annotate.TOKEN_SCHEMA, T.StructType)
+
+
+@pytest.mark.parametrize("number", [9_999, 10_000, 99_999, 100_000, 1_000_000])
+def test_the_kind_of_a_name_does_not_depend_on_the_width_of_its_id(spark, number):
+    book, third = f"{number:04d}_Edika_b1_title_001.txt", f"{number:05d}_ctdc.txt"
+    df = spark.createDataFrame([(book,), (third,), (None,), ("abc_x",)], "name string")
+    got = {r["name"]: (r["t"], r["b"]) for r in df.select("name", names.title(F.col("name")).alias("t"), names.bare_title(F.col("name")).alias("b")).collect()}
+    assert got == {book: ("b1_title", "title"), third: ("CTDC", "CTDC"), None: (None, None), "abc_x": (None, None)}
+
+
+def test_more_titles_than_reserved_numbers(spark):
+    books = [(f"{i:04d}_P_a1_t{i % 40}_001.txt", 0) for i in range(200)]
+    df = spark.createDataFrame(books + [(f"{i:05d}_ctdc.txt", 2) for i in range(100)], "name string, label int")
+    rows = groups.with_groups(df).collect()
+    groups.validate_folds(groups.with_groups(df))
+    assert {r["group"] for r in rows if r["label"] == 0} == set(range(40)) and {r["group"] for r in rows if r["label"] == 2} == set(range(40, 50))
+    assert len(rows) == 300
+
+
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (3, None)], "id long, label string")
+    assert sampling.k_folds(df, "id").count() == 3 and sampling.train_test_split(df, "id").count() == 3
+    assert sampling.shuffled(df, "id").count() == 3 and sampling.stratified_split(df, "id", "label").count() == 3
+    events = spark.createDataFrame([(None, 1, None), (None, 2, 5.0), (7, None, 1.0), (7, 3, None)], "user long, ts long, value double")
+    from textgrade.operators import ranking
+
+    filled = ranking.forward_fill(events, "value", ["ts"], F.floor(F.col("ts") / 2), ["user"], start=0.0).collect()
+    assert sorted(((r["user"], r["ts"], r["value"]) for r in filled), key=str) == sorted([(None, 1, 0.0), (None, 2, 5.0), (7, None, 1.0), (7, 3, 1.0)], key=str)
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    from textgrade.operators import langid
+
+    text = "a\U00010400b \U00020000"
+    row = spark.createDataFrame([(text,)], "t string").select(langid.grams(langid.letters_only(F.col("t")), (2, 3)).alias("g")).first()
+    plain = " " + text.replace("\U00010400", "\U00010428") + " "
+    assert row["g"] == [plain[i : i + n] for n in (2, 3) for i in range(len(plain) - n + 1)]

@@ -18,7 +18,7 @@ DIALOGUE_MARKS = ("„", '"', "“")
 
 # --- syllables ------------------------------------------------------------------------------
 VOWELS = "aeiuoyáéíóúůýěäëïöü"
-SYLLABIC_M_STEMS = ("sed", "os", "vos", "h")  # sedm, osm, vosm: 2 syllables; hm: 1
+SYLLABIC_M_WORDS = ("sedm", "osm", "vosm", "hm")  # whose final m makes a syllable
 
 # --- readability formulas, constants for Czech -------------------------------------------------
 FLESCH_EASE = (206.935, 1.672, 62.183)

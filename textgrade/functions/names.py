@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from textgrade.fixed_values import CLASS_MARKERS, PUBLISHER, THIRD_CORPUS_TITLE
 
 
+def _field(name: Column, at: int) -> Column:
+    return F.get(F.split(name, "_"), F.lit(at))
+
+
+def _is_book(name: Column) -> Column:
+    """``id_publisher_level_title…``: an id of digits and at least three fields more."""
+    return name.rlike(r"^[0-9]+_[^_]*_[^_]*_")
+
+
+def _is_third(name: Column) -> Column:
+    """An id of digits and what follows, without the fields of a book."""
+    return name.rlike(r"^[0-9]+_") & ~_is_book(name)
+
+
 def title(name: Column) -> Column:
-    """``level_title`` of a book (4-character id), one shared title for the third corpus (5)."""
-    parts = F.split(name, "_")
-    id_len = F.length(F.get(parts, F.lit(0)))
-    book = F.concat(F.get(parts, F.lit(2)), F.lit("_"), F.get(parts, F.lit(3)))
-    return F.when(id_len == 4, book).when(id_len == 5, F.lit(THIRD_CORPUS_TITLE))
+    """``level_title`` of a book, one shared title for the third corpus, NULL for other names."""
+    book = F.concat_ws("_", _field(name, 2), _field(name, 3))
+    return F.when(_is_book(name), book).when(_is_third(name), F.lit(THIRD_CORPUS_TITLE))
 
 
 def bare_title(name: Column, strict: bool = False) -> Column:
-    """Title without the level; with ``strict`` an id of another length raises."""
-    parts = F.split(name, "_")
-    id_len = F.length(F.get(parts, F.lit(0)))
-    col = F.when(id_len == 4, F.get(parts, F.lit(3))).when(id_len == 5, F.lit(THIRD_CORPUS_TITLE))
+    """Title without the level; with ``strict`` a name of neither corpus raises."""
+    col = F.when(_is_book(name), _field(name, 3)).when(_is_third(name), F.lit(THIRD_CORPUS_TITLE))
     if strict:
-        message = F.concat(F.coalesce(name, F.lit("NULL")), F.lit(": id has the wrong number of characters"))
+        message = F.concat(F.coalesce(name, F.lit("NULL")), F.lit(": name of neither corpus"))
         col = col.otherwise(F.raise_error(message))
     return col
 

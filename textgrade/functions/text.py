@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textgrade.fixed_values import PAGE_BREAK, SENTENCE_PATTERN, SYLLABIC_M_STEMS, TOKEN_PATTERN, VOWELS
+from textgrade.fixed_values import PAGE_BREAK, SENTENCE_PATTERN, SYLLABIC_M_WORDS, TOKEN_PATTERN, VOWELS
 
 _LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
 # One match per syllable: an opening eu or au, ou, eu as in neuro, a vowel, a run of r or l with no
@@ -19,7 +19,7 @@ _NUCLEUS = "|".join(
         f"[{VOWELS}]",
         f"(?<![{VOWELS}r])r++(?![{VOWELS}])",
         f"(?<![{VOWELS}l])l++(?![{VOWELS}])",
-        f"(?<=^(?:{'|'.join(SYLLABIC_M_STEMS)}))m++$",
+        f"(?<=^(?:{'|'.join(word[:-1] for word in SYLLABIC_M_WORDS)}))m++$",
     )
 )
 

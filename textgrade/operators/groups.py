@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,10 +25,15 @@ def title_groups(df: DataFrame, seed: int = SEED) -> DataFrame:
 def round_robin_groups(
     df: DataFrame, first: int = THIRD_CLASS_FIRST_GROUP, groups: int = THIRD_CLASS_GROUPS, seed: int = SEED
 ) -> DataFrame:
-    """Third-corpus rows with ``group``: dealt in seeded order over a fixed range of groups."""
+    """Third-corpus rows with ``group``: dealt in seeded order over ``groups`` numbers from ``first`` on.
+
+    Where books have more titles than ``first``, the numbers begin after theirs.
+    """
+    titles = df.select(title(F.col("name")).alias("title")).where(F.col("title") != THIRD_CORPUS_TITLE)
+    begin = F.greatest(F.lit(first).cast("long"), titles.agg(F.countDistinct("title")).scalar())
     third = df.where(title(F.col("name")) == THIRD_CORPUS_TITLE)
     numbered = number_rows(third, seeded_key("name", seed), out="_n", tie=["name"])
-    turn = (F.lit(first) + F.pmod(F.col("_n") - 1, F.lit(groups))).cast("int")
+    turn = (begin + F.pmod(F.col("_n") - 1, F.lit(groups))).cast("int")
     return numbered.select(*df.columns, turn.alias("group"))
 
 
@@ -62,9 +67,10 @@ def label_conflicts(df: DataFrame) -> DataFrame:
 
 def validate_folds(df: DataFrame) -> None:
     """Raise when a group has more than one label."""
-    bad = [str(r["group"]) for r in label_conflicts(df).orderBy("group").limit(20).collect()]
-    if bad:
-        raise ValueError("groups with more than one label: " + ", ".join(bad))
+    conflicts = label_conflicts(df)
+    total, shown = conflicts.agg(F.count("*")).first()[0], conflicts.orderBy("group").limit(20).collect()
+    if total:
+        raise ValueError("groups with more than one label: " + ", ".join(str(r["group"]) for r in shown) + f" ({total} in all)")
 
 
 def create_folds(df: DataFrame, labels: Sequence[int] = (0, 1, 2), n_folds: int | None = None) -> DataFrame:
@@ -99,14 +105,11 @@ def train_validation_split(df: DataFrame, folds: DataFrame, validation: int, tes
     return with_fold(df, folds).where(F.col("fold") != test).withColumn("role", role)
 
 
-def three_way_split(df: DataFrame, folds: DataFrame, validation: int, key: str, test: int = 0) -> DataFrame:
+def three_way_split(df: DataFrame, folds: DataFrame, validation: int, test: int = 0) -> DataFrame:
     """All rows with ``role`` val, test or train, train being the rows in neither of the other two."""
-    val = df.join(folds.where(F.col("fold") == validation), "group", "left_semi")
-    held = df.join(folds.where(F.col("fold") == test), "group", "left_semi")
-    taken = val.select(key).unionByName(held.select(key))
-    train = df.join(taken, key, "left_anti")
-    blocks = [b.withColumn("role", F.lit(r)) for b, r in ((val, "val"), (held, "test"), (train, "train"))]
-    return blocks[0].unionByName(blocks[1]).unionByName(blocks[2])
+    special = folds.where(F.col("fold").isin(validation, test)).select("group", "fold").distinct()
+    role = F.when(F.col("fold") == validation, "val").when(F.col("fold") == test, "test").otherwise("train")
+    return df.join(special, "group", "left").select(*df.columns, role.alias("role"))
 
 
 def fold_sizes(df: DataFrame, folds: DataFrame, test: int = 0) -> DataFrame:
@@ -142,7 +145,3 @@ def stratified_group_folds(df: DataFrame, k: int) -> DataFrame:
 def lookup_by_group(df: DataFrame, labels: DataFrame, titles: DataFrame) -> DataFrame:
     """Add the label and title columns of each row's group."""
     return df.join(labels, "group", "left").join(titles, "group", "left")
-
-
-def in_range(column: str, below: int) -> Column:
-    return F.col(column) < below

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textgrade.fixed_values import PAGE_BREAK, PUBLISHER, THIRD_CLASS_CAP
+from textgrade.fixed_values import PAGE_BREAK, PUBLISHER
 from textgrade.functions import names
 from textgrade.functions.text import normalized, split_units
 from textgrade.operators.ranking import number_rows, seeded_key
@@ -74,10 +74,10 @@ def capped(df: DataFrame, order: Sequence[str], cap: int, partition_by: Sequence
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
 
 
-def labelled_corpus(chapters: DataFrame, third: DataFrame, cap: int = THIRD_CLASS_CAP) -> DataFrame:
-    """``label, name, text``: chapters labelled by name, then at most ``cap`` third-class texts."""
+def labelled_corpus(chapters: DataFrame, third: DataFrame, cap: int | None = None) -> DataFrame:
+    """``label, name, text``: chapters labelled by name, then the third-class texts, at most ``cap`` if given."""
     books = label_by_name(chapters).select("label", "name", "text")
-    rest = capped(third, ["name"], cap).select(F.lit(2).alias("label"), "name", "text")
+    rest = (third if cap is None else capped(third, ["name"], cap)).select(F.lit(2).alias("label"), "name", "text")
     return books.unionByName(rest)
 
 

@@ -14,7 +14,7 @@ from textgrade.operators.ingest import reassembled, units
 GRAM_SIZES = (3,)
 PROFILE_SIZE = 1000
 FLOOR = 1e-6  # share assumed for a gram missing from a profile
-_NOT_LETTERS = r"(?:[^\p{L}]|[\x{10000}-\x{10FFFF}])+"  # letters of the basic plane are kept
+_NOT_LETTERS = r"[^\p{L}]+"
 SCALE = 1_000_000  # weights are whole millionths, so that sums do not depend on their order
 
 
@@ -28,9 +28,9 @@ def grams(text: Column, sizes: Sequence[int] = GRAM_SIZES) -> Column:
     """All overlapping character n-grams of a text, as one array.
 
     A look-ahead matches at every character without consuming it, so one linear regex pass per size
-    yields the grams.
+    yields the grams; it does not begin in the middle of a surrogate pair.
     """
-    return F.concat(*[F.regexp_extract_all(text, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
+    return F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?=([^\uDC00-\uDFFF].{{{n - 1}}}))"), F.lit(1)) for n in sizes])
 
 
 def gram_rows(df: DataFrame, text: str, keep: Sequence[str], sizes: Sequence[int] = GRAM_SIZES) -> DataFrame:

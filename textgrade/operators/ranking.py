@@ -58,7 +58,7 @@ def number_rows(
     joined = keyed.withColumn("_local", local)
     for p in parts:  # NULL partition keys form a partition too
         joined, offsets = joined.withColumnRenamed(p, f"_l_{p}"), offsets.withColumnRenamed(p, f"_r_{p}")
-    match = F.col("l._bucket") == F.col("r._bucket")
+    match = F.col("l._bucket").eqNullSafe(F.col("r._bucket"))  # NULL keys have a bucket too
     for p in parts:
         match = match & F.col(f"_l_{p}").eqNullSafe(F.col(f"_r_{p}"))
     result = joined.alias("l").join(offsets.alias("r"), match)
@@ -109,7 +109,12 @@ def forward_fill(
     before = Window.partitionBy(*parts).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = last_of_block.select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
 
-    joined = filled.join(carry, keys)
+    for k in keys:  # NULL keys form a sequence too
+        carry = carry.withColumnRenamed(k, f"_r_{k}")
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    joined = filled.join(carry, match)
     result = F.coalesce("_filled", "_carry", F.lit(start)) if start is not None else F.coalesce("_filled", "_carry")
     others = [c for c in df.columns if c != out]
     return joined.select(*others, result.alias(out))

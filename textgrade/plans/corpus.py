@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textgrade.fixed_values import THIRD_CLASS_CAP
 from textgrade.functions import names
 from textgrade.functions.text import normalized, split_lines, split_units
 from textgrade.operators import frequency, groups, ingest, langid, metrics, profile, ranking, sampling
@@ -98,7 +99,7 @@ register(
     f"WITH {MIXED_SQL} SELECT doc_id, file_name AS name, CASE WHEN contains(file_name, 'a1') THEN 0 ELSE 1 END::INTEGER AS label"
     " FROM mixed WHERE contains(file_name, 'a1') OR contains(file_name, 'b1')",
 )
-_TITLE_SQL = "CASE length(split_part(name, '_', 1)) WHEN 4 THEN split_part(name, '_', 3) || '_' || split_part(name, '_', 4) WHEN 5 THEN 'CTDC' END"
+_TITLE_SQL = "CASE WHEN label <> 2 THEN split_part(name, '_', 3) || '_' || split_part(name, '_', 4) ELSE 'CTDC' END"
 
 
 def named(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +147,7 @@ register(
 def _corpus(spark: SparkSession, folder: str) -> DataFrame:
     df = named_documents(read_table(spark, folder, "documents"))
     books, third = df.where("label <> 2"), df.where("label = 2")
-    return ingest.labelled_corpus(books, third)
+    return ingest.labelled_corpus(books, third, cap=THIRD_CLASS_CAP)
 
 
 register(
@@ -169,7 +170,7 @@ register(
 # --- language identification --------------------------------------------------------------------------
 
 LANGUAGES = ("de", "en", "es", "fr")
-_CLEAN = "trim(regexp_replace(lower({}), '([^\\p{{L}}]|[\\x{{10000}}-\\x{{10FFFF}}])+', ' ', 'g'))"
+_CLEAN = "trim(regexp_replace(lower({}), '[^\\p{{L}}]+', ' ', 'g'))"
 
 
 def _grams_sql(name: str, source: str, keys: str) -> str:
@@ -214,14 +215,25 @@ register(
     _detected,
     f"WITH {PROFILES_SQL}, {DETECT_SQL} SELECT doc_id, unit_id::INTEGER AS unit_id, lang_pred, score FROM found",
 )
+_LEARNT, _SCORED = "md5(doc_id || '|42') < '8'", "md5(doc_id || '|42') >= '8'"
+
+
+def _accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of one half of the documents, by hash, under profiles of the other half."""
+    docs = documents(spark, folder)
+    half = ranking.seeded_key("doc_id") < "8"
+    lines = ingest.units(docs.where(~half), split_lines(F.col("text")), ["doc_id"])
+    found = langid.detect(lines, langid.language_profiles(docs.where(half)), LANGUAGES, ["doc_id", "unit_id"], "unit")
+    right = F.count_if(F.col("lang") == F.col("lang_pred")).alias("n_right")
+    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), right)
+
+
 register(
     "language_accuracy",
-    lambda s, f: _detected(s, f)
-    .join(read_table(s, f, "documents").select("doc_id", "lang"), "doc_id")
-    .groupBy("lang")
-    .agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("lang_pred")).alias("n_right")),
-    f"WITH {PROFILES_SQL}, {DETECT_SQL} SELECT lang, count(*) AS n, count(*) FILTER (WHERE lang = lang_pred) AS n_right"
-    " FROM found JOIN documents USING (doc_id) GROUP BY lang",
+    _accuracy,
+    f"WITH {PROFILES_SQL.replace('AS c FROM documents)', f'AS c FROM documents WHERE {_LEARNT})')},"
+    f" {DETECT_SQL.replace('AS u FROM documents)', f'AS u FROM documents WHERE {_SCORED})')}"
+    " SELECT lang, count(*) AS n, count(*) FILTER (WHERE lang = lang_pred) AS n_right FROM found JOIN documents USING (doc_id) GROUP BY lang",
 )
 register(
     "language_lines",
@@ -290,8 +302,8 @@ LEFT JOIN (SELECT "group", max(label) AS label, arg_max(title, name) AS title FR
 )
 register(
     "class_c_dropped",
-    lambda s, f: grouped(s, f).where(groups.in_range("group", 31)).select("doc_id", "label", "group"),
-    f'WITH {_G} SELECT doc_id, label, "group" FROM grouped WHERE "group" < 31',
+    lambda s, f: grouped(s, f).where("label <> 2").select("doc_id", "label", "group"),
+    f'WITH {_G} SELECT doc_id, label, "group" FROM grouped WHERE label <> 2',
 )
 FOLDS_SQL = """
 folds AS (SELECT (row_number() OVER (PARTITION BY label ORDER BY "group") - 1)::INTEGER AS fold, label, "group"
@@ -328,7 +340,7 @@ register(
 )
 register(
     "three_way_rows",
-    lambda s, f: groups.three_way_split(_slim(s, f), groups.create_folds(_slim(s, f)), 1, "doc_id").select("doc_id", "role"),
+    lambda s, f: groups.three_way_split(_slim(s, f), groups.create_folds(_slim(s, f)), 1).select("doc_id", "role"),
     f"WITH {_F} SELECT doc_id, CASE fold WHEN 1 THEN 'val' WHEN 0 THEN 'test' ELSE 'train' END AS role FROM roled",
 )
 register(

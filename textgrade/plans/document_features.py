@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgrade.fixed_values import ENDINGS, LEXICON, SENTENCE_PATTERN, SYLLABIC_M_STEMS, TOKEN_PATTERN, VOWELS
+from textgrade.fixed_values import ENDINGS, LEXICON, SENTENCE_PATTERN, TOKEN_PATTERN, VOWELS
 from textgrade.functions import names
 from textgrade.functions.text import syllables
 from textgrade.operators import annotate, features, frequency, groups
@@ -82,12 +82,11 @@ CASE WHEN z IN ('sedm', 'osm', 'vosm') THEN 2 WHEN z = 'hm' THEN 1 ELSE
   len(regexp_extract_all(z, '^eu|^au|ou|[V]'))
   + len(list_filter(range(1, length(z) + 1), lambda i: z[i] IN ('r', 'l')
       AND NOT regexp_matches(CASE WHEN i > 1 THEN z[i - 1] ELSE '' END, '[V]')
-      AND NOT regexp_matches(z[i + 1], '[V]'))) END""".replace("V", VOWELS).replace(f"'{VOWELS}osm'", "'vosm'")
+      AND NOT regexp_matches(z[i + 1], '[V]'))) END""".replace("V", VOWELS)
 COLLAPSED_SQL = (
     "replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'r+', 'r', 'g'), 'l+', 'l', 'g'), 'm+', 'm', 'g'),"
     " 'neuro', 'nero')"
 )
-assert SYLLABIC_M_STEMS == ("sed", "os", "vos", "h")
 
 _D = "::DOUBLE"
 
@@ -163,7 +162,10 @@ _SURFACE = {
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "documents"), "doc_id")
+    """The documents, dealt out first only where the session asks for it."""
+    docs = read_table(spark, folder, "documents")
+    partitions = spark.conf.get("spark.textgrade.documentPartitions", "")
+    return spread(docs, "doc_id", int(partitions)) if partitions else docs
 
 
 def token_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -289,14 +291,17 @@ register(
 
 # --- frequency dictionary -----------------------------------------------------------------------
 
-MIN_FREQ = 2  # a form seen once is not in the dictionary, so that lookups can miss
+# The dictionary is that of another collection, so that lookups can miss.
+DICTIONARY_WORDS_SQL = (
+    WORDS_SQL.replace("sents", "other_sents").replace("words", "other_words").replace("FROM documents", "FROM (SELECT item_id AS doc_id, 'en' AS lang, text FROM benchmark)")
+)
 
 
 def _dictionary_sql(form: str) -> str:
     return f"""
 counts_{form} AS (SELECT doc_id, {form} AS form, count(*) AS n FROM (SELECT *, lower(text) AS lemma FROM words) GROUP BY ALL),
 dict_{form} AS (SELECT form, freq, rank() OVER (ORDER BY freq DESC) AS rank
-  FROM (SELECT form, sum(n) AS freq FROM counts_{form} GROUP BY form HAVING sum(n) >= {MIN_FREQ}))"""
+  FROM (SELECT {form} AS form, count(*) AS freq FROM (SELECT *, lower(text) AS lemma FROM other_words) GROUP BY ALL))"""
 
 
 def _lookup_sql(form: str, prefix: str) -> str:
@@ -307,8 +312,14 @@ looked_{prefix} AS (SELECT doc_id,
   FROM counts_{form} JOIN dict_{form} USING (form) GROUP BY doc_id)"""
 
 
-def _frequency(counts: DataFrame, form: str, prefix: str) -> DataFrame:
-    return frequency.frequency_features(counts, form, frequency.dictionary_from_counts(counts, form, MIN_FREQ), prefix)
+def dictionary_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Form counts of the collection that dictionaries are made of."""
+    other = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("en").alias("lang"))
+    return frequency.form_counts(annotate.tokenize(other))
+
+
+def _frequency(counts: DataFrame, others: DataFrame, form: str, prefix: str) -> DataFrame:
+    return frequency.frequency_features(counts, form, frequency.dictionary_from_counts(others, form), prefix)
 
 
 _FREQ_NAMES = {p: [f"{m}_{p}_{w}" for w, ms in (("freq", ("mean", "min")), ("rank", ("mean", "max"))) for m in ms] for p in ("lemma", "word")}
@@ -316,25 +327,25 @@ _FREQ_NAMES = {p: [f"{m}_{p}_{w}" for w, ms in (("freq", ("mean", "min")), ("ran
 for _prefix, _form in (("lemma", "lemma"), ("word", "text")):
 
     def _run(spark: SparkSession, folder: str, form: str = _form, prefix: str = _prefix, only: str | None = None) -> DataFrame:
-        feats = _frequency(frequency.form_counts(annotate.tokenize(documents(spark, folder))), form, prefix)
+        counts = frequency.form_counts(annotate.tokenize(documents(spark, folder)))
+        feats = _frequency(counts, dictionary_counts(spark, folder), form, prefix)
         return feats.select("doc_id", *[rounded(c).alias(c) for c in ([only] if only else _FREQ_NAMES[prefix])])
 
     def _sql(columns: list[str], form: str = _form, prefix: str = _prefix) -> str:
         shown = ", ".join(f"{sql_rounded(c)} AS {c}" for c in columns)
-        return f"WITH {WORDS_SQL}, {_dictionary_sql(form)}, {_lookup_sql(form, prefix)} SELECT doc_id, {shown} FROM looked_{prefix}"
+        return f"WITH {WORDS_SQL}, {DICTIONARY_WORDS_SQL}, {_dictionary_sql(form)}, {_lookup_sql(form, prefix)} SELECT doc_id, {shown} FROM looked_{prefix}"
 
     register(f"{_prefix}_frequency_features", _run, _sql(_FREQ_NAMES[_prefix]))
     for _column in _FREQ_NAMES[_prefix]:
         register(_column, lambda s, f, run=_run, c=_column: run(s, f, only=c), _sql([_column]))
 
     def _dictionary(spark: SparkSession, folder: str, form: str = _form) -> DataFrame:
-        counts = frequency.form_counts(annotate.tokenize(documents(spark, folder)))
-        return frequency.dictionary_from_counts(counts, form, MIN_FREQ)
+        return frequency.dictionary_from_counts(dictionary_counts(spark, folder), form)
 
     register(
         f"{_prefix}_dictionary",
         _dictionary,
-        f"WITH {WORDS_SQL}, {_dictionary_sql(_form)} SELECT form, freq::BIGINT AS freq, rank FROM dict_{_form}",
+        f"WITH {WORDS_SQL}, {DICTIONARY_WORDS_SQL}, {_dictionary_sql(_form)} SELECT form, freq::BIGINT AS freq, rank FROM dict_{_form}",
     )
 
 
@@ -374,27 +385,27 @@ def named_documents(df: DataFrame) -> DataFrame:
 GROUPED_SQL = """
 titled AS (SELECT *, CASE WHEN label = 2 THEN 'CTDC' ELSE split_part(name, '_', 3) || '_' || split_part(name, '_', 4) END AS title FROM named),
 title_group AS (SELECT title, row_number() OVER (ORDER BY md5(title || '|42')) - 1 AS grp FROM (SELECT DISTINCT title FROM titled WHERE title <> 'CTDC')),
-turn AS (SELECT name, 31 + (row_number() OVER (ORDER BY md5(name || '|42')) - 1) % 10 AS grp FROM titled WHERE title = 'CTDC'),
+turn AS (SELECT name, greatest(31, (SELECT count(*) FROM title_group)) + (row_number() OVER (ORDER BY md5(name || '|42')) - 1) % 10 AS grp FROM titled WHERE title = 'CTDC'),
 grouped AS (SELECT titled.*, coalesce(title_group.grp, turn.grp)::INTEGER AS "group" FROM titled
   LEFT JOIN title_group USING (title) LEFT JOIN turn USING (name))"""
 
 
-def feature_table(df: DataFrame) -> DataFrame:
+def feature_table(df: DataFrame, others: DataFrame) -> DataFrame:
     """All 44 features with name, group and label; a document without words keeps its row."""
     named = groups.with_groups(named_documents(df.select("doc_id", "lang", "source")))
     tokens = annotate.annotate_rules(df)
     counts = frequency.form_counts(annotate.tokenize(df))
     parts = [
         features.document_features(tokens, features.TOKEN_FEATURE_NAMES),
-        _frequency(counts, "lemma", "lemma"),
-        _frequency(counts, "text", "word"),
+        _frequency(counts, others, "lemma", "lemma"),
+        _frequency(counts, others, "text", "word"),
     ]
     joined = reduce(lambda left, right: left.join(right, "doc_id", "left"), parts, named)
     return joined.select("doc_id", "name", *features.FEATURE_NAMES, "group", "label")
 
 
 def _feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    table = feature_table(documents(spark, folder))
+    table = feature_table(documents(spark, folder), dictionary_counts(spark, folder))
     return table.select("name", *[rounded(n).alias(n) for n in features.FEATURE_NAMES], "group", "label")
 
 
@@ -402,7 +413,7 @@ def _feature_table_sql() -> str:
     from_tokens = ", ".join(f"{FEATURE_SQL[n]} AS {n}" for n in features.TOKEN_FEATURE_NAMES)
     shown = ", ".join(f"{sql_rounded(n)} AS {n}" for n in features.FEATURE_NAMES)
     return f"""WITH {TOKENS_SQL}, {NAMED_SQL}, {GROUPED_SQL},
-{_dictionary_sql('lemma')}, {_dictionary_sql('text')}, {_lookup_sql('lemma', 'lemma')}, {_lookup_sql('text', 'word')},
+{DICTIONARY_WORDS_SQL}, {_dictionary_sql('lemma')}, {_dictionary_sql('text')}, {_lookup_sql('lemma', 'lemma')}, {_lookup_sql('text', 'word')},
 base AS (SELECT doc_id, {from_tokens} FROM tokens GROUP BY doc_id)
 SELECT name, {shown}, "group", label FROM grouped LEFT JOIN base USING (doc_id) LEFT JOIN looked_lemma USING (doc_id)
 LEFT JOIN looked_word USING (doc_id)"""

@@ -13,7 +13,7 @@ from textgrade.models.moments import class_moments
 from textgrade.models.registry import FOLD_MODELS, MODELS, boosted_forest, boosted_trees, forest
 from textgrade.operators import groups, metrics, sampling
 from textgrade.operators.features import FEATURE_NAMES
-from textgrade.plans.document_features import documents, feature_table
+from textgrade.plans.document_features import dictionary_counts, documents, feature_table
 from textgrade.plans.registry import register, rounded, sql_rounded
 from textgrade.session import materialize
 from textgrade.sources.tables import read_table
@@ -401,7 +401,7 @@ register("group_cv_models", lambda s, f: metrics.weighted_scores(_group_cv(s, f)
 
 def _feature_cv(spark: SparkSession, folder: str) -> DataFrame:
     """From raw text to scores: the feature table, group folds, and LDA over all folds."""
-    table = materialize(feature_table(documents(spark, folder)))
+    table = materialize(feature_table(documents(spark, folder), dictionary_counts(spark, folder)))
     assembled = crossval.assemble(table, FEATURE_NAMES).select(
         F.col("doc_id").alias("id"), vector_to_array("features").alias("features"), "label", "group"
     )

@@ -8,8 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "textgrade", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the benchmark; on a cluster, bring your own."""
+def local_session(
+    app: str = "textgrade", cores: int | str = "*", shuffle_partitions: int = 8, document_partitions: int | None = None
+) -> SparkSession:
+    """A session for tests and the benchmark; on a cluster, bring your own.
+
+    With ``document_partitions`` the queries deal out the documents first, for one small file is one task.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -18,6 +23,7 @@ def local_session(app: str = "textgrade", cores: int | str = "*", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.textgrade.documentPartitions", str(document_partitions or ""))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -30,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         folder = sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="textgrade-checkpoint-")
         sc.setCheckpointDir(folder)

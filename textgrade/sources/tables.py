@@ -32,12 +32,14 @@ FEATURE_FILE_SCHEMA = T.StructType(
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, null_value: str | None = "_") -> DataFrame:
-    """Headed CSV whose cells may hold line breaks and doubled quotes.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, null_value: str | None = "_", multi_line: bool = False
+) -> DataFrame:
+    """Headed CSV with doubled quotes; with ``multi_line`` cells may hold line breaks, and one file is one task.
 
     Only ``null_value`` is missing, so ``NA`` stays text; with None the empty cell is missing too.
     """
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
     reader = reader.option("nullValue", "" if null_value is None else null_value)
     return reader.csv(path)
 
@@ -54,7 +56,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labelled(spark: SparkSession, path: str, classes: Sequence[int]) -> DataFrame:
     """Corpus with declared classes; a label outside of them raises when it is read."""
-    df = read_csv(spark, path, CORPUS_SCHEMA, null_value=None)
+    df = read_csv(spark, path, CORPUS_SCHEMA, null_value=None, multi_line=True)
     wrong = F.raise_error(F.concat(F.lit("undeclared label "), F.coalesce(F.col("label").cast("string"), F.lit("NULL"))))
     checked = F.when(F.col("label").isin(*classes), F.col("label")).otherwise(wrong.cast("int"))
     return df.select(checked.alias("label"), "name", "text")
@@ -88,11 +90,6 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that comes in fewer files than there are cores over all of them.
-
-    Per-document work is far dearer than reading, and one small file is one task however many
-    executors wait. Tables of many files are left as they are, and the plan above stays the same.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, F.xxhash64(key)) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """``df`` dealt over a given number of partitions, for tables in fewer files than there are cores."""
+    return df.repartition(partitions, F.xxhash64(key))
