@@ -273,3 +273,36 @@ def test_tokens_with_a_small_cache(monkeypatch):
     texts = [" ".join("".join(rng.choice("abcde!") for _ in range(rng.randint(1, 4))) for _ in range(60)) for _ in range(50)]
     want = [tokens.library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [i.tolist() for i in tokens.encode(texts)] == want and [tokens.encode([t])[0].tolist() for t in texts] == want
+
+
+def test_classes_by_bands_and_jaccard(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [[word() for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = word()
+        rows.append((i, " ".join(words)))
+    rows += [(200, None), (201, " "), (202, rows[4][1]), (202, rows[4][1]), (None, rows[5][1]), (203, "a b")]
+    got = minhash.near_duplicates(table(spark, rows).withColumn("key", F.lit("clash"))).collect()
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            if jaccard(a or "", rows[j][1] or "") >= 0.8:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(least.get(find(i), 10**9), doc_id)
+    want = sorted(((doc_id, least.get(find(i))) for i, (doc_id, _) in enumerate(rows)), key=str)
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == want
+    assert len({c for _, c in want}) < len(rows) / 2
+    assert minhash.near_duplicates(table(spark, rows).limit(0)).count() == 0

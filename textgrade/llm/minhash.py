@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textgrade.llm.common import components, saved
 from textgrade.llm.order import in_order, pairs
 
-PERMS, WIDTH, BANDS = 128, 5, 32
+PERMS, WIDTH = 128, 5
 AT_ONCE = 1 << 17  # shingles that are permuted together
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier of the word and shingle hashes
 _SEPARATES = np.zeros(256, bool)
@@ -143,3 +144,64 @@ def fingerprints_and_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_order(docs, id_col, text_col).mapInArrow(run, kinds)
+
+
+ROWS = 5  # minima in a band: texts of similarity 0.8 share one of 25 bands but for 5 cases in 100,000
+THRESHOLD = 0.8
+
+
+def _banded(docs: DataFrame, id_col: str, text_col: str, perms: int, width: int) -> DataFrame:
+    """``doc_id, digest, bands, shingles`` of every row: bands as hashes, shingles once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            found = signatures(texts, perms, width)
+            keys = np.zeros((len(texts), perms // ROWS), np.uint64)
+            for i in range(ROWS):
+                keys = _mixed(keys * _STEP + found[:, i : perms // ROWS * ROWS : ROWS] + np.uint64(1))
+            sets = [np.unique(shingles(t, width)).view(np.int32) for t in texts]
+            columns = [*batch.columns[:2], pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bands", "shingles"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    return chosen.mapInArrow(run, f"doc_id {kind}, digest string, bands array<long>, shingles array<int>")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, perms: int = PERMS, width: int = WIDTH
+) -> DataFrame:
+    """``doc_id, digest, component_id`` of every row: classes of texts whose shingle sets are alike.
+
+    Texts that share a band are candidates; their exact Jaccard similarity must reach ``threshold``. In
+    each band all texts are compared with the first one; what this has linked is one class and needs no
+    more comparing, and only texts of a band that are still in different classes meet in pairs. Equal
+    texts count once. ``component_id`` is the smallest id that links reach (null only if no id is
+    there). Null texts count as empty; texts without words are alike in full.
+    """
+    rows = saved(_banded(docs, id_col, text_col, perms, width))
+    texts = saved(rows.select("digest", "bands", "shingles").dropDuplicates(["digest"]))
+    keys = texts.select("digest", F.posexplode("bands").alias("band", "key"))
+    hubs = keys.groupBy("band", "key").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    shared = saved(keys.join(hubs, ["band", "key"]).select("band", "key", "hub", "digest"))
+    sets = texts.select("digest", "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        every = F.size("x") + F.size("y") - both
+        return met.filter(both >= threshold * every).select("a", "b")
+
+    tried = shared.filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
+    links = saved(verified(tried))
+    classes = components(links).toDF("digest", "root")
+    placed = shared.join(classes, "digest", "left").select("band", "key", "digest", F.coalesce("root", "digest").alias("root"))
+    left, right = placed.toDF("band", "key", "a", "p"), placed.toDF("band", "key", "b", "q")
+    apart = left.join(right, ["band", "key"]).filter("a < b AND p <> q").select("a", "b").distinct()
+    every = links.union(verified(apart.join(tried, ["a", "b"], "left_anti")))
+    roots = components(every).toDF("digest", "root")
+    named = rows.select("doc_id", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "digest", "component_id")
