@@ -1,10 +1,11 @@
 """Exact k nearest neighbours as an equi-join on cells.
 
 Training vectors belong to the cell of their nearest pivot. From the distances to the pivots alone
-a query gets an upper bound for its k-th neighbour and, by the triangle inequality, the few cells
-that can hold a nearer one, so it meets only those. Cells are cut into blocks of bounded size, and
-so are the queries of a block: no task sees more than one block of each, and each block gives back
-only its k nearest per query.
+a query gets an upper bound for its k-th neighbour and, by the triangle inequality, the cells that
+can hold a nearer one. That leaves few cells where vectors have few dimensions or lie in clusters; in
+many even dimensions it leaves all, and a query is compared with every training row. Cells are cut
+into blocks of bounded size, and so are the queries of a block: no task sees more than one block of
+each, compares them by a matrix product, and gives back only its k nearest per query.
 """
 
 from __future__ import annotations
@@ -108,16 +109,19 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, pivots: int = PIVOT
     def nearest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"id": [], "neighbour_id": [], "distance": []})
-        t = t.sort_values("id")
-        d = np.round(_distances(np.stack(q["features"].to_numpy()), np.stack(t["features"].to_numpy())), DECIMALS)
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame(
-            {
-                "id": np.repeat(q["id"].to_numpy(), best.shape[1]),
-                "neighbour_id": t["id"].to_numpy()[best].ravel(),
-                "distance": np.take_along_axis(d, best, axis=1).ravel(),
-            }
-        )
+        x, y = np.stack(q["features"].to_numpy()), np.stack(t["features"].to_numpy())
+        # a matrix product finds all that can be among the k nearest, differences then give exact distances
+        size = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :]
+        rough = size - 2 * (x @ y.T)
+        at = min(k, len(y)) - 1
+        limit = np.partition(rough, at, axis=1)[:, at : at + 1]
+        row, hit = np.nonzero(rough <= limit + SLACK * (1 + size) + 2 * 10.0**-DECIMALS)
+        d = np.round(((x[row] - y[hit]) ** 2).sum(axis=1), DECIMALS)
+        ids = t["id"].to_numpy()[hit]
+        order = np.lexsort((ids, d, row))
+        row, ids, d = row[order], ids[order], d[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pd.DataFrame({"id": q["id"].to_numpy()[row[first]], "neighbour_id": ids[first], "distance": d[first]})
 
     keys = ["cell", "block", "cut"]
     candidates = (
