@@ -186,3 +186,16 @@ def test_assemble_imputes_or_drops(spark):
     assert [list(r["features"]) for r in crossval.assemble(df, ["a", "b"]).collect()] == [[1, 2], [2, 4], [3, 6]]
     assert crossval.assemble(df, ["a", "b"], impute=False).count() == 2
     assert list(crossval.assemble(df, ["a", "b"], drop_features=["a"]).first()["features"]) == [2]
+
+
+def test_small_spread_of_large_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 2, [1e9 + 3 * (i % 2) + float(rng.normal()), float(rng.normal())]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    model = gnb.fit(df)
+    assert np.isfinite(model.variances).all() and (abs(model.variances - 1) < 0.2).all()
+    folded = df.withColumn("fold", (df.id % 7).cast("int"))
+    for predicted in (gnb.cross_predict(folded), crossval.lda_cross_predict(folded)):
+        assert predicted.where("prediction = label").count() > 900

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgrade.models import lda
-from textgrade.models.moments import class_moments, moment_matrices, without_fold
+from textgrade.models.moments import class_moments, column_means, moment_matrices, without_fold
 from textgrade.models.scoring import score_batches
 from textgrade.session import materialize
 
@@ -82,6 +82,7 @@ def cross_validate(
 
 def lda_cross_predict(df: DataFrame, fold: str = "fold", vector: str = "features") -> DataFrame:
     """LDA predictions of each row by the model of all other folds, from one aggregation."""
-    matrices = moment_matrices(class_moments(df, [fold, "label"], vector), [fold, "label"])
-    models = {f: lda.solve(without_fold(matrices, f)) for f in sorted({k[0] for k in matrices})}
+    centre = column_means(df, vector)
+    matrices = moment_matrices(class_moments(df, [fold, "label"], vector, centre=centre), [fold, "label"])
+    models = {f: lda.solve(without_fold(matrices, f), centre=centre) for f in sorted({k[0] for k in matrices})}
     return score_batches(df, models, fold, vector)

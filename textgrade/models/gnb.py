@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from textgrade.models.moments import class_moments, moment_matrices, without_fold
+from textgrade.models.moments import class_moments, column_means, moment_matrices, without_fold
 from textgrade.models.scoring import score_batches
 
 SMOOTHING = 1e-9  # of the largest feature variance
@@ -27,7 +27,8 @@ class GaussianBayes:
         return np.column_stack(columns)
 
 
-def solve(matrices: dict[object, np.ndarray]) -> GaussianBayes:
+def solve(matrices: dict[object, np.ndarray], centre: np.ndarray | float = 0.0) -> GaussianBayes:
+    """Model from the classes' moments, which were taken less ``centre``."""
     classes = sorted(matrices)
     counts = np.array([matrices[c][0, 0] for c in classes])
     sums = np.array([matrices[c][0, 1:] for c in classes])
@@ -35,16 +36,18 @@ def solve(matrices: dict[object, np.ndarray]) -> GaussianBayes:
     means = sums / counts[:, None]
     overall = squares.sum(axis=0) / counts.sum() - (sums.sum(axis=0) / counts.sum()) ** 2
     variances = squares / counts[:, None] - means**2 + SMOOTHING * overall.max()
-    return GaussianBayes(classes, means, variances, np.log(counts / counts.sum()))
+    return GaussianBayes(classes, means + centre, variances, np.log(counts / counts.sum()))
 
 
 def fit(train: DataFrame, vector: str = "features") -> GaussianBayes:
-    moments = class_moments(train, ["label"], vector, full=False)
-    return solve({k[0]: m for k, m in moment_matrices(moments, ["label"]).items()})
+    centre = column_means(train, vector)
+    moments = class_moments(train, ["label"], vector, full=False, centre=centre)
+    return solve({k[0]: m for k, m in moment_matrices(moments, ["label"]).items()}, centre)
 
 
 def cross_predict(df: DataFrame, fold: str = "fold", vector: str = "features") -> DataFrame:
     """Each row predicted by the model of all other folds; one aggregation serves every fold."""
-    matrices = moment_matrices(class_moments(df, [fold, "label"], vector, full=False), [fold, "label"])
-    models = {f: solve(without_fold(matrices, f)) for f in sorted({k[0] for k in matrices})}
+    centre = column_means(df, vector)
+    matrices = moment_matrices(class_moments(df, [fold, "label"], vector, full=False, centre=centre), [fold, "label"])
+    models = {f: solve(without_fold(matrices, f), centre) for f in sorted({k[0] for k in matrices})}
     return score_batches(df, models, fold, vector)

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.models.moments import class_moments, moment_matrices
+from textgrade.models.moments import class_moments, column_means, moment_matrices
 from textgrade.models.scoring import score_batches
 
 RANK_TOLERANCE = 1e-4
@@ -34,8 +34,10 @@ class Discriminant:
         return (coef**2).sum(axis=0)
 
 
-def solve(matrices: dict[object, np.ndarray], features: Sequence[int] | None = None) -> Discriminant:
-    """Discriminant of the classes' moments, over all or some features (0-based)."""
+def solve(
+    matrices: dict[object, np.ndarray], features: Sequence[int] | None = None, centre: np.ndarray | None = None
+) -> Discriminant:
+    """Discriminant of the classes' moments, over all or some features (0-based), taken less ``centre``."""
     classes = sorted(matrices)
     size = next(iter(matrices.values())).shape[0]
     at = np.arange(1, size) if features is None else np.asarray(features) + 1
@@ -53,6 +55,8 @@ def solve(matrices: dict[object, np.ndarray], features: Sequence[int] | None = N
     offsets = (means - center) @ scaling
     coef = offsets @ scaling.T
     intercept = np.log(priors) - 0.5 * (offsets**2).sum(axis=1) - coef @ center
+    if centre is not None:
+        intercept = intercept - coef @ centre[at - 1]
     return Discriminant(classes, coef, intercept)
 
 
@@ -61,7 +65,9 @@ class LinearDiscriminant(Estimator):
 
     def _fit(self, dataset: DataFrame) -> LinearDiscriminantModel:
         rows = dataset.select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("features"))
-        return LinearDiscriminantModel(solve({k[0]: m for k, m in moment_matrices(class_moments(rows, ["label"]), ["label"]).items()}))
+        centre = column_means(rows)
+        moments = moment_matrices(class_moments(rows, ["label"], centre=centre), ["label"])
+        return LinearDiscriminantModel(solve({k[0]: m for k, m in moments.items()}, centre=centre))
 
 
 class LinearDiscriminantModel(Model):

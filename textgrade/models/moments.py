@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def class_moments(df: DataFrame, by: Sequence[str], vector: str = "features", full: bool = True) -> DataFrame:
+def column_means(df: DataFrame, vector: str = "features") -> np.ndarray:
+    """Mean of every feature, to centre moments by: sums of raw squares lose small variances of large values."""
+    values = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("at", "value"))
+    rows = values.groupBy("at").agg(F.avg("value").alias("mean")).orderBy("at").collect()
+    return np.array([r["mean"] for r in rows])
+
+
+def class_moments(
+    df: DataFrame, by: Sequence[str], vector: str = "features", full: bool = True, centre: np.ndarray | None = None
+) -> DataFrame:
     """Rows ``by, i, j, value`` with sums of ``x_i * x_j``, where ``x_0`` is 1 for every row.
 
+    With ``centre`` the features are taken less these values.
+
     ``(0, 0)`` is therefore the count and ``(0, i)`` the sum of feature i. With ``full`` all pairs
     ``i <= j`` are given, else only squares. Every task sends one small matrix per key; the size of
     the result depends on keys and features, not on rows.
@@ -26,6 +37,7 @@ def class_moments(df: DataFrame, by: Sequence[str], vector: str = "features", fu
             if batch.empty:
                 continue
             x = np.stack(batch["_x"].to_numpy()).astype(np.float64)
+            x = x if centre is None else x - centre
             x = np.hstack([np.ones((len(x), 1)), x])
             for key, rows in batch.groupby(keys).indices.items():
                 part = x[rows]

@@ -27,7 +27,8 @@ def k_folds(df: DataFrame, key: str, k: int = 10, seed: int = SEED) -> DataFrame
 
 def hash_folds(df: DataFrame, key: str, k: int = 10, seed: int = SEED) -> DataFrame:
     """Add ``fold`` by hash: no numbering and no shuffle, sizes even only on average."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
+    number = F.conv(F.substring(seeded_key(key, seed), 1, 8), 16, 10).cast("long")
+    return df.withColumn("fold", F.pmod(number, F.lit(k)).cast("int"))
 
 
 def train_test_split(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:

@@ -413,6 +413,11 @@ register(
     lambda s, f: sampling.k_folds(_doc_keys(s, f), "doc_id"),
     f"SELECT doc_id, lang, (({_SHUFFLED} - 1) % 10)::INTEGER AS fold FROM documents",
 )
+register(
+    "hash_folds",
+    lambda s, f: sampling.hash_folds(_doc_keys(s, f), "doc_id"),
+    "SELECT doc_id, lang, (('0x' || substring(md5(doc_id || '|42'), 1, 8))::BIGINT % 10)::INTEGER AS fold FROM documents",
+)
 register(
     "split_train_test",
     lambda s, f: sampling.train_test_split(_doc_keys(s, f), "doc_id"),

@@ -370,7 +370,12 @@ for _key, _model in (
     ("logistic_regression", "LR"), ("discriminant_analysis", "LDA"), ("nearest_neighbours", "KNN"), ("decision_tree", "CART"),
     ("naive_bayes", "NB"), ("kernel_machine", "SVM"), ("random_forest", "RF"), ("boosted_trees", "XGB"), ("boosted_forest", "XGBRF"),
 ):
-    register(f"{_key}_predictions", _holdout(_model))
+    _by_sql = {
+        "KNN": f"WITH {KNN_SQL} SELECT 'KNN' AS model, 0 AS fold, id, label, prediction FROM voted JOIN part USING (id)",
+        "NB": f"WITH {BASE_SQL}, {_bayes_sql('part', 'CASE WHEN test THEN 1 ELSE 0 END')}"
+        " SELECT model, 0 AS fold, id, label, prediction FROM pred WHERE fold = 1",
+    }
+    register(f"{_key}_predictions", _holdout(_model), _by_sql.get(_model))
 
 # smaller ensembles where models are fitted many times over
 REPEATED = {
@@ -394,6 +399,66 @@ def _group_cv(spark: SparkSession, folder: str) -> DataFrame:
     return crossval.cross_validate(ml_ready(groups.with_fold(df, folds)), GROUPED, test_fold=0, evaluate_holdout=True)
 
 
+# --- two classes: the third is dropped, folds are made of what is left, models see two classes only ----------
+
+
+def _binary_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    df = vectors(spark, folder).where("label < 2")
+    folds = groups.create_folds(df, labels=(0, 1))
+    return groups.with_fold(df, folds).where("fold <> 0"), folds
+
+
+def _binary_bayes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows, folds = _binary_rows(spark, folder)
+    predicted = gnb.cross_predict(rows)
+    return predicted.select(F.lit("NB").alias("model"), "fold", "id", "label", F.col("prediction").cast("int").alias("prediction")), folds
+
+
+BINARY_SQL = GROUP_SQL.replace("FROM embeddings)", "FROM embeddings WHERE label % 3 < 2)")
+
+
+def _binary_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(metrics.classification_report(_binary_bayes(spark, folder)[0], ["model"], labels=(0, 1)), _PRF)
+
+
+def _binary_table(spark: SparkSession, folder: str) -> DataFrame:
+    predicted, folds = _binary_bayes(spark, folder)
+    return _rounded(reports.group_result_table(predicted, folds, _titles(spark, folder), ["NB"], labels=(0, 1)), [f"NB_{m}" for m in _PRF])
+
+
+register(
+    "binary_predictions",
+    lambda s, f: _binary_bayes(s, f)[0],
+    f"WITH {BINARY_SQL} SELECT model, fold, id, label, prediction FROM pred",
+)
+register(
+    "binary_group_table",
+    _binary_table,
+    f"""WITH {BINARY_SQL}, {_scores_sql('0').replace('[0, 1, 2]', '[0, 1]')}
+SELECT scores.fold, scores.label, grp AS "group", n_name AS title, {", ".join(f"{sql_rounded(m)} AS NB_{m}" for m in _PRF)},
+  support AS NB_support FROM scores
+JOIN folds ON folds.fold = scores.fold AND folds.label = scores.label LEFT JOIN nation ON n_nationkey = grp""",
+)
+register(
+    "binary_report",
+    _binary_report,
+    f"""WITH {BINARY_SQL}, {_scores_sql('0', 'model').replace('[0, 1, 2]', '[0, 1]')},
+lines AS (SELECT model, label::VARCHAR AS row, precision, recall, f1, support FROM scores
+UNION ALL SELECT model, 'accuracy', NULL, NULL, sum(tp)::DOUBLE / sum(support), sum(support) FROM scores GROUP BY model
+UNION ALL SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM scores GROUP BY model
+UNION ALL SELECT model, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1 * support) / sum(support), sum(support) FROM scores GROUP BY model)
+SELECT model, row, {_shown(_PRF)}, support::BIGINT AS support FROM lines""",
+)
+
+
+def _binary_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """The four models, trained on two classes, with their scores per fold."""
+    rows, _ = _binary_rows(spark, folder)
+    return metrics.weighted_scores(crossval.cross_validate(ml_ready(rows), GROUPED), ["model", "fold"])
+
+
+register("binary_cv_scores", _binary_cv)
 register("cv_models", lambda s, f: metrics.cv_summary(_cv_models(s, f)))
 register("fold_predictions", _group_cv)
 register("group_cv_models", lambda s, f: metrics.weighted_scores(_group_cv(s, f), ["model", "fold"]))
