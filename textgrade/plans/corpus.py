@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textgrade.fixed_values import THIRD_CLASS_CAP
 from textgrade.functions import names
 from textgrade.functions.text import normalized, split_lines, split_units
-from textgrade.operators import frequency, groups, ingest, langid, metrics, profile, ranking, sampling
+from textgrade.operators import frequency, groups, ingest, langid, profile, ranking, sampling
 from textgrade.plans.document_features import GROUPED_SQL, NAMED_SQL, documents, named_documents
 from textgrade.plans.registry import register, rounded, sql_rounded
 from textgrade.sources.tables import read_table
