@@ -186,8 +186,8 @@ def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
         yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _sent(cell: Cell, number: int, which: np.ndarray, buckets: int, extra: dict | None = None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a cell as one row for each bucket."""
+def _sent(cell: Cell, number: int, which: np.ndarray, buckets: int, with_bytes: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs of a cell as one row for each bucket, on request with the bytes of their contexts."""
     bucket = ((cell.gram[which] >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
@@ -200,7 +200,7 @@ def _sent(cell: Cell, number: int, which: np.ndarray, buckets: int, extra: dict
             "context": [cell.context[p].tobytes() for p in parts],
             "id": [cell.id[p].tobytes() for p in parts],
         }
-        if extra is not None:
+        if with_bytes:
             a = cell.anchors
             data["bytes"] = [a.bytes_of(cell.first[p]).tobytes() for p in parts]
             data["sides"] = [np.stack([a.left[cell.first[p]], a.right[cell.first[p]]], 1).astype(np.uint8).tobytes() for p in parts]
@@ -364,7 +364,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             gram, context, mask = _answers(right)
             if (mask == 0).any():
                 cell = Cell(row, match)
-                out += _sent(cell, row["cell"], np.unique(cell.find(gram[mask == 0], context[mask == 0])), buckets, {})
+                out += _sent(cell, row["cell"], np.unique(cell.find(gram[mask == 0], context[mask == 0])), buckets, True)
         return pa.Table.from_batches(out, asked) if out else asked.empty_table()
 
     asked = pa.schema([("bucket", pa.int64()), ("cell", pa.int64())] + [(n, pa.binary()) for n in ("gram", "context", "id", "bytes", "sides")])
