@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textgrade.llm.common import bound_batches
+
 # Classes of code points and states of the automaton.
 L, N, O, A2, A3, WS, WS_LAST, SPACE_LAST = range(8)
 FRESH, IN_L, IN_N, IN_O, IN_WS, AFTER_SPACE, LEFT1, LEFT2 = range(8)
@@ -327,5 +329,6 @@ _DECIMAL = [b"%d" % i for i in range(1 << 17)]
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return chosen, chosen.schema["doc_id"].dataType.simpleString()

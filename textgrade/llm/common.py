@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,27 @@ def drop_saved(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_AT_ONCE = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Python workers get at most ``TEXTS_AT_ONCE`` rows in a batch: texts are long and batches go by rows."""
+    if int(spark.conf.get(BATCH_ROWS)) > TEXTS_AT_ONCE:
+        spark.conf.set(BATCH_ROWS, str(TEXTS_AT_ONCE))
+
+
+@contextmanager
+def wide_batches(spark: SparkSession, rows: int = 10_000) -> Iterator[None]:
+    """Batches of many rows for what is computed inside, where rows are a few numbers."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple[int, ...]], schema: str) -> DataFrame:
     """A few rows of numbers as a table; none give an empty table."""
     names = [c.split()[0] for c in schema.split(",")]

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textgrade.llm.common import bound_batches
+
 UNKNOWN = "und"
 SAMPLE = 3000  # labelled passages that a model is fitted on, at most
 PASSAGE = 40  # words of such a passage
@@ -25,7 +27,7 @@ NGRAMS = (1, 2, 3, 4)
 SPACE = 1 << 17  # hashed n-gram features
 ROUNDS, RATE, DECAY = 60, 0.15, 1e-3  # of the fit
 TYPICAL, SEEN = 0.9, 3  # share of a language in a word of its lexicon, and how often it must be seen
-CACHE = 400_000  # chunks and words kept in the caches of a worker
+CACHE = 250_000  # chunks and words kept in the caches of a worker
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -275,8 +277,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     null or has no letter is ``und`` with score 0, and so is every text under a model without languages.
     Of languages with equal shares the first by name wins. Only the text is looked at.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    readers: dict[str, Reader] = {}
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(shared.value)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import saved
+from textgrade.llm.common import bound_batches, saved
 
 RUN = 2  # lines of the shortest run that is deleted
 BLANK = " \t\r"
@@ -79,6 +79,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of different texts under one id the one with the smaller hash is the earlier; rows equal in id and
     text are one document and are treated alike. Columns already called like the counts are replaced.
     """
+    bound_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     digest = F.xxhash64(F.col(text_col))
     keyed = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import components, saved
+from textgrade.llm.common import bound_batches, components, saved
 from textgrade.llm.order import in_order, pairs
 
 PERMS, WIDTH = 128, 5
@@ -138,6 +138,7 @@ def fingerprints_and_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
             columns = [ids, n, sha, hexed(own[:-1]), hexed(changed), likeness(own[:-1], changed), likeness(own[:-1], own[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    bound_batches(docs.sparkSession)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string())]
         + [("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
@@ -164,6 +165,7 @@ def _banded(docs: DataFrame, id_col: str, text_col: str, perms: int, width: int)
             columns = [*batch.columns[:2], pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bands", "shingles"])
 
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()

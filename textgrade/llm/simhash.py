@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import components, saved
+from textgrade.llm.common import bound_batches, components, saved, wide_batches
 
 SEED = 42  # fixed value: seed of the shingle hash
 BITS_AT_ONCE = 1 << 15  # shingles whose bits are counted together
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((simhash(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
 
+    bound_batches(docs.sparkSession)
     text = F.col(text_col)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
@@ -170,7 +171,8 @@ def links(fps: DataFrame, max_bits: int = 4, block_size: int = BLOCK) -> DataFra
     """``a, b``: enough links between distinct fingerprints to connect all that are near."""
     keyed = postings(fps.select("fp").distinct(), max_bits)
     dealt = keyed.repartition(F.hash("places", "bytes")).sortWithinPartitions("places", "bytes", "fp")
-    swept = saved(dealt.mapInArrow(_sweep(max_bits, block_size), "a long, b long, places short, bytes long, block int"))
+    with wide_batches(fps.sparkSession):
+        swept = saved(dealt.mapInArrow(_sweep(max_bits, block_size), "a long, b long, places short, bytes long, block int"))
     found = swept.filter("block IS NULL").select("a", "b")
     long = swept.filter("block IS NOT NULL")
     if long.isEmpty():

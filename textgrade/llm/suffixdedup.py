@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import cell_count, saved
+from textgrade.llm.common import bound_batches, cell_count, saved
 
 MATCH = 50
 GRAM = 16
@@ -345,8 +345,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).cast("long").alias("__id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__text"),
     )
+    bound_batches(docs.sparkSession)
     cells = saved(_pack(given, "__text", cell_bytes))
-    buckets = cell_count(docs, text_col, 2 * cell_bytes)
+    buckets = cell_count(docs, text_col, cell_bytes)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
