@@ -267,7 +267,8 @@ def test_shards_are_even_and_whole(spark):
 
 
 def test_tokens_with_a_small_cache(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 40)
+    monkeypatch.setattr(packing, "CHUNKS", 40)
+    monkeypatch.setattr(packing, "NAMES", 30)
     tokens = packing.Tokens(WORDS)
     rng = random.Random(8)
     texts = [" ".join("".join(rng.choice("abcde!") for _ in range(rng.randint(1, 4))) for _ in range(60)) for _ in range(50)]

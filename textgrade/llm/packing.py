@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from textgrade.llm.common import bound_batches, saved
 
 CAPACITY = 2048
-CACHE = 400_000  # chunks of text kept in the cache of a worker
+CHUNKS, NAMES = 300_000, 500_000  # chunks and words kept in the caches of a worker
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the word rule of the vocabulary file
 
 
@@ -46,7 +46,7 @@ class Tokens:
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.chunks, self.words = _Lists(), _Lists()
+        self.chunks, self.words = _Lists(CHUNKS), _Lists(NAMES)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -85,39 +85,47 @@ def _plain(text: str) -> bool:
 
 
 class _Lists:
-    """A cache from strings to lists of ids, held as one array; emptied when it has ``CACHE`` entries."""
+    """A cache from strings to lists of ids, held as one array.
 
-    def __init__(self) -> None:
+    It is filled once, and so with what is common; what comes later is made each time it is needed. When
+    that has happened twice as often as there are entries, the texts have changed and it starts anew.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.n, self.missed = limit, 0, 0
         self.place: dict[str, int] = {}
-        self.ids, self.ends, self.n = np.zeros(1 << 20, np.uint32), np.zeros(CACHE + 1, np.int64), 0
+        self.ids, self.ends = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64)
 
     def get(self, keys: list[str], make) -> tuple[np.ndarray, np.ndarray]:
         """The lists of ``keys`` end to end, and the bounds of each; ``make`` gives those not held."""
         at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            new = list(dict.fromkeys(map(keys.__getitem__, missing)))
-            if self.n + len(new) > CACHE:
-                held = self.n
-                self.place.clear()
-                self.n = 0
-                if held:
-                    return self.get(keys, make)
-                half = len(keys) // 2
-                (a, x), (b, y) = self.get(keys[:half], make), self.get(keys[half:], make)
-                return np.r_[a, b], np.r_[x, y[1:] + len(a)]
+            wanted = list(map(keys.__getitem__, missing))
+            new = list(dict.fromkeys(wanted))
             flat, bounds = make(new)
-            used = self.ends[self.n]
+            used, last = self.ends[self.n], self.n + len(new)
             if used + len(flat) > len(self.ids):
                 self.ids = np.r_[self.ids[:used], np.zeros(used + 2 * len(flat), np.uint32)]
+            if last >= len(self.ends):
+                self.ends = np.r_[self.ends[: self.n + 1], np.zeros(last + 1, np.int64)]
+            # entries beyond the limit stand behind the others until the next call
             self.ids[used : used + len(flat)] = flat
-            self.ends[self.n + 1 : self.n + 1 + len(new)] = used + bounds[1:]
-            self.place.update(zip(new, range(self.n, self.n + len(new))))
-            self.n += len(new)
-            at[missing] = np.fromiter(map(self.place.__getitem__, map(keys.__getitem__, missing)), np.int64, len(missing))
+            self.ends[self.n + 1 : last + 1] = used + bounds[1:]
+            numbers = dict(zip(new, range(self.n, last)))
+            at[missing] = np.fromiter(map(numbers.__getitem__, wanted), np.int64, len(wanted))
         starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
         bounds = np.r_[0, np.cumsum(sizes)]
-        return self.ids[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+        out = self.ids[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])]
+        if missing:
+            kept = max(0, min(len(new), self.limit - self.n))
+            self.place.update(zip(new[:kept], range(self.n, self.n + kept)))
+            self.n += kept
+            self.missed += len(new) - kept
+            if self.missed > 2 * self.limit:
+                self.place.clear()
+                self.n = self.missed = 0
+        return out, bounds
 
 
 _TOKENS: dict[str, Tokens] = {}
