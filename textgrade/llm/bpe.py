@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import bound_batches
+from textgrade.llm.common import bound_batches, worker_cache
 
 # Classes of code points and states of the automaton.
 L, N, O, A2, A3, WS, WS_LAST, SPACE_LAST = range(8)
@@ -269,14 +269,9 @@ class Encoder:
         return self.bytes[shift + np.arange(len(shift))].tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this worker for a rank file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_cache(f"ranks {path}", lambda: Encoder(path))
 
 
 def encode_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from typing import Any
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +58,28 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_ROWS, str(TEXTS_AT_ONCE))
 
 
+_HELD: dict[str, Any] = {}
+
+
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps from task to task under ``name``.
+
+    Workers outlive operators, so only one thing is kept: a task that asks for another drops it.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the machine, which its other processes need."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # of the C library only some have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def wide_batches(spark: SparkSession, rows: int = 10_000) -> Iterator[None]:
     """Batches of many rows for what is computed inside, where rows are a few numbers."""

@@ -10,6 +10,7 @@ text is the one with the greatest share of letters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import bound_batches
+from textgrade.llm.common import bound_batches, worker_cache
 
 UNKNOWN = "und"
 SAMPLE = 3000  # labelled passages that a model is fitted on, at most
@@ -279,9 +280,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = f"language model {uuid.uuid4().hex}"
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        reader = Reader(shared.value)
+        reader = worker_cache(name, lambda: Reader(shared.value))
         for texts in batches:
             langs, scores = [], []
             for a, b in _read(reader, [t or "" for t in texts.to_pylist()]):

@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import bound_batches, saved
+from textgrade.llm.common import bound_batches, give_back, saved, worker_cache
 
 CAPACITY = 2048
-CHUNKS, NAMES = 300_000, 500_000  # chunks and words kept in the caches of a worker
+CHUNKS, NAMES = 250_000, 400_000  # chunks and words kept in the caches of a worker
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the word rule of the vocabulary file
 
 
@@ -128,9 +128,6 @@ class _Lists:
         return out, bounds
 
 
-_TOKENS: dict[str, Tokens] = {}
-
-
 def _encoded(tokens: Tokens, texts: list[str]) -> Iterator[np.ndarray]:
     group, size = [], 0
     for text in texts:
@@ -146,9 +143,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
     """``doc_id, piece, start, length, ids_crc32``: every document, its ids and a closing 0, cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _TOKENS:
-            _TOKENS[vocabulary] = Tokens(vocabulary)
-        tokens = _TOKENS[vocabulary]
+        tokens = worker_cache(f"words {vocabulary}", lambda: Tokens(vocabulary))
         for batch in batches:
             owner, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(_encoded(tokens, batch.column(1).to_pylist())):
@@ -158,6 +153,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                     owner.append(i), piece.append(k), start.append(at), length.append(len(part)), crc.append(zlib.crc32(part.astype("<u4").tobytes()))
             columns = [pa.array(c, k) for c, k in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

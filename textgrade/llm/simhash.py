@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import bound_batches, components, saved, wide_batches
+from textgrade.llm.common import bound_batches, components, give_back, saved, wide_batches, worker_cache
 
 SEED = 42  # fixed value: seed of the shingle hash
 BITS_AT_ONCE = 1 << 15  # shingles whose bits are counted together
@@ -58,9 +58,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, digest, fp`` of every row: id, hash of the text, fingerprint (0 for null and without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("fingerprints", int)
         for batch in batches:
             fps = np.fromiter((simhash(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
+        give_back()
 
     bound_batches(docs.sparkSession)
     text = F.col(text_col)

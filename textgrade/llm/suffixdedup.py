@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import bound_batches, cell_count, saved
+from textgrade.llm.common import bound_batches, cell_count, give_back, saved, worker_cache
 
 MATCH = 50
 GRAM = 16
@@ -155,6 +155,7 @@ def _pack(docs: DataFrame, text_col: str, cell_bytes: int) -> DataFrame:
     """Cells ``cell, ids, sizes, blob, rest``; the other columns travel along in ``rest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("passages", int)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -177,6 +178,7 @@ def _pack(docs: DataFrame, text_col: str, cell_bytes: int) -> DataFrame:
                     "rest": [squeeze(sink.getvalue().to_pybytes())],
                 }
                 yield pa.RecordBatch.from_pydict(row)
+        give_back()
 
     return docs.mapInArrow(run, "cell long, ids binary, sizes binary, blob binary, rest binary")
 
@@ -244,6 +246,8 @@ def _settle(match: int):
     everything = np.uint64((1 << (match - GRAM + 1)) - 1)
 
     def run(table: pa.Table) -> pa.Table:
+        worker_cache("passages", int)
+        give_back()
         cell, gram, context, ids = _joined(table)
         order = np.lexsort((ids, context, gram))
         cell, gram, context, ids = cell[order], gram[order], context[order], ids[order]
@@ -294,6 +298,8 @@ def _refine(match: int):
     width = -(-(2 * side + GRAM) // 8) * 8
 
     def run(table: pa.Table) -> pa.Table:
+        worker_cache("passages", int)
+        give_back()
         cell, gram, context, ids = _joined(table)
         contexts = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(-1, width)
         sides = np.frombuffer(b"".join(table["sides"].to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
@@ -354,12 +360,14 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for row in _rows(batch):
                 cell = Cell(row, match)
                 yield from _sent(cell, row["cell"], np.arange(len(cell.first)), buckets)
+        give_back()
 
     slim = cells.select("cell", "ids", "sizes", "blob")
     sent = slim.mapInArrow(first, "bucket long, cell long, gram binary, context binary, id binary")
     settled = saved(sent.groupBy("bucket").applyInArrow(_settle(match), _REPLY))
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         out = []
         for row in _rows(left):
             gram, context, mask = _answers(right)
@@ -375,6 +383,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     refined = saved(bytes_sent.groupBy("bucket").applyInArrow(_refine(match), _REPLY))
 
     def third(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         out = []
         for row in _rows(left):
             cell = Cell(row, match)
