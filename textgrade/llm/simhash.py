@@ -7,6 +7,11 @@ a key, the matching bytes of a pair are tallied, pairs below the guaranteed mini
 rest are verified bit by bit. Only a spanning forest of each list's links is given out, never all its
 pairs; lists that are too long for one task are compared in blocks spread over tasks. Components of
 these links are the near-duplicate classes.
+
+The pairs of :func:`alike_classes` can be far apart in bits, since a shingle set with a given Jaccard
+similarity to another has a fingerprint that is only likely to be near. Its positions are finer than
+bytes, ``max_bits + 1`` or more of them, keys also hold a class of set sizes, and every pair within the
+bound is verified by its shingle sets before it links.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ SEED = 42  # fixed value: seed of the shingle hash
 BITS_AT_ONCE = 1 << 15  # shingles whose bits are counted together
 SHORT_LIST = 32  # lists up to this length are compared by shifts
 BLOCK = 4096  # fingerprints of a list that one task compares with each other
+THRESHOLD = 0.8  # Jaccard similarity of shingle sets that are alike
+WIDE_BITS = 16  # sets of similarity 0.8 differ in 9.7 bits on the average: 99 of 100 in at most so many
+PAIRS_AT_ONCE = 1 << 20
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -45,7 +53,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def simhash(text: bytes | None, width: int = 4) -> int:
     """Fingerprint of a text: each bit is set in more than half of the shingle hashes."""
-    hashes = shingle_hashes(text or b"", width)
+    return majority(shingle_hashes(text or b"", width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit that is set in more than half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BITS_AT_ONCE):
         part = hashes[at : at + BITS_AT_ONCE]
@@ -71,15 +83,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, f"doc_id {kind}, digest long, fp long")
 
 
-def postings(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """``key, fp``: the choice of positions and their bytes, for each of the distinct fingerprints."""
-    need = 8 - max_bits
+def postings(fps: DataFrame, max_bits: int = 4, positions: int = 8) -> DataFrame:
+    """The rows of ``fps`` for each choice of ``positions - max_bits`` positions: its number, their bits, the row.
+
+    The 64 bits are cut into ``positions`` runs, as even as can be. Fingerprints that differ in at most
+    ``max_bits`` bits agree in that many positions at least, so they meet under one choice or more.
+    """
+    if not 0 <= max_bits < positions <= 64:
+        raise ValueError("there must be more positions than bits that may differ, and at most 64")
+    edges = [64 * i // positions for i in range(positions + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
     keys = []
-    for at, places in enumerate(combinations(range(8), need)):
-        mask = sum(0xFF << (8 * p) for p in places)
+    for at, places in enumerate(combinations(masks, positions - max_bits)):
+        mask = sum(places)
         signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(at).cast("short").alias("places"), F.col("fp").bitwiseAND(F.lit(signed)).alias("bytes")))
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.places", "key.bytes", "fp")
+        keys.append(F.struct(F.lit(at).cast("int").alias("places"), F.col("fp").bitwiseAND(F.lit(signed)).alias("bytes")))
+    return fps.select("*", F.explode(F.array(*keys)).alias("key")).select("key.places", "key.bytes", *fps.columns)
 
 
 def close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
@@ -171,7 +190,7 @@ def _sweep(max_bits: int, block_size: int):
 
 def links(fps: DataFrame, max_bits: int = 4, block_size: int = BLOCK) -> DataFrame:
     """``a, b``: enough links between distinct fingerprints to connect all that are near."""
-    keyed = postings(fps.select("fp").distinct(), max_bits)
+    keyed = postings(fps.select("fp").distinct(), max_bits).withColumn("places", F.col("places").cast("short"))
     dealt = keyed.repartition(F.hash("places", "bytes")).sortWithinPartitions("places", "bytes", "fp")
     with wide_batches(fps.sparkSession):
         swept = saved(dealt.mapInArrow(_sweep(max_bits, block_size), "a long, b long, places short, bytes long, block int"))
@@ -228,3 +247,102 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     digest = F.xxhash64(F.col(text_col))
     met = docs.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
     return met.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``doc_id, digest, mark, fp, n, shingles`` of every row; ``shingles`` are 32-bit hashes, once each.
+
+    ``mark`` is a hash of the set and ``fp`` the fingerprint of its members, so equal sets have both in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("fingerprints", int)
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py() or b"", width)) for t in batch.column(2)]
+            fps = np.fromiter(map(majority, found), np.uint64, len(found)).view(np.int64)
+            short = [np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32) for h in found]
+            marks = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in short), np.uint64, len(found)).view(np.int64)
+            columns = [*batch.columns[:2], pa.array(marks), pa.array(fps), pa.array([len(h) for h in short], pa.int32()), pa.array(short, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "mark", "fp", "n", "shingles"])
+        give_back()
+
+    bound_batches(docs.sparkSession)
+    text = F.col(text_col)
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    return chosen.mapInArrow(run, f"doc_id {kind}, digest long, mark long, fp long, n int, shingles array<int>")
+
+
+def wide_pairs(nodes: DataFrame, max_bits: int, threshold: float, first: bool, positions: int | None = None) -> DataFrame:
+    """``a, b``: marks of ``nodes (mark, fp, n, root)`` within ``max_bits`` whose sizes allow the similarity.
+
+    With ``first``, each node of a list is given the first one near it only; else it is given all that
+    have another root. Sizes that allow the similarity are in one class or in neighbouring ones: a node
+    stands in its own class and visits the next.
+    """
+    sized = F.when(F.col("n") > 0, F.floor(F.log("n") / F.lit(float(np.log(1 / threshold) * 1.01)))).otherwise(-2).cast("int")
+    met = nodes.select("mark", "fp", "n", "root", sized.alias("own"), F.explode(F.array(sized, sized + 1)).alias("size"))
+    keyed = postings(met, max_bits, positions or max_bits + 1)
+
+    def compare(table: pa.Table) -> pa.Table:
+        order = np.lexsort([np.asarray(table["mark"])])
+        mark, fp, n, root, own, size = (np.asarray(table[c])[order] for c in ("mark", "fp", "n", "root", "own", "size"))
+        fp, home, out = fp.view(np.uint64), own == size, [np.zeros((0, 2), np.int64)]
+        at, step = np.arange(len(mark)), max(1, PAIRS_AT_ONCE // len(mark))
+        for low in range(0, len(mark), step):
+            rows = at[low : low + step]
+            near = np.bitwise_count(fp[rows, None] ^ fp[None, : rows[-1] + 1]) <= max_bits
+            v, u = np.nonzero(near)
+            v = rows[v]
+            fit = (u < v) & (home[u] | home[v]) & (np.minimum(n[u], n[v]) >= threshold * np.maximum(n[u], n[v]) - 1e-6)
+            v, u = v[fit], u[fit]
+            if first:
+                v, place = np.unique(v, return_index=True)
+                u = u[place]
+            else:
+                apart = root[u] != root[v]
+                v, u = v[apart], u[apart]
+            out.append(np.stack([mark[u], mark[v]], axis=1))
+        found = np.concatenate(out)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    return keyed.groupBy("places", "bytes", "size").applyInArrow(compare, "a long, b long").distinct()
+
+
+def alike_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = WIDE_BITS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """``doc_id, digest, mark, root`` of every row: classes of texts whose shingle sets are alike.
+
+    Sets with fingerprints within ``max_bits`` bits are candidates, and only a Jaccard similarity of
+    ``threshold`` or more links them. First each set is compared with one near it under every key; sets
+    that this leaves in different classes then meet in pairs, so large groups cost no square of pairs.
+    Texts without words are alike in full.
+    """
+    rows = saved(shingle_sets(docs, id_col, text_col, width))
+    nodes = saved(rows.select("mark", "fp", "n", "shingles").dropDuplicates(["mark"]))
+    sets = nodes.select("mark", "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return met.filter(both / (F.size("x") + F.size("y") - both) >= threshold).select("a", "b")
+
+    tried = saved(wide_pairs(nodes.select("mark", "fp", "n", F.col("mark").alias("root")), max_bits, threshold, True))
+    links = saved(verified(tried))
+    classes = components(links).toDF("mark", "root")
+    placed = saved(nodes.join(classes, "mark", "left").select("mark", "fp", "n", F.coalesce("root", "mark").alias("root")))
+    rest = wide_pairs(placed, max_bits, threshold, False).join(tried, ["a", "b"], "left_anti")
+    roots = components(links.union(verified(rest))).toDF("mark", "root")
+    return rows.select("doc_id", "digest", "mark").join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+
+
+def without_alike(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = WIDE_BITS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """``docs`` with one row of each class of :func:`alike_classes`: the smallest id (null last), then hash of the text."""
+    found = alike_classes(docs, id_col, text_col, width, max_bits, threshold)
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row"))
+    stays = stays.select(F.col("row.doc_id").alias("__id"), F.col("row.digest").alias("__digest"))
+    met = docs.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__digest")))
+    return met.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
