@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from textgrade.plans import load_all
+from textgrade.plans import load_all, modelling
 from textgrade.plans.document_features import FEATURE_SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,3 +57,21 @@ def test_class_filter_reaches_the_scan(spark):
 
     text = plan(read_table(spark, FOLDER, "lineitem").where("l_quantity < 5").select("l_orderkey"))
     assert "PushedFilters: [IsNotNull(l_quantity), LessThan(l_quantity,5.0)]" in text
+
+
+def test_tree_curve_has_every_size_and_model(spark, monkeypatch):
+    asked = {}
+
+    def curve(df, models, names, ranked, sizes=None, labels=None):
+        asked["curve"] = (set(models), list(sizes or range(1, len(names) + 1)))
+        return df.sparkSession.createDataFrame([(m, 1, 0.5) for m in models], "model string, n_features int, f1 double")
+
+    def ranks(df, models, names, step=1):
+        asked["step"] = step
+        return df.sparkSession.createDataFrame([(m, n, i) for m in models for i, n in enumerate(names)], "model string, feat string, rank int")
+
+    monkeypatch.setattr(modelling.selection, "forward_curve", curve)
+    monkeypatch.setattr(modelling.selection, "rfe_ranks", ranks)
+    table = entry.queries()["forward_curve_trees"](spark, "/root/testdata/sf0.001")
+    assert table.columns == ["n_features", "RF", "XGBRF", "XGB"]
+    assert asked == {"curve": ({"RF", "XGBRF", "XGB"}, list(range(1, 65))), "step": 1}

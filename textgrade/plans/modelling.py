@@ -493,17 +493,17 @@ register("rfe_table", lambda s, f: selection.rank_table(_ranks(s, f), FOLD_MODEL
 register("rfe_sorted", lambda s, f: selection.sorted_features(_ranks(s, f), FOLD_MODELS))
 
 
-def _curve(spark: SparkSession, folder: str, models, sizes=None) -> DataFrame:
+def _curve(spark: SparkSession, folder: str, models) -> DataFrame:
     rows, _ = _group_rows(spark, folder)
-    ranks = selection.rfe_ranks(ml_ready(rows), models, NAMES, {"RF": 16, "XGB": 16, "XGBRF": 16})
+    ranks = selection.rfe_ranks(ml_ready(rows), models, NAMES)
     ranked = {m: selection.top_features(ranks, m, len(NAMES)) for m in models}
-    return selection.forward_curve(ml_ready(rows), models, NAMES, ranked, sizes)
+    return selection.forward_curve(ml_ready(rows), models, NAMES, ranked)
 
 
 register("forward_curve", lambda s, f: _curve(s, f, {"LDA": GROUPED["LDA"]}))
 register(
     "forward_curve_trees",
-    lambda s, f: selection.curve_table(_curve(s, f, {"RF": TREES["RF"], "XGBRF": TREES["XGBRF"]}, (1, 8, 64)), ("RF", "XGBRF")),
+    lambda s, f: selection.curve_table(_curve(s, f, TREES), ("RF", "XGBRF", "XGB")),
 )
 
 
