@@ -75,3 +75,16 @@ def test_tree_curve_has_every_size_and_model(spark, monkeypatch):
     table = entry.queries()["forward_curve_trees"](spark, "/root/testdata/sf0.001")
     assert table.columns == ["n_features", "RF", "XGBRF", "XGB"]
     assert asked == {"curve": ({"RF", "XGBRF", "XGB"}, list(range(1, 65))), "step": 1}
+
+
+def test_elimination_drops_one_feature_a_round(spark, monkeypatch):
+    steps = []
+
+    def ranks(df, models, names, step=1):
+        steps.append((set(models), step))
+        return df.sparkSession.createDataFrame([(m, n, i) for m in models for i, n in enumerate(names)], "model string, feat string, rank int")
+
+    monkeypatch.setattr(modelling.selection, "rfe_ranks", ranks)
+    for name in ("rfe_ranks", "rfe_table", "rfe_sorted"):
+        entry.queries()[name](spark, FOLDER)
+    assert steps == [({"LDA", "RF", "XGB", "XGBRF"}, 1)] * 3

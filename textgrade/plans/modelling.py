@@ -484,8 +484,8 @@ register(
 
 
 def _ranks(spark: SparkSession, folder: str) -> DataFrame:
-    """LDA one feature per round, the tree models eight."""
-    return selection.rfe_ranks(ml_ready(split(spark, folder)[0]), GROUPED, NAMES, {"RF": 8, "XGB": 8, "XGBRF": 8})
+    """One feature per round for every model."""
+    return selection.rfe_ranks(ml_ready(split(spark, folder)[0]), GROUPED, NAMES)
 
 
 register("rfe_ranks", _ranks)
