@@ -10,6 +10,7 @@ from textgrade.models import crossval, gnb, knn, lda, selection
 from textgrade.models.moments import class_moments, moment_matrices
 from textgrade.models.registry import MODELS, boosted_forest, boosted_trees, forest
 from textgrade.operators import metrics, sampling
+from textgrade.plans import modelling
 
 
 def blobs(spark, n=300, d=5, k=3, seed=0):
@@ -199,3 +200,9 @@ def test_small_spread_of_large_values(spark):
     folded = df.withColumn("fold", (df.id % 7).cast("int"))
     for predicted in (gnb.cross_predict(folded), crossval.lda_cross_predict(folded)):
         assert predicted.where("prediction = label").count() > 900
+
+
+def test_ensembles_have_a_hundred_members():
+    assert MODELS["RF"]().getNumTrees() == MODELS["XGBRF"]().getNumTrees() == 100
+    assert MODELS["XGB"]().getClassifier().getMaxIter() == 100
+    assert {m: modelling.GROUPED[m] for m in ("RF", "XGB", "XGBRF")} == {m: modelling.TREES[m] for m in ("RF", "XGB", "XGBRF")} == {m: MODELS[m] for m in ("RF", "XGB", "XGBRF")}

@@ -61,16 +61,16 @@ def kernel_machine(size: int = 128, max_iter: int = 20) -> Estimator:
     )
 
 
-def boosted_trees(rounds: int = 10, depth: int = 3, seed: int = SEED) -> Estimator:
+def boosted_trees(rounds: int = 100, depth: int = 3, seed: int = SEED) -> Estimator:
     """Gradient-boosted trees for any number of classes."""
     return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed), parallelism=3)
 
 
-def forest(trees: int = 20, depth: int = 6, seed: int = SEED) -> Estimator:
+def forest(trees: int = 100, depth: int = 6, seed: int = SEED) -> Estimator:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
 
 
-def boosted_forest(trees: int = 20, depth: int = 6, seed: int = SEED) -> Estimator:
+def boosted_forest(trees: int = 100, depth: int = 6, seed: int = SEED) -> Estimator:
     """Forest that sees 80 % of the rows per tree and 80 % of the features per split."""
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
 

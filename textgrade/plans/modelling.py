@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textgrade.functions.arrays import argmax, unnest_scores
 from textgrade.models import crossval, gnb, knn, reports, selection
 from textgrade.models.moments import class_moments
-from textgrade.models.registry import FOLD_MODELS, MODELS, boosted_forest, boosted_trees, forest
+from textgrade.models.registry import FOLD_MODELS, MODELS
 from textgrade.operators import groups, metrics, sampling
 from textgrade.operators.features import FEATURE_NAMES
 from textgrade.plans.document_features import dictionary_counts, documents, feature_table
@@ -377,19 +377,12 @@ for _key, _model in (
     }
     register(f"{_key}_predictions", _holdout(_model), _by_sql.get(_model))
 
-# smaller ensembles where models are fitted many times over
-REPEATED = {
-    **MODELS,
-    "RF": lambda: forest(10, 4),
-    "XGB": lambda: boosted_trees(3, 3),
-    "XGBRF": lambda: boosted_forest(10, 4),
-}
-GROUPED = {m: REPEATED[m] for m in FOLD_MODELS}
-TREES = {"RF": REPEATED["RF"], "XGBRF": REPEATED["XGBRF"], "XGB": REPEATED["XGB"]}
+GROUPED = {m: MODELS[m] for m in FOLD_MODELS}
+TREES = {m: MODELS[m] for m in ("RF", "XGBRF", "XGB")}
 
 
 def _cv_models(spark: SparkSession, folder: str) -> DataFrame:
-    return crossval.cross_validate(ml_ready(folded(spark, folder)), REPEATED)
+    return crossval.cross_validate(ml_ready(folded(spark, folder)), MODELS)
 
 
 def _group_cv(spark: SparkSession, folder: str) -> DataFrame:
