@@ -2,9 +2,9 @@
 
 A suffix has a long enough previous factor exactly if a suffix with the same first ``match`` bytes
 starts in a document with a smaller id, and such suffixes are neighbours in suffix order, wherever they
-come from. So the order need not be built in one place: suffixes are dealt by content, sorted bucket by
-bucket, and the longest previous factor is read off the next suffixes above and below whose document is
-smaller (previous and next smaller position).
+come from. So the order need not be built in one place: suffixes are dealt by content, their windows of
+``match`` bytes are sorted bucket by bucket, and the smallest document of each group of equal windows
+decides. This replaces the array of longest previous factors, which is not computed.
 
 To deal only suffixes that can repeat, each window of ``match`` bytes is represented by an anchor: the
 ``GRAM`` bytes in it with the smallest hash. Equal windows have equal anchors at equal places, and the
