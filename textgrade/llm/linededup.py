@@ -3,8 +3,8 @@
 The lines of a document that are not blank are hashed. Every window of ``run`` such lines in a row has
 a smallest hash; these window minima are the fingerprints, so every run of that many lines holds one.
 Positions with the same fingerprint are joined through the list of fingerprints found more than once.
-From each of them the match is extended both ways, over the windows whose minimum it is; a window whose
-lines stand earlier too is a repeat, and repeats that touch make one run. All lines of repeats are
+The windows around them are then grouped by their own hash, which replaces joining positions and
+extending matches; a window whose lines stand earlier too is a repeat, and repeats that touch make one run. All lines of repeats are
 deleted, the first occurrence stays. Grouping by window keeps this linear: no pairs of positions arise.
 """
 
