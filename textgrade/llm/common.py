@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from itertools import repeat
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +82,55 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+ENTRY_BYTES = 150  # about what a key costs beside its characters
+
+
+class ListCache:
+    """A cache from strings to lists of ids, held as one array, of ``limit`` bytes at most.
+
+    It is filled once, and so with what is common; what comes later is made each time it is needed. When
+    what was left out would have filled it twice, the texts have changed and it starts anew.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.n, self.held, self.missed = limit, 0, 0, 0
+        self.place: dict[Any, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def get(self, keys: list, make: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of ``keys`` end to end, and the bounds of each; ``make`` gives those not held, in this form."""
+        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            wanted = list(map(keys.__getitem__, missing))
+            new = list(dict.fromkeys(wanted))
+            flat, bounds = make(new)
+            used, last = int(self.ends[self.n]), self.n + len(new)
+            if used + len(flat) > len(self.ids):
+                self.ids = np.r_[self.ids[:used], np.zeros(used // 2 + len(flat), np.uint32)]
+            if last >= len(self.ends):
+                self.ends = np.r_[self.ends[: self.n + 1], np.zeros(len(new) + self.n // 2 + 1, np.int64)]
+            # entries beyond the limit stand behind the others until the next call
+            self.ids[used : used + len(flat)] = flat
+            self.ends[self.n + 1 : last + 1] = used + bounds[1:]
+            numbers = dict(zip(new, range(self.n, last)))
+            at[missing] = np.fromiter(map(numbers.__getitem__, wanted), np.int64, len(wanted))
+        starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
+        ends = np.r_[0, np.cumsum(sizes)]
+        out = self.ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        if missing:
+            cost = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 4 * np.diff(bounds) + ENTRY_BYTES)
+            kept = int(np.searchsorted(cost, self.limit - self.held, side="right"))
+            self.place.update(zip(new[:kept], range(self.n, self.n + kept)))
+            self.n += kept
+            self.held += int(cost[kept - 1]) if kept else 0
+            self.missed += int(cost[-1] - (cost[kept - 1] if kept else 0))
+            if self.missed > 2 * self.limit:
+                self.place.clear()
+                self.n = self.held = self.missed = 0
+        return out, ends
+
+
 @contextmanager
 def wide_batches(spark: SparkSession, rows: int = 10_000) -> Iterator[None]:
     """Batches of many rows for what is computed inside, where rows are a few numbers."""
