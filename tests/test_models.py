@@ -203,6 +203,7 @@ def test_small_spread_of_large_values(spark):
 
 
 def test_ensembles_have_a_hundred_members():
-    assert MODELS["RF"]().getNumTrees() == MODELS["XGBRF"]().getNumTrees() == 100
-    assert MODELS["XGB"]().getClassifier().getMaxIter() == 100
-    assert {m: modelling.GROUPED[m] for m in ("RF", "XGB", "XGBRF")} == {m: modelling.TREES[m] for m in ("RF", "XGB", "XGBRF")} == {m: MODELS[m] for m in ("RF", "XGB", "XGBRF")}
+    specs = {m: MODELS[m]().spec for m in ("RF", "XGB", "XGBRF")}
+    assert specs["RF"].members == specs["XGBRF"].members == specs["XGB"].rounds == 100
+    assert specs["XGB"].depth == specs["XGBRF"].depth == 6 and specs["RF"].depth >= 30
+    assert {m: modelling.GROUPED[m] for m in specs} == {m: modelling.TREES[m] for m in specs} == {m: MODELS[m] for m in specs}

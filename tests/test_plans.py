@@ -77,7 +77,7 @@ def test_tree_curve_has_every_size_and_model(spark, monkeypatch):
     assert asked == {"curve": ({"RF", "XGBRF", "XGB"}, list(range(1, 65))), "step": 1}
 
 
-def test_elimination_drops_one_feature_a_round(spark, monkeypatch):
+def test_elimination_drops_one_feature_a_round_and_is_saved(spark, monkeypatch):
     steps = []
 
     def ranks(df, models, names, step=1):
@@ -85,6 +85,7 @@ def test_elimination_drops_one_feature_a_round(spark, monkeypatch):
         return df.sparkSession.createDataFrame([(m, n, i) for m in models for i, n in enumerate(names)], "model string, feat string, rank int")
 
     monkeypatch.setattr(modelling.selection, "rfe_ranks", ranks)
+    monkeypatch.setattr(modelling, "_SAVED", {})
     for name in ("rfe_ranks", "rfe_table", "rfe_sorted"):
         entry.queries()[name](spark, FOLDER)
-    assert steps == [({"LDA", "RF", "XGB", "XGBRF"}, 1)] * 3
+    assert steps == [({"LDA", "RF", "XGB", "XGBRF"}, 1)]  # and shared by the three

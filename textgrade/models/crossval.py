@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textgrade.models import lda
 from textgrade.models.moments import class_moments, column_means, moment_matrices, without_fold
 from textgrade.models.scoring import score_batches
+from textgrade.models.trees import Fit, TreeEnsemble, bin_rows, run_fits
 from textgrade.session import materialize
 
 PREDICTION_COLUMNS = ("model", "fold", "id", "label", "prediction")
@@ -62,24 +63,37 @@ def cross_validate(
 
     ``df`` has ``id, features, label, fold``. Rows of ``test_fold`` are kept out of training and
     validation; ``evaluate_holdout`` adds them, scored by models of all other rows. The input is
-    computed once; fits run side by side from a small driver pool.
+    computed once; tree ensembles grow together, other fits run side by side from a small driver pool.
     """
     data = materialize(df.select("id", "features", F.col("label").cast("double").alias("label"), "fold"))
     open_rows = data if test_fold is None else data.where(F.col("fold") != test_fold)
     folds = [r["fold"] for r in open_rows.select("fold").distinct().orderBy("fold").collect()]
-    jobs = [(name, f) for f in folds for name in models]
     if evaluate_holdout and test_fold is not None:
-        jobs += [(name, test_fold) for name in models]
+        folds.append(test_fold)
+    jobs = [(name, f) for f in folds for name in models]
+    made = {name: models[name]() for name in models}
+    grown = [(name, f) for name, f in jobs if isinstance(made[name], TreeEnsemble)]
+    parts = [_grow(data, made, grown, test_fold)] if grown else []
 
     def run(job: tuple[str, int]) -> DataFrame:
         name, fold = job
         return train_model(models[name](), open_rows.where(F.col("fold") != fold), data.where(F.col("fold") == fold), name, fold)
 
     with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(run, jobs))
+        parts += pool.map(run, [j for j in jobs if j not in grown])
     return reduce(DataFrame.unionByName, parts)
 
 
+def _grow(data: DataFrame, made: Mapping[str, TreeEnsemble], jobs: Sequence[tuple[str, int]], test_fold: int | None) -> DataFrame:
+    """The tree ensembles of all folds and models in one batch."""
+    binned = bin_rows(data)
+    apart = () if test_fold is None else (test_fold,)
+    every = tuple(range(len(binned.edges)))
+    fits = [Fit(made[name].spec, every, fold, apart) for name, fold in jobs]
+    numbers = data.sparkSession.createDataFrame([(i, name, int(fold)) for i, (name, fold) in enumerate(jobs)], "fit int, model string, fold int")
+    return run_fits(binned, fits).join(F.broadcast(numbers), "fit").select(*PREDICTION_COLUMNS)
+
+
 def lda_cross_predict(df: DataFrame, fold: str = "fold", vector: str = "features") -> DataFrame:
     """LDA predictions of each row by the model of all other folds, from one aggregation."""
     centre = column_means(df, vector)

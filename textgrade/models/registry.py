@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,6 +24,7 @@ from pyspark.ml import Transformer
 from textgrade.fixed_values import SEED
 from textgrade.models.knn import NearestNeighbours
 from textgrade.models.lda import LinearDiscriminant
+from textgrade.models.trees import BOOSTED, BOOSTED_FOREST, FOREST, TreeEnsemble
 
 
 class RandomFourierFeatures(Transformer):
@@ -61,18 +61,19 @@ def kernel_machine(size: int = 128, max_iter: int = 20) -> Estimator:
     )
 
 
-def boosted_trees(rounds: int = 100, depth: int = 3, seed: int = SEED) -> Estimator:
-    """Gradient-boosted trees for any number of classes."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed), parallelism=3)
+def boosted_trees(rounds: int = 100, depth: int = 6, seed: int = SEED) -> Estimator:
+    """Gradient boosting of a softmax over all classes, a tree a class and round."""
+    return TreeEnsemble(replace(BOOSTED, rounds=rounds, depth=depth, seed=seed))
 
 
-def forest(trees: int = 100, depth: int = 6, seed: int = SEED) -> Estimator:
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+def forest(trees: int = 100, depth: int = 40, seed: int = SEED) -> Estimator:
+    """Forest of bootstrapped trees that see the square root of the features a node."""
+    return TreeEnsemble(replace(FOREST, members=trees, depth=depth, seed=seed))
 
 
 def boosted_forest(trees: int = 100, depth: int = 6, seed: int = SEED) -> Estimator:
-    """Forest that sees 80 % of the rows per tree and 80 % of the features per split."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    """One round of parallel trees a class, on 80 % of the rows and 80 % of the features a node."""
+    return TreeEnsemble(replace(BOOSTED_FOREST, members=trees, depth=depth, seed=seed))
 
 
 MODELS: dict[str, Callable[[], Estimator]] = {

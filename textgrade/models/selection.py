@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from textgrade.models import lda
 from textgrade.models.crossval import THREADS, train_model
-from textgrade.models.moments import class_moments, moment_matrices, without_fold
+from textgrade.models.moments import class_moments, column_means, moment_matrices, without_fold
+from textgrade.models.trees import Fit, TreeEnsemble, TreeEnsembleModel, bin_rows, run_fits, run_importances
 from textgrade.operators.metrics import CLASSES, mean_weighted_f1, weighted_scores
 from textgrade.session import materialize
 
@@ -30,6 +31,8 @@ def importances(model) -> np.ndarray:
         return np.mean([importances(m) for m in model.models], axis=0)
     if isinstance(model, lda.LinearDiscriminantModel):
         return model.discriminant.importance()
+    if isinstance(model, TreeEnsembleModel):
+        return model.importance()
     return model.featureImportances.toArray()
 
 
@@ -43,20 +46,26 @@ def feature_importance(df: DataFrame, models: Mapping[str, Callable[[], Estimato
     return table.withColumn("place", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("importance"), "feat")))
 
 
-def _eliminate(names: Sequence[str], step: int, weigh: Callable[[list[int]], np.ndarray]) -> list[int]:
-    """Ranks per feature: 1 for the last one left, one more per round for those dropped before."""
-    left, rounds = list(range(len(names))), []
-    while len(left) > 1:
-        weights = weigh(left)
-        order = sorted(range(len(left)), key=lambda i: (weights[i], names[left[i]]))
-        dropped = [left[i] for i in order[: min(step, len(left) - 1)]]
-        rounds.append(dropped)
-        left = [f for f in left if f not in dropped]
-    ranks = [1] * len(names)
-    for distance, dropped in enumerate(reversed(rounds)):
-        for f in dropped:
-            ranks[f] = distance + 2
-    return ranks
+class _Elimination:
+    """Features still in play for one model, and those dropped round by round."""
+
+    def __init__(self, names: Sequence[str], step: int):
+        self.names, self.step, self.left, self.rounds = names, step, list(range(len(names))), []
+
+    def drop(self, weights: Sequence[float]) -> None:
+        """Drop the lightest features; ``weights`` are those of ``left``, equal ones go by name."""
+        order = sorted(range(len(self.left)), key=lambda i: (weights[i], self.names[self.left[i]]))
+        dropped = [self.left[i] for i in order[: min(self.step, len(self.left) - 1)]]
+        self.rounds.append(dropped)
+        self.left = [f for f in self.left if f not in dropped]
+
+    def ranks(self) -> list[int]:
+        """1 for the last one left, one more per round for those dropped before."""
+        ranks = [1] * len(self.names)
+        for distance, dropped in enumerate(reversed(self.rounds)):
+            for f in dropped:
+                ranks[f] = distance + 2
+        return ranks
 
 
 def rfe_ranks(
@@ -65,28 +74,45 @@ def rfe_ranks(
     """Recursive elimination, ``model, feat, rank``; ``step`` features go per round.
 
     LDA needs one aggregation for all rounds, since the moments of fewer features are a part of those
-    of all. Other models are fitted anew on slices of the vectors, which are computed once.
+    of all. Tree ensembles are binned once and each round grows those of all models together. Other
+    models are fitted anew on slices of the vectors, which are computed once.
     """
     data = materialize(df.select("features", F.col("label").cast("double").alias("label")))
-
-    def run(name: str) -> list[int]:
-        if models[name] is lda.LinearDiscriminant:
+    made = {name: models[name]() for name in models}
+    trees = [name for name in made if isinstance(made[name], TreeEnsemble)]
+    runs = {name: _Elimination(names, step if isinstance(step, int) else step.get(name, 1)) for name in models}
+
+    def grow() -> None:
+        binned = bin_rows(df)
+        while going := [name for name in trees if len(runs[name].left) > 1]:
+            fits = [Fit(made[name].spec, tuple(runs[name].left)) for name in going]
+            found = {(r["fit"], r["feature"]): r["importance"] for r in run_importances(binned, fits).collect()}
+            for i, name in enumerate(going):
+                runs[name].drop([found[(i, f)] for f in runs[name].left])
+
+    def run(name: str) -> None:
+        if isinstance(made[name], lda.LinearDiscriminant):
             rows = data.select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("features"))
-            moments = {k[0]: m for k, m in moment_matrices(class_moments(rows, ["label"]), ["label"]).items()}
+            centre = column_means(rows)
+            moments = {k[0]: m for k, m in moment_matrices(class_moments(rows, ["label"], centre=centre), ["label"]).items()}
 
             def weigh(left: list[int]) -> np.ndarray:
-                return lda.solve(moments, left).importance()
+                return lda.solve(moments, left, centre).importance()
         else:
 
             def weigh(left: list[int]) -> np.ndarray:
                 slicer = VectorSlicer(inputCol="_all", outputCol="features", indices=left)
                 return importances(models[name]().fit(slicer.transform(data.withColumnRenamed("features", "_all"))))
 
-        return _eliminate(names, step if isinstance(step, int) else step.get(name, 1), weigh)
+        while len(runs[name].left) > 1:
+            runs[name].drop(weigh(runs[name].left))
 
     with ThreadPoolExecutor(THREADS) as pool:
-        ranks = list(pool.map(run, models))
-    rows = [(m, f, int(r)) for m, got in zip(models, ranks) for f, r in zip(names, got)]
+        jobs = [pool.submit(grow)] if trees else []
+        jobs += [pool.submit(run, name) for name in models if name not in trees]
+        for job in jobs:
+            job.result()
+    rows = [(m, f, int(r)) for m in models for f, r in zip(names, runs[m].ranks())]
     return df.sparkSession.createDataFrame(rows, "model string, feat string, rank int")
 
 
@@ -113,9 +139,10 @@ def lda_curve_counts(df: DataFrame, order: Sequence[int], sizes: Sequence[int])
     One aggregation gives the moments of every fold, one scoring pass counts the outcomes of all
     models inside each task.
     """
-    moments = moment_matrices(class_moments(df, ["fold", "label"]), ["fold", "label"])
+    centre = column_means(df)
+    moments = moment_matrices(class_moments(df, ["fold", "label"], centre=centre), ["fold", "label"])
     folds = sorted({k[0] for k in moments})
-    solved = {(n, f): lda.solve(without_fold(moments, f), list(order[:n])) for n in sizes for f in folds}
+    solved = {(n, f): lda.solve(without_fold(moments, f), list(order[:n]), centre) for n in sizes for f in folds}
     at = {n: np.asarray(order[:n]) for n in sizes}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +186,19 @@ def forward_curve(
             counts = lda_curve_counts(rows, [spot[f] for f in ranked[name]], sizes)
             scores = weighted_scores(counts, ["n_features", "fold"], labels, weight="n")
             parts.append(mean_weighted_f1(scores, ["n_features"]).withColumn("model", F.lit(name)))
-    others = [(m, n, f) for m in models if models[m] is not lda.LinearDiscriminant for n in sizes for f in folds]
+    made = {name: models[name]() for name in models}
+    grown = [(m, n, f) for m in models if isinstance(made[m], TreeEnsemble) for n in sizes for f in folds]
+    if grown:  # all models, sizes and folds grow together
+        binned = bin_rows(data)
+        fits = [Fit(made[m].spec, tuple(sorted(spot[x] for x in ranked[m][:n])), f) for m, n, f in grown]
+        numbers = df.sparkSession.createDataFrame(
+            [(i, m, n, int(f)) for i, (m, n, f) in enumerate(grown)], "fit int, model string, n_features int, fold int"
+        )
+        predicted = run_fits(binned, fits).groupBy("fit", "label", "prediction").agg(F.count("*").alias("n"))
+        scores = weighted_scores(predicted.join(F.broadcast(numbers), "fit"), ["model", "n_features", "fold"], labels, weight="n")
+        parts.append(mean_weighted_f1(scores, ["n_features", "model"]))
+    alone = [m for m in models if models[m] is not lda.LinearDiscriminant and not isinstance(made[m], TreeEnsemble)]
+    others = [(m, n, f) for m in alone for n in sizes for f in folds]
 
     def run(job: tuple[str, int, int]) -> DataFrame:
         name, n, fold = job

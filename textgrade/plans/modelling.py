@@ -477,10 +477,14 @@ register(
 
 
 def _ranks(spark: SparkSession, folder: str) -> DataFrame:
-    """One feature per round for every model."""
-    return selection.rfe_ranks(ml_ready(split(spark, folder)[0]), GROUPED, NAMES)
+    """One feature per round for every model, from the training rows; saved for the queries that show it."""
+    key = ("ranks", spark.sparkContext.applicationId, *sorted(read_table(spark, folder, "embeddings").inputFiles()))
+    if key not in _SAVED:
+        _SAVED[key] = materialize(selection.rfe_ranks(ml_ready(split(spark, folder)[0]), GROUPED, NAMES))
+    return _SAVED[key]
 
 
+_SAVED: dict[tuple, DataFrame] = {}
 register("rfe_ranks", _ranks)
 register("rfe_table", lambda s, f: selection.rank_table(_ranks(s, f), FOLD_MODELS))
 register("rfe_sorted", lambda s, f: selection.sorted_features(_ranks(s, f), FOLD_MODELS))
@@ -488,7 +492,7 @@ register("rfe_sorted", lambda s, f: selection.sorted_features(_ranks(s, f), FOLD
 
 def _curve(spark: SparkSession, folder: str, models) -> DataFrame:
     rows, _ = _group_rows(spark, folder)
-    ranks = selection.rfe_ranks(ml_ready(rows), models, NAMES)
+    ranks = materialize(selection.rfe_ranks(ml_ready(rows), models, NAMES))
     ranked = {m: selection.top_features(ranks, m, len(NAMES)) for m in models}
     return selection.forward_curve(ml_ready(rows), models, NAMES, ranked)
 
