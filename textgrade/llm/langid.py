@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def letters(chunk: str) -> str:
     low = chunk.lower()
+    if low == chunk:
+        low = chunk  # one string in memory
     return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
@@ -237,25 +240,33 @@ class Reader:
 
     def read(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
-        parts = [t.split() for t in texts]
-        flat = [c for p in parts for c in p]
-        new = set(flat) - self.chunks.keys()
-        if len(self.chunks) + len(new) > CACHE:
+        found, open_ = [], []
+        for text in texts:  # a text's chunks are looked up at once: only those not met before are held as strings
+            chunks = text.split()
+            at = np.fromiter(map(self.chunks.get, chunks, repeat(-1)), np.int32, len(chunks))
+            missing = np.flatnonzero(at < 0)
+            if len(missing):
+                open_.append((at, missing, [chunks[i] for i in missing.tolist()]))
+            found.append(at)
+        new = {c for _, _, chunks in open_ for c in chunks}
+        if self.chunks and len(self.chunks) + len(new) > CACHE:
             self.clear()
-            new = set(flat)
+            return self.read(texts)
         if new:
             self._learn(new)
-        at = np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        for at, missing, chunks in open_:
+            at[missing] = list(map(self.chunks.__getitem__, chunks))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.concatenate(found) if found else np.zeros(0, np.int32)
         weights = self.weights[at]
-        owner = np.repeat(np.arange(len(parts)), sizes)
-        total = np.bincount(owner, weights, len(parts))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        total = np.bincount(owner, weights, len(texts))
         if not self.model.langs:
-            return [UNKNOWN] * len(parts), [0.0] * len(parts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         chances, _ = marginals(self.scores[at], sizes, self.model.change)
-        share = np.stack([np.bincount(owner, weights * chances[:, k], len(parts)) for k in range(len(self.model.langs))], axis=1)
+        share = np.stack([np.bincount(owner, weights * chances[:, k], len(texts)) for k in range(len(self.model.langs))], axis=1)
         best = share.argmax(axis=1)
-        score = np.divide(share[np.arange(len(parts)), best], total, out=np.zeros(len(parts)), where=total > 0)
+        score = np.divide(share[np.arange(len(texts)), best], total, out=np.zeros(len(texts)), where=total > 0)
         langs = [self.model.langs[b] if t > 0 else UNKNOWN for b, t in zip(best, total)]
         return langs, np.clip(score, 0, 1).tolist()
 
