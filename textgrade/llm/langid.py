@@ -10,7 +10,6 @@ text is the one with the greatest share of letters.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import bound_batches, worker_cache
+from textgrade.llm.common import bound_batches, give_back, worker_cache
 
 UNKNOWN = "und"
 SAMPLE = 3000  # labelled passages that a model is fitted on, at most
@@ -291,16 +290,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = f"language model {uuid.uuid4().hex}"
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        reader = worker_cache(name, lambda: Reader(shared.value))
+        worker_cache("languages", int)  # what another operator has left goes
+        reader = Reader(shared.value)
         for texts in batches:
             langs, scores = [], []
             for a, b in _read(reader, [t or "" for t in texts.to_pylist()]):
                 langs += a
                 scores += b
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        del reader  # idle workers keep nothing
+        give_back()
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     found = F.arrow_udf(predict, "lang_pred string, score double")(F.col(text_col))
