@@ -307,3 +307,40 @@ def test_classes_by_bands_and_jaccard(spark):
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == want
     assert len({c for _, c in want}) < len(rows) / 2
     assert minhash.near_duplicates(table(spark, rows).limit(0)).count() == 0
+
+
+def test_repeated_rows_of_one_id_are_dealt_out(spark):
+    for ident in (7, None):
+        df = table(spark, [(ident, "fourteen bytes", "en", "s", 14)] * 800, "doc_id long, text string, lang string, source string, n_chars long")
+        sizes = [r.n for r in sharding.kd_shards(df, sharding.default_dimensions(), shards=8).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+        assert len(sizes) == 8 and sum(sizes) == 12_000 and max(sizes) - min(sizes) < 600
+
+
+def plain_kd(points, shards, first=0):
+    """Shard of every ``(id, size, coordinates)``: sorted along the widest side, cut where the weight comes nearest."""
+    if shards == 1 or not points:
+        return {p[0]: first for p in points}
+    axis = max(range(len(points[0][2])), key=lambda a: (max(p[2][a] for p in points) - min(p[2][a] for p in points), a))
+    points = sorted(points, key=lambda p: p[2][axis])
+    want = sum(p[1] for p in points) * (shards // 2) / shards
+    below = at = 0
+    while at < len(points) and below + points[at][1] < want:
+        below += points[at][1]
+        at += 1
+    if at < len(points) and want - below >= below + points[at][1] - want:
+        at += 1
+    return plain_kd(points[:at], shards // 2, first) | plain_kd(points[at:], shards - shards // 2, first + shards // 2)
+
+
+def test_shards_equal_a_plain_kd_tree(spark, monkeypatch):
+    rng = random.Random(5)
+    xs, ys = rng.sample(range(100_000), 600), rng.sample(range(90_000), 600)
+    rows = [(i, f"{i} " + "x" * rng.randrange(60), x, y) for i, (x, y) in enumerate(zip(xs, ys))]
+    df = table(spark, rows, "doc_id long, text string, a long, b long")
+    cell = lambda v, vs: int((v - min(vs)) / (max(vs) - min(vs)) * ((1 << sharding.GRID) - 1))
+    points = [(i, len(t) + 1, (cell(x, xs), cell(y, ys))) for i, t, x, y in rows]
+    dims = {"a": F.col("a").cast("double"), "b": F.col("b").cast("double")}
+    for shards, most in ((7, sharding.BROADCAST_ROWS), (16, 0)):  # the second way joins heavy groups in salted pieces
+        monkeypatch.setattr(sharding, "BROADCAST_ROWS", most)
+        got = {r.doc_id: r.shard for r in sharding.kd_shards(df, dims, shards=shards).collect()}
+        assert got == plain_kd(points, shards)

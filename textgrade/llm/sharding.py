@@ -15,11 +15,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import literal_rows, saved, text_bytes
+from textgrade.llm.common import saved, text_bytes
 
-BINS = 1024  # histogram slots of a node in one pass
-GRID = 31  # bits of a coordinate; ties on the grid are cut by a hash
+BINS = 4096  # histogram slots of a node in one pass
+GRID, TIE = 31, 31  # bits of a coordinate, and of the hash that cuts ties on the grid
 PIECES = 16  # a group of copies heavier than this part of a shard is dealt out
+BROADCAST_ROWS = 100_000  # small rows that may be broadcast
+SALTS = 64
 
 
 def default_dimensions(length: str = "n_chars", categories: tuple[str, ...] = ("lang", "source")) -> dict[str, Column]:
@@ -38,7 +40,8 @@ def kd_shards(
 
     ``size`` is the UTF-8 length of the text (null: none) plus 1; ``slot`` counts from 0 without gaps in
     a shard. Give the number of ``shards`` or the ``target_bytes`` of one. Null coordinates count as 0,
-    null ids sort first, repeated rows are separate rows of one group. An empty table gives no rows.
+    null ids sort first, repeated rows (equal or null ids too) are separate rows of one group and are dealt out like
+    others where it is heavy. An empty table gives no rows.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     slim = docs.select(
@@ -49,104 +52,113 @@ def kd_shards(
         *[F.coalesce(c, F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(dims.values())],
     )
     axes = [f"x{i}" for i in range(len(dims))]
-    rows = saved(slim)
+    # the number tells repeated rows apart, and stays what it is because it is saved
+    rows = saved(slim.withColumn("row", F.monotonically_increasing_id()))
     total = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
     if shards is None:
         shards = max(1, -(-total // target_bytes))
     piece = max(1, total // (shards * PIECES))
     heavy = rows.groupBy("digest").agg(F.sum("size").alias("w")).filter(F.col("w") > piece)
-    # fewer rows than shards * PIECES, for their weights add up to no more than the whole
     parts = heavy.select("digest", F.ceil(F.col("w") / piece).alias("parts"))
-    unit_of_row = rows.join(F.broadcast(parts), "digest", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("doc_id"), "parts"), F.lit(0))
+    unit_of_row = _with_parts(rows, parts, shards * PIECES).withColumn(
+        "part", F.coalesce(F.pmod(F.xxhash64("doc_id", "row"), "parts"), F.lit(0))
     )
     units = saved(
         unit_of_row.groupBy("digest", "part").agg(F.sum("size").alias("w"), *[F.min(a).alias(a) for a in axes])
     )
-    placed = _leaves(units, axes, shards, total)
+    placed = _leaves(units, axes, shards)
     out = unit_of_row.select("digest", "part", "doc_id", "size", "text_crc32").join(placed, ["digest", "part"])
     return _slots(out.select("doc_id", "size", "text_crc32", "shard"), total)
 
 
-def _leaves(units: DataFrame, axes: list[str], shards: int, total: int) -> DataFrame:
-    """``digest, part, shard`` of every unit."""
+def _with_parts(rows: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+    """Add ``parts``, the units of a heavy group. Fewer than ``most`` groups are heavy, for they weigh no more than the
+    whole: where that is few they are broadcast, else every group is joined in salted pieces."""
+    if most <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(parts), "digest", "left")
+    salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, ["digest", "salt"], "left").drop("salt")
+
+
+def _leaves(units: DataFrame, axes: list[str], shards: int) -> DataFrame:
+    """``digest, part, shard`` of every unit; nodes, cuts and histograms are tables, however many leaves there are."""
     spark = units.sparkSession
     span = units.agg(*[F.struct(F.min(a).alias("lo"), F.max(a).alias("hi")).alias(a) for a in axes]).first()
-    tie = F.shiftrightunsigned(F.xxhash64("digest", "part"), 64 - (63 - GRID))
+    tie = F.shiftrightunsigned(F.xxhash64("digest", "part"), 64 - TIE)
     grid = [
         F.shiftleft(
-            F.floor((F.col(a) - span[a]["lo"]) / ((span[a]["hi"] - span[a]["lo"]) or 1.0) * ((1 << GRID) - 1)).cast("long"), 63 - GRID
+            F.floor((F.col(a) - span[a]["lo"]) / ((span[a]["hi"] - span[a]["lo"]) or 1.0) * ((1 << GRID) - 1)).cast("long"), TIE
         ).bitwiseOR(tie)
         if span[a]["lo"] is not None
         else F.lit(0).cast("long")
         for a in axes
     ]
-    points = units.select("digest", "part", "w", *[g.alias(a) for g, a in zip(grid, axes)], F.lit(0).alias("node"))
-    nodes = {0: (0, shards)}  # node -> first shard, shards; never more nodes than shards
-    while any(n > 1 for _, n in nodes.values()):
+    points = units.select("digest", "part", "w", *[g.alias(a) for g, a in zip(grid, axes)], F.lit(0).cast("long").alias("node"))
+    # node, its first shard, how many it must hold
+    nodes = spark.range(1).selectExpr("id AS node", "0 AS first", f"{shards} AS n")
+    widest = shards
+    while widest > 1:
         points = saved(points)
-        open_nodes = {k: v for k, v in nodes.items() if v[1] > 1}
-        stats = {
-            r["node"]: r
-            for r in points.groupBy("node")
-            .agg(F.sum("w").alias("w"), *[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes])
-            .collect()
-        }
-        cuts = {}
-        for node, (_, n) in open_nodes.items():
-            if r := stats.get(node):
-                axis = max(axes, key=lambda a: (r[f"hi_{a}"] - r[f"lo_{a}"], a))
-                cuts[node] = {"axis": axis, "lo": r[f"lo_{axis}"], "hi": r[f"hi_{axis}"], "below": 0, "want": r["w"] * (n // 2) / n}
-        _refine(points, axes, cuts)
-        rows = [(k, axes.index(c["axis"]), c["lo"]) for k, c in cuts.items()]
-        at = F.broadcast(literal_rows(spark, rows, "node int, axis int, cut bigint"))
-        key = F.element_at(F.array(*axes), F.col("axis") + 1)
-        points = points.join(at, "node", "left").select(
-            "digest", "part", "w", *axes, F.when(key < F.col("cut"), F.col("node") * 2 + 1).when(key.isNotNull(), F.col("node") * 2 + 2).otherwise(F.col("node")).alias("node")
+        cuts = _cuts(points, nodes.filter("n > 1"), axes).select("node", "axis", F.col("lo").alias("cut"))
+        key = F.element_at(F.array(*axes), F.col("axis"))
+        child = F.when(key < F.col("cut"), F.col("node") * 2 + 1).when(key.isNotNull(), F.col("node") * 2 + 2).otherwise(F.col("node"))
+        points = points.join(cuts, "node", "left").select("digest", "part", "w", *axes, child.alias("node"))
+        nodes = nodes.selectExpr(
+            "inline(if(n > 1, array(named_struct('node', node * 2 + 1, 'first', first, 'n', int(n div 2)),"
+            " named_struct('node', node * 2 + 2, 'first', int(first + n div 2), 'n', int(n - n div 2))),"
+            " array(named_struct('node', node, 'first', first, 'n', n))))"
         )
-        for node, (first, n) in open_nodes.items():
-            del nodes[node]
-            nodes |= {node * 2 + 1: (first, n // 2), node * 2 + 2: (first + n // 2, n - n // 2)}
-    final = F.broadcast(literal_rows(spark, [(k, first) for k, (first, _) in nodes.items()], "node int, shard int"))
-    return points.join(final, "node").select("digest", "part", "shard")
-
-
-def _refine(points: DataFrame, axes: list[str], cuts: dict) -> None:
-    """Set ``lo`` of every cut: units below it go left, as near to the wanted weight as units allow."""
-    spark = points.sparkSession
-    for c in cuts.values():
-        c["hi"] += 1  # the cut lies in [lo, hi]
-    while wide := {k: c for k, c in cuts.items() if c["hi"] - c["lo"] > 1}:
-        for c in wide.values():
-            c["step"] = -(-(c["hi"] - c["lo"]) // BINS)
-        rows = [(k, axes.index(c["axis"]), c["lo"], c["hi"], c["step"]) for k, c in wide.items()]
-        ranges = F.broadcast(literal_rows(spark, rows, "node int, axis int, lo bigint, hi bigint, step bigint"))
-        key = F.element_at(F.array(*axes), F.col("axis") + 1)
+        widest -= widest // 2
+    return points.join(nodes, "node").select("digest", "part", F.col("first").alias("shard"))
+
+
+def _cuts(points: DataFrame, nodes: DataFrame, axes: list[str]) -> DataFrame:
+    """``node, axis, lo`` of every node that holds points: those below ``lo`` go left, as near to the wanted weight as units allow.
+
+    A cut lies in ``[lo, hi]``. Every pass counts ``BINS`` slots of that range in all nodes at once and goes on
+    with the slot where the wanted weight is reached; the driver only asks whether a range is still open.
+    """
+    stats = points.groupBy("node").agg(
+        F.sum("w").alias("w"), *[F.struct(F.min(a).alias("lo"), F.max(a).alias("hi")).alias(f"s_{a}") for a in axes]
+    )
+    sides = F.array(*[
+        F.struct((F.shiftright(F.col(f"s_{a}.hi"), TIE) - F.shiftright(F.col(f"s_{a}.lo"), TIE)).alias("width"), F.lit(i + 1).alias("axis"), F.col(f"s_{a}.lo").alias("lo"), F.col(f"s_{a}.hi").alias("hi"))
+        for i, a in enumerate(axes)
+    ])
+    cuts = saved(
+        nodes.join(stats, "node").withColumn("side", F.array_max(sides)).select(
+            "node", "side.axis", "side.lo", (F.col("side.hi") + 1).alias("hi"), F.lit(0).cast("long").alias("below"),
+            F.expr("w * double(n div 2) / n").alias("want"),
+        )
+    )
+    is_open = F.col("hi") - F.col("lo") > 1
+    running = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows at most
+    while not cuts.filter(is_open).isEmpty():
+        wide = cuts.filter(is_open).withColumn("step", F.expr(f"(hi - lo + {BINS - 1}) div {BINS}"))
         counted = (
-            points.join(ranges, "node")
-            .withColumn("key", key)
+            points.join(wide.drop("below", "want"), "node")
+            .withColumn("key", F.element_at(F.array(*axes), F.col("axis")))
             .filter("key >= lo AND key < hi")
-            .groupBy("node", F.floor((F.col("key") - F.col("lo")) / F.col("step")).alias("bin"))
+            .groupBy("node", F.expr("(key - lo) div step").alias("bin"))
             .agg(F.sum("w").alias("w"), F.min("key").alias("first"), F.max("key").alias("last"))
-            .collect()
+            .withColumn("upto", F.sum("w").over(running))
         )
-        by_node: dict[int, list] = {}
-        for r in counted:
-            by_node.setdefault(r["node"], []).append(r)
-        for node, c in wide.items():
-            below = c["below"]
-            for r in sorted(by_node.get(node, []), key=lambda r: r["first"]):
-                if below + r["w"] >= c["want"]:
-                    c["below"] = below
-                    if r["first"] == r["last"]:  # one point: it goes to the side that comes nearer
-                        cut = r["first"] if c["want"] - below < below + r["w"] - c["want"] else r["first"] + 1
-                        c["lo"] = c["hi"] = cut
-                    else:
-                        c["lo"], c["hi"] = r["first"], r["last"] + 1
-                    break
-                below += r["w"]
-            else:
-                c["lo"] = c["hi"]
+        reached = (
+            counted.join(wide.select("node", "below", "want"), "node").filter("below + upto >= want")
+            .groupBy("node").agg(F.min_by(F.struct("w", "first", "last", "upto"), "bin").alias("r"))
+        )
+        before = F.expr("below + r.upto - r.w")
+        # one point left: it goes to the side that comes nearer
+        nearer = F.when(F.col("want") - before < before + F.col("r.w") - F.col("want"), F.col("r.first")).otherwise(F.col("r.first") + 1)
+        single = F.col("r.first") == F.col("r.last")
+        narrowed = wide.join(reached, "node", "left").select(
+            "node", "axis",
+            F.when(F.col("r").isNull(), F.col("hi")).when(single, nearer).otherwise(F.col("r.first")).alias("lo"),
+            F.when(F.col("r").isNull(), F.col("hi")).when(single, nearer).otherwise(F.col("r.last") + 1).alias("hi"),
+            F.coalesce(before, "below").alias("below"), "want",
+        )
+        cuts = saved(cuts.filter(~is_open).unionByName(narrowed))
+    return cuts
 
 
 def _slots(rows: DataFrame, total: int) -> DataFrame:
