@@ -203,6 +203,46 @@ def test_stratified_group_folds_are_even(spark):
     assert sorted(per) == list(range(7)) and all(sorted(v) == [0, 0, 1, 1, 2, 2] for v in per.values())
 
 
+def plain_folds(mixes, k):
+    """Fold of every ``(group, class counts)``, one group after the other, spreads by numpy over all folds."""
+    import numpy as np
+
+    order = sorted(mixes, key=lambda m: (sum(m[1]) ** 2 - len(m[1]) * sum(n * n for n in m[1]), m[1], m[0]))
+    total = np.sum([m for _, m in mixes], axis=0)
+    state, out = np.zeros((k, len(total))), {}
+    for group, mix in order:
+        def left(fold):
+            trial = state.copy()
+            trial[fold] += mix
+            return round(float((trial.std(axis=0) * total.sum() / np.maximum(total, 1)).sum()), groups.DIGITS), state[fold].sum(), fold
+
+        out[group] = min(map(left, range(k)), key=lambda t: t)[2]
+        state[out[group]] += mix
+    return out
+
+
+def test_stratified_group_folds_equal_the_plain_greedy_way(spark):
+    rng = random.Random(3)
+    cases = [
+        ([[0] * c + [rng.choice((1, 2, 2, 5))] + [0] * (2 - c) for c in rng.choices((0, 1, 2), (6, 3, 1), k=400)], 7),  # one label a group
+        ([[rng.randrange(4), rng.randrange(9), 1] for _ in range(150)], 5),
+        ([[40, 0], [1, 0], [1, 0], [0, 3]] + [[1, 0]] * 60, 3),  # the cycle begins only when the folds are level
+        ([[2, 2]] * 2, 4),  # fewer groups than folds
+    ]
+    for vectors, k in cases:
+        mixes = [(g, v) for g, v in enumerate(vectors)]
+        rows = [(label, g) for g, v in mixes for label, n in enumerate(v) for _ in range(n)]
+        df = spark.createDataFrame(rows, "label int, group int").repartition(5)
+        got = {r["group"]: r["fold"] for r in groups.stratified_group_folds(df, k).collect()}
+        assert got == plain_folds(mixes, k)
+    assert groups.stratified_group_folds(df.limit(0), 3).count() == 0
+
+
+def test_kinds_are_dealt_without_walking_over_every_group():
+    first, cycle = groups.deal_kinds([([3, 0], 10**12), ([0, 1], 5)], 4)[0]
+    assert len(first) == 4 and sorted(cycle) == [0, 1, 2, 3]
+
+
 def test_splits_are_exact_and_stable(spark):
     df = spark.range(1003).withColumn("label", F.when(F.col("id") < 800, 0).otherwise(1))
     parts = sampling.train_test_split(df, "id")
@@ -229,6 +269,45 @@ def test_exact_quantiles_match_numpy(spark):
     assert sum(r["n"] for r in hist) == len(values) and len(hist) == 10
 
 
+def test_quantiles_of_odd_columns(spark):
+    import numpy as np
+
+    inf, nan = float("inf"), float("nan")
+    rng = np.random.default_rng(4)
+    columns = {
+        "far": np.concatenate([rng.normal(0, 1, 995), [1e300, -1e300, 1e-300, 1.7e308, -1.7e308]]),
+        "near_high": np.concatenate([-np.exp(rng.uniform(-600, 0, 998)), [-1e200, 0.0]]),
+        "tiny": rng.integers(0, 3, 1000) * 5e-324,
+        "constant": np.full(1000, -2.5),
+        "open": np.concatenate([np.full(400, -inf), rng.normal(0, 1, 500), np.full(100, inf)]),
+    }
+    rows = [tuple(float(v[i]) for v in columns.values()) + (nan if i % 2 else None, nan if i % 3 else float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, "none", "gaps"])).repartition(7)
+    wanted = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = {(r["column"], r["p"]): r["value"] for r in profile.exact_quantiles(df, df.columns, wanted).collect()}
+    columns["gaps"] = np.arange(0, 1000, 3).astype(float)
+    assert {c for c, _ in got} == set(columns)
+    for c, values in columns.items():
+        values = np.sort(values)
+        for p in wanted:
+            place = p * (len(values) - 1)
+            a, b = values[int(np.floor(place))], values[int(np.ceil(place))]
+            assert got[c, p] == (a if a == b else a + (b - a) * (place - np.floor(place))), (c, p)
+    assert profile.exact_quantiles(df.limit(0), ["far"]).count() == 0
+
+
+def test_selection_needs_few_passes_and_no_window(spark):
+    df = spark.range(200_000).select(
+        F.when(F.col("id") < 5, F.lit(1e250)).otherwise(F.sqrt("id")).alias("a"), F.pmod(F.xxhash64("id"), F.lit(97)).alias("b")
+    )
+    long = profile._long(df, ["a", "b"])
+    extent = {r["column"]: {**r.asDict(), "lowest": 0, "finite": 200_000} for r in long.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect()}
+    found, passes = profile.select_ranks(long, {"a": [100_000], "b": [0, 199_999]}, extent)
+    assert found == {("a", 100_000): 100_005**0.5, ("b", 0): 0.0, ("b", 199_999): 96.0} and passes <= 6
+    plan = profile.describe(df, ["a", "b"])._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
 def test_capped_union(spark):
     books = spark.createDataFrame([("0001_P_a1_t_001.txt", "x"), ("0002_P_c2_t_001.txt", "y"), ("0003_P_b1_t_001.txt", "z")], "name string, text string")
     third = spark.createDataFrame([(f"{i:05d}_c.txt", "t") for i in range(9)], "name string, text string")

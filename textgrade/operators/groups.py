@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,8 +13,10 @@ from pyspark.sql.window import Window
 from textgrade.fixed_values import SEED, THIRD_CLASS_FIRST_GROUP, THIRD_CLASS_GROUPS, THIRD_CORPUS_TITLE
 from textgrade.functions.names import title
 from textgrade.operators.ranking import number_rows, seeded_key
+from textgrade.session import materialize
 
 FOLD_BLOCK = 1024
+DIGITS = 6  # spreads of folds, in rows, that agree so far are equal
 
 
 def title_groups(df: DataFrame, seed: int = SEED) -> DataFrame:
@@ -124,22 +128,67 @@ def training_groups(folds: DataFrame, validation: int, test: int = 0) -> DataFra
     return folds.where(~F.col("fold").isin(validation, test)).select("group").distinct()
 
 
+def deal_kinds(kinds: Sequence[tuple[Sequence[int], int]], k: int) -> list[tuple[list[int], list[int]]]:
+    """Folds for ``(class counts, groups)`` kinds, in the given order: what the first groups of a kind get, and a cycle for the rest.
+
+    Each group goes to the fold that leaves the spread of the classes over the folds least, spreads being
+    summed over the classes with every class given equal weight; then to the fold with fewest rows, then the
+    first. A group more in every fold changes no spread, so once ``k`` groups of a kind have gone to ``k``
+    different folds, their order repeats and the rest of the kind is dealt at once.
+    """
+    if not kinds:
+        return []
+    counts = np.array([c for c, _ in kinds], dtype=np.int64)
+    total = (counts * np.array([m for _, m in kinds])[:, None]).sum(axis=0)
+    weight = total.sum() / np.maximum(total, 1)
+    state = np.zeros((k, counts.shape[1]), np.int64)
+    out = []
+    for vector, (_, n) in zip(counts, kinds):
+        first: list[int] = []
+        while len(first) < n and len(set(first[-k:])) < k:
+            level = (state - state.min(axis=0)).astype(float)  # spreads do not depend on what all folds share
+            squares = (level**2).sum(axis=0) - level**2 + (level + vector) ** 2
+            variance = squares / k - ((level.sum(axis=0) + vector) / k) ** 2
+            spread = (np.sqrt(np.maximum(variance, 0)) * weight).sum(axis=1).round(DIGITS)
+            fold = min(range(k), key=lambda f: (spread[f], state[f].sum(), f))
+            state[fold] += vector
+            first.append(fold)
+        cycle = first[-k:]
+        rounds, rest = divmod(n - len(first), k)
+        state += vector * rounds
+        for fold in cycle[:rest]:
+            state[fold] += vector
+        out.append((first, cycle))
+    return out
+
+
 def stratified_group_folds(df: DataFrame, k: int) -> DataFrame:
-    """``group, fold`` in k folds even in class mix and size.
+    """``group, main, n, fold`` in k folds alike in class mix, groups whose class counts differ most being placed first.
 
-    Groups are ordered by main class and size and dealt back and forth over the folds. The work runs
-    on the group table.
+    Equal counts make groups alike, so only the distinct kinds of counts come to the driver: with one label a
+    group there are at most about sqrt(2 x rows) of them a class. Spark numbers the groups of a kind and looks
+    their folds up; ties go by class counts, then by group.
     """
     counts = df.groupBy("group", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("group").agg(
-        F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"), F.sum("n").alias("n")
+    mixes = materialize(
+        counts.groupBy("group").agg(
+            F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"),
+            F.sum("n").alias("n"),
+            F.to_json(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("kind"),  # an entry per class
+        )
     )
-    # numbered by class, size and group, in buckets of like groups
-    bucket = F.struct("main", -F.col("n"), F.floor(F.col("group") / FOLD_BLOCK))
-    numbered = number_rows(main, F.col("group"), out="_n", bucket=bucket)
-    turn = F.pmod(F.col("_n") - 1, F.lit(2 * k))
-    fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
-    return numbered.select("group", "main", "n", fold.alias("fold"))
+    found = [({e.get("label"): e["n"] for e in json.loads(r["kind"])}, r["kind"], r["m"]) for r in mixes.groupBy("kind").agg(F.count("*").alias("m")).collect()]
+    labels = sorted({label for mix, _, _ in found for label in mix}, key=lambda label: (label is not None, label))
+    kinds = [([mix.get(label, 0) for label in labels], kind, m) for mix, kind, m in found]
+    # variance over the classes, times their number twice so that it stays whole
+    kinds.sort(key=lambda e: (sum(e[0]) ** 2 - len(labels) * sum(n * n for n in e[0]), e[0]))
+    dealt = deal_kinds([(vector, m) for vector, _, m in kinds], k)
+    rows = [(kind, first, cycle) for (_, kind, _), (first, cycle) in zip(kinds, dealt)]
+    folds = df.sparkSession.createDataFrame(rows, "kind string, first array<int>, cycle array<int>")
+    numbered = number_rows(mixes, F.col("group"), out="_n", partition_by=["kind"], bucket=F.floor(F.col("group") / FOLD_BLOCK))
+    later = F.pmod(F.col("_n") - 1 - F.size("first"), F.size("cycle"))
+    fold = F.when(F.col("_n") <= F.size("first"), F.get("first", F.col("_n") - 1)).otherwise(F.get("cycle", later))
+    return numbered.join(folds, "kind").select("group", "main", "n", fold.cast("int").alias("fold"))
 
 
 def lookup_by_group(df: DataFrame, labels: DataFrame, titles: DataFrame) -> DataFrame:

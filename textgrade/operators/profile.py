@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 QUARTILES = (0.25, 0.5, 0.75)
-BRACKET = 10  # half-width of the search bracket, in units of the sketch's rank error
-ACCURACY = 10_000
+SLOTS = 1024  # parts of a bracket counted in one pass
+EVEN, FROM_LOW, FROM_HIGH = range(3)  # how a bracket is cut: equal parts, or halves towards one of its ends
 
 
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
@@ -23,63 +24,115 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return doubles.unpivot([], list(columns), "column", "value").where(F.col("value").isNotNull())
+    return doubles.unpivot([], list(columns), "column", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUARTILES) -> DataFrame:
-    """Interpolated quantiles ``column, p, value`` without sorting or collecting a whole column.
+@dataclass
+class _Bracket:
+    """Values of one column from ``low`` to ``high``, both taken, that hold the wanted ``ranks``."""
+
+    column: str
+    low: float
+    high: float
+    below: int  # values under the bracket
+    inside: int
+    ranks: list[int]
+    way: int = EVEN
+
+
+def _slot() -> Column:
+    """The part of its bracket a value lies in; it rises with the value, and the two ends never share one."""
+    value, low, high = (F.col(c) * F.col("_unit") for c in ("value", "_low", "_high"))
+    from_low, from_high = (value - low) / (high - low), (high - value) / (high - low)
+
+    def halvings(share: Column) -> Column:
+        return F.least(F.floor(F.coalesce(-F.log2(share), F.lit(float(SLOTS)))), F.lit(SLOTS - 2))
+
+    towards_low = F.when(F.col("value") == F.col("_low"), 0).otherwise(SLOTS - 1 - halvings(from_low))
+    towards_high = F.when(F.col("value") == F.col("_high"), SLOTS - 1).otherwise(halvings(from_high))
+    even = F.least(F.floor(from_low * SLOTS), F.lit(SLOTS - 1))
+    return F.when(F.col("_way") == EVEN, even).when(F.col("_way") == FROM_LOW, towards_low).otherwise(towards_high).cast("int")
+
+
+def _narrowed(bracket: _Bracket, slots: Sequence) -> list[_Bracket]:
+    """The slots of a counted bracket that hold wanted ranks, each from its least to its greatest value."""
+    out, below = [], bracket.below
+    for slot in sorted(slots, key=lambda r: r["slot"]):
+        ranks = [r for r in bracket.ranks if below <= r < below + slot["n"]]
+        if ranks:
+            crowded = 2 * slot["n"] > bracket.inside  # most values sit close together: cut another way next time
+            way = (bracket.way + 1) % 3 if crowded else EVEN
+            out.append(_Bracket(bracket.column, slot["first"], slot["last"], below, slot["n"], ranks, way))
+        below += slot["n"]
+    return out
+
 
-    A mergeable sketch brackets every quantile, one pass counts what lies below the bracket, and only
-    the few values inside it, each with its count, are ranked. A bracket that missed its rank raises.
+def select_ranks(long: DataFrame, wanted: Mapping[str, Sequence[int]], extent: Mapping[str, Mapping]) -> tuple[dict[tuple[str, int], float], int]:
+    """Values at the 0-based ``wanted`` ranks of every column of ``column, value``, and the passes it took.
+
+    All ranks of all columns go down together: a pass counts ``SLOTS`` parts of every open bracket by partial
+    aggregation, and what holds a wanted rank is the next bracket, until its values are all equal. No value is
+    sorted or ranked; the driver gets at most ``SLOTS`` counts for each column and rank. Where most of a bracket
+    falls into one part, as next to outliers, the next pass halves towards one of the ends, which finds the
+    magnitude at once.
     """
-    margin = BRACKET / ACCURACY
-    bounds = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-margin, margin)})
-    at = {b: i for i, b in enumerate(bounds)}
-    long = _long(df, columns)
-    sketch = long.groupBy("column").agg(
-        F.count("*").alias("_n"),
-        F.min("value").alias("_min"),
-        F.max("value").alias("_max"),
-        F.percentile_approx("value", [float(b) for b in bounds], ACCURACY).alias("_q"),
-    )
+    found: dict[tuple[str, int], float] = {}
+    todo: list[_Bracket] = []
+    for column, ranks in wanted.items():
+        e = extent[column]
+        finite = [r for r in ranks if e["lowest"] <= r < e["lowest"] + e["finite"]]
+        found |= {(column, r): -math.inf if r < e["lowest"] else math.inf for r in ranks if r not in finite}
+        if finite:
+            todo.append(_Bracket(column, e["low"], e["high"], e["lowest"], e["finite"], finite))
+    passes = 0
+    while True:
+        for b in (b for b in todo if b.low == b.high):
+            found |= {(b.column, r): b.low for r in b.ranks}
+        todo = [b for b in todo if b.low < b.high]
+        if not todo:
+            return found, passes
+        rows = [(i, b.column, b.low, b.high, 0.5 if math.isinf(b.high - b.low) else 1.0, b.way) for i, b in enumerate(todo)]
+        schema = "_i int, column string, _low double, _high double, _unit double, _way int"
+        # a row for each column and wanted rank at most, the caller's own lists
+        brackets = F.broadcast(long.sparkSession.createDataFrame(rows, schema))
+        inside = long.join(brackets, "column").where(F.col("value").between(F.col("_low"), F.col("_high")))
+        slots = inside.groupBy("_i", _slot().alias("slot")).agg(
+            F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last")
+        )
+        by_bracket: dict[int, list] = {}
+        for row in slots.collect():
+            by_bracket.setdefault(row["_i"], []).append(row)
+        todo = [new for i, b in enumerate(todo) for new in _narrowed(b, by_bracket[i])]
+        passes += 1
 
-    def bound(b: float, low: bool):
-        edge = "_min" if low else "_max"
-        return F.col(edge) if b in (0.0, 1.0) else F.col("_q")[at[b]]
-
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("p"),
-                bound(max(p - margin, 0.0), True).alias("lo"),
-                bound(min(p + margin, 1.0), False).alias("hi"),
-            )
-            for p in probabilities
-        ]
-    )
-    brackets = sketch.select("column", "_n", F.explode(targets).alias("t")).select(
-        "column", "_n", "t.p", "t.lo", "t.hi"
-    )
-    # one bracket row per column and probability, columns being the caller's own list
-    inside = long.join(F.broadcast(brackets), "column").where(F.col("value") <= F.col("hi"))
-    lowest = F.when(F.col("value") >= F.col("lo"), F.col("value"))  # NULL: everything below the bracket
-    counted = inside.groupBy("column", "_n", "p", lowest.alias("value")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy("column", "p").orderBy(F.col("value").asc_nulls_first())
-    ranked = counted.withColumn("_upto", F.sum("_c").over(w))
-    place = F.col("p") * (F.col("_n") - 1)
-    low, high = F.floor(place), F.ceil(place)
 
-    def picked(rank):
-        return F.min(F.when(F.col("_upto") > rank, F.struct("_upto", "value")))["value"]
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUARTILES) -> DataFrame:
+    """Interpolated quantiles ``column, p, value`` by distributed selection; see :func:`select_ranks`.
 
-    picks = ranked.groupBy("column", "_n", "p").agg(picked(low).alias("_a"), picked(high).alias("_b"))
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - low)
-    missed = F.raise_error(F.lit("quantile outside of its bracket")).cast("double")
-    return picks.select("column", "p", F.coalesce(value, missed).alias("value"))
+    NULL and NaN count as missing; a column without values has no row. ``df`` is read once for the extent and once
+    for each pass, so give a saved table where it is dear to compute.
+    """
+    long = _long(df, columns)
+    finite = F.when(~F.abs("value").isin(math.inf), F.col("value"))
+    rows = long.groupBy("column").agg(
+        F.count("*").alias("n"), F.count(finite).alias("finite"), F.count_if(F.col("value") == -math.inf).alias("lowest"),
+        F.min(finite).alias("low"), F.max(finite).alias("high"),
+    ).collect()
+    extent = {r["column"]: r.asDict() for r in rows}
+    places = {(c, float(p)): float(p) * (e["n"] - 1) for c, e in extent.items() for p in probabilities}
+    wanted: dict[str, list[int]] = {}
+    for (column, _), place in places.items():
+        wanted[column] = sorted({*wanted.get(column, ()), math.floor(place), math.ceil(place)})
+    found, _ = select_ranks(long, wanted, extent)
+    out = []
+    for (column, p), place in places.items():
+        a, b = found[column, math.floor(place)], found[column, math.ceil(place)]
+        out.append((column, p, a if a == b else a + (b - a) * (place - math.floor(place))))
+    return df.sparkSession.createDataFrame(out, "column string, p double, value double")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation (n-1), minimum, quartiles and maximum, one row per column."""
+    """Count, mean, deviation (n-1), minimum, quartiles and maximum, one row per column; NULL and NaN are left out."""
     moments = _long(df, columns).groupBy("column").agg(
         F.count("*").alias("count"),
         F.avg("value").alias("mean"),

@@ -377,10 +377,17 @@ register(
 register(
     "stratified_group_folds",
     lambda s, f: groups.stratified_group_folds(_slim(s, f), 7).select("group", "fold"),
-    f"""WITH {_G}, c AS (SELECT "group", label, count(*) AS n FROM grouped GROUP BY ALL),
-m AS (SELECT "group", arg_max(label, struct_pack(n, o := -label)) AS main, sum(n) AS n FROM c GROUP BY ALL),
-t AS (SELECT "group", (row_number() OVER (ORDER BY main, n DESC, "group") - 1) % 14 AS turn FROM m)
-SELECT "group", CASE WHEN turn < 7 THEN turn ELSE 13 - turn END::INTEGER AS fold FROM t""",
+    f"""WITH RECURSIVE {_G},
+counts AS (SELECT "group" AS grp, {", ".join(f"count(*) FILTER (label = {i}) AS v{i}" for i in (0, 1, 2))} FROM grouped GROUP BY ALL),
+totals AS (SELECT sum(v0) AS t0, sum(v1) AS t1, sum(v2) AS t2, t0 + t1 + t2 AS t FROM counts),
+placed AS (SELECT *, row_number() OVER (ORDER BY 3 * (v0 * v0 + v1 * v1 + v2 * v2) - (v0 + v1 + v2) ** 2 DESC, v0, v1, v2, grp) AS i FROM counts),
+walk AS (
+SELECT 0::BIGINT AS i, NULL::INTEGER AS grp, 0::BIGINT AS pick, [0::BIGINT FOR g IN range(7)] AS s0, [0::BIGINT FOR g IN range(7)] AS s1, [0::BIGINT FOR g IN range(7)] AS s2
+UNION ALL
+SELECT i, grp, pick, {", ".join(f"[s{i}[g] + CASE WHEN g = pick THEN v{i} ELSE 0 END FOR g IN range(1, 8)]" for i in (0, 1, 2))}
+FROM (SELECT placed.*, s0, s1, s2, list_sort([struct_pack(spread := round({" + ".join(f"list_aggregate([s{i}[g] + CASE WHEN g = f THEN v{i} ELSE 0 END FOR g IN range(1, 8)], 'stddev_pop') * t / greatest(t{i}, 1)" for i in (0, 1, 2))}, 6),
+n := s0[f] + s1[f] + s2[f], f := f) FOR f IN range(1, 8)])[1].f AS pick FROM walk JOIN placed ON placed.i = walk.i + 1 CROSS JOIN totals) AS step)
+SELECT grp AS "group", (pick - 1)::INTEGER AS fold FROM walk WHERE i > 0""",
 )
 
 
