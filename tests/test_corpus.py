@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from textgrade.functions import names
 from textgrade.functions.text import split_lines
 from textgrade.operators import annotate, features, frequency, groups, ingest, langid, profile, ranking, sampling
-from textgrade.sources import conllu, sinks, tables
+from textgrade.sources import conllu, named_files, sinks, tables
 from textgrade.sources.text import read_documents
 
 
@@ -63,8 +63,47 @@ def test_sinks(spark, tmp_path):
     sinks.write_json(df, str(tmp_path / "j"))
     lines = [l for n in os.listdir(tmp_path / "j") if n.startswith("part") for l in open(tmp_path / "j" / n)]
     assert sorted(json.loads(l)["name"] for l in lines) == ["a", "b"]
-    sinks.write_text_per_name(df, str(tmp_path / "t"))
-    assert sorted(n for n in os.listdir(tmp_path / "t") if n.startswith("name=")) == ["name=a", "name=b"]
+
+
+def test_one_file_per_name(spark, tmp_path):
+    texts = {"a.txt": "l1\r\nl2\n", "b.txt": " é ", "c d.txt": "", "e.txt": None}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string").repartition(3)
+    out = str(tmp_path / "t")
+    sinks.write_text_per_name(df, out)
+    assert {n: open(os.path.join(out, n), newline="", encoding="utf8").read() for n in os.listdir(out)} == {n: t or "" for n, t in texts.items()}
+    assert {r["file_name"]: r["text"] for r in read_documents(spark, out).collect()} == {n: t for n, t in texts.items() if t}
+    with pytest.raises(Exception, match="not empty"):
+        sinks.write_text_per_name(df, out)
+    for bad in ("x/y.txt", "_hidden", None, ".", ""):
+        with pytest.raises(ValueError, match="file names"):
+            sinks.write_text_per_name(spark.createDataFrame([(bad, "t")], "name string, text string"), str(tmp_path / "u"))
+    with pytest.raises(ValueError, match="repeat"):
+        sinks.write_text_per_name(df.union(df.where("name = 'a.txt'")), str(tmp_path / "u"))
+    failing = df.withColumn("text", F.when(F.col("name") == "e.txt", F.raise_error(F.lit("no text"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="no text"):
+        sinks.write_text_per_name(failing, str(tmp_path / "v"))
+    assert not os.path.exists(tmp_path / "v") or os.listdir(tmp_path / "v") == []  # nothing is left of a failed job
+    sinks.write_text_per_name(df.limit(0), str(tmp_path / "w"))
+    assert os.listdir(tmp_path / "w") == []
+
+
+def test_an_attempt_written_again_leaves_one_whole_file(tmp_path):
+    import pyarrow as pa
+
+    writer = named_files.NamedTextWriter(f"file:{tmp_path}")
+    batch = pa.RecordBatch.from_pydict({"name": ["a.txt", "b.txt"], "text": ["first", "x"]})
+    (tmp_path / writer.staging).mkdir()
+    (tmp_path / writer.staging / "lost").write_text("fir")  # of an executor that went away
+    messages = [writer.write(iter([batch])) for _ in range(2)]
+    writer.commit(messages[1:])
+    assert sorted(os.listdir(tmp_path)) == ["a.txt", "b.txt"] and (tmp_path / "a.txt").read_text() == "first"
+
+
+def test_csv_keeps_blanks_quotes_and_line_breaks(spark, tmp_path):
+    rows = [(0, "a", ' x "y" '), (1, "b", "l1\nl2, \\"), (2, "c", "NA"), (0, "d", "")]
+    sinks.write_csv(spark.createDataFrame(rows, "label int, name string, text string"), str(tmp_path / "c"))
+    back = tables.read_csv(spark, str(tmp_path / "c"), tables.CORPUS_SCHEMA, multi_line=True)
+    assert sorted((r["label"], r["name"], r["text"]) for r in back.collect()) == sorted(rows)
 
 
 def test_frequency_file(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("document_features", "corpus", "modelling")
+MODULES = ("document_features", "corpus", "modelling", "round_trips")
 
 
 def load_all():

@@ -7,6 +7,6 @@ from pyspark.sql import functions as F
 
 
 def read_documents(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """``file_name, text`` of all files matching ``glob``, each read whole."""
+    """``file_name, text`` of all files matching ``glob``, each read whole; Spark passes over empty files."""
     df = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     return df.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
