@@ -52,6 +52,36 @@ def test_count_shuffle_is_shared(spark):
     assert text.count("Generate posexplode(_words") == 2  # once for the documents, once for the dictionary's collection
 
 
+@pytest.mark.parametrize("name", [
+    "group_folds", "binary_folds", "fold_tuples", "train_validation_rows", "three_way_rows", "fold_group_rows", "rows_outside_fold",
+    "fold_sizes", "folds_but_one", "training_groups", "documents_with_group_names",
+])
+def test_fold_queries_read_the_saved_keys(spark, name):
+    text = plan(entry.queries()[name](spark, FOLDER))
+    assert 1 <= text.count("FileScan parquet") <= 3 and "documents.parquet" not in text and "[text" not in text
+
+
+def test_kept_tables_follow_their_source(spark, tmp_path):
+    from textgrade import session
+    from textgrade.session import kept
+
+    source, made = str(tmp_path / "t"), []
+
+    def table():
+        made.append(1)
+        return spark.read.parquet(source).selectExpr("count(*) AS n")
+
+    spark.range(5).write.parquet(source)
+    first = kept(spark, "rows", source, table)
+    assert first.first()["n"] == kept(spark, "rows", source, table).first()["n"] == 5 and len(made) == 1
+    spark.range(3).write.mode("append").parquet(source)
+    changed = kept(spark, "rows", source, table)
+    assert changed.first()["n"] == 8 and len(made) == 2
+    key = next(k for k in session._KEPT if k[1:3] == ("rows", source))
+    session._KEPT[key] = str(tmp_path / "gone"), session._KEPT[key][1]
+    assert kept(spark, "rows", source, table).first()["n"] == 8 and len(made) == 3
+
+
 def test_class_filter_reaches_the_scan(spark):
     from textgrade.sources.tables import read_table
 

@@ -11,6 +11,7 @@ from textgrade.functions.text import normalized, split_lines, split_units
 from textgrade.operators import frequency, groups, ingest, langid, profile, ranking, sampling
 from textgrade.plans.document_features import GROUPED_SQL, NAMED_SQL, documents, named_documents
 from textgrade.plans.registry import register, rounded, sql_rounded
+from textgrade.session import kept
 from textgrade.sources.tables import read_table
 
 # --- units, chapters, names -----------------------------------------------------------------------
@@ -277,12 +278,12 @@ register(
 )
 register(
     "group_labels",
-    lambda s, f: groups.group_labels(grouped(s, f)),
+    lambda s, f: groups.group_labels(_slim(s, f)),
     f'WITH {_G} SELECT "group", max(label) AS label FROM grouped GROUP BY ALL',
 )
 register(
     "group_titles",
-    lambda s, f: groups.group_titles(grouped(s, f)),
+    lambda s, f: groups.group_titles(_slim(s, f)),
     f'WITH {_G} SELECT "group", arg_max(title, name) AS title FROM grouped GROUP BY ALL',
 )
 register(
@@ -295,7 +296,7 @@ register(
 register(
     "documents_with_group_names",
     lambda s, f: groups.lookup_by_group(
-        grouped(s, f).select("doc_id", "name", "group"), groups.group_labels(grouped(s, f)), groups.group_titles(grouped(s, f))
+        _slim(s, f).select("doc_id", "name", "group"), groups.group_labels(_slim(s, f)), groups.group_titles(_slim(s, f))
     ),
     f"""WITH {_G} SELECT doc_id, name, "group", label, title FROM (SELECT doc_id, name, "group" FROM grouped)
 LEFT JOIN (SELECT "group", max(label) AS label, arg_max(title, name) AS title FROM grouped GROUP BY ALL) USING ("group")""",
@@ -314,12 +315,19 @@ _F = f"{_G}, {FOLDS_SQL}"
 
 
 def _slim(spark: SparkSession, folder: str) -> DataFrame:
-    return grouped(spark, folder).select("doc_id", "name", "label", "group")
+    """``doc_id, name, label, group`` of every document, shared by the queries of a session."""
+    rows = lambda: grouped(spark, folder).select("doc_id", "name", "label", "group")
+    return kept(spark, "group rows", f"{folder}/documents.parquet", rows)
+
+
+def _folds(spark: SparkSession, folder: str) -> DataFrame:
+    """``fold, label, group``, shared by the queries of a session; its written size decides whether a join broadcasts it."""
+    return kept(spark, "folds", f"{folder}/documents.parquet", lambda: groups.create_folds(_slim(spark, folder)))
 
 
 register(
     "group_folds",
-    lambda s, f: groups.create_folds(_slim(s, f)),
+    lambda s, f: _folds(s, f),
     f'WITH {_F} SELECT fold, label, "group" FROM folds',
 )
 register(
@@ -329,44 +337,44 @@ register(
 )
 register(
     "fold_tuples",
-    lambda s, f: groups.fold_tuples(groups.create_folds(_slim(s, f))),
+    lambda s, f: groups.fold_tuples(_folds(s, f)),
     f"""WITH {_F} SELECT fold, max("group") FILTER (WHERE label = 0) AS group_0, max("group") FILTER (WHERE label = 1) AS group_1,
   max("group") FILTER (WHERE label = 2) AS group_2 FROM folds GROUP BY fold""",
 )
 register(
     "train_validation_rows",
-    lambda s, f: groups.train_validation_split(_slim(s, f), groups.create_folds(_slim(s, f)), 1).select("doc_id", "fold", "role"),
+    lambda s, f: groups.train_validation_split(_slim(s, f), _folds(s, f), 1).select("doc_id", "fold", "role"),
     f"WITH {_F} SELECT doc_id, fold, CASE WHEN fold = 1 THEN 'val' ELSE 'train' END AS role FROM roled WHERE fold <> 0",
 )
 register(
     "three_way_rows",
-    lambda s, f: groups.three_way_split(_slim(s, f), groups.create_folds(_slim(s, f)), 1).select("doc_id", "role"),
+    lambda s, f: groups.three_way_split(_slim(s, f), _folds(s, f), 1).select("doc_id", "role"),
     f"WITH {_F} SELECT doc_id, CASE fold WHEN 1 THEN 'val' WHEN 0 THEN 'test' ELSE 'train' END AS role FROM roled",
 )
 register(
     "fold_group_rows",
-    lambda s, f: _slim(s, f).join(groups.create_folds(_slim(s, f)).where("fold = 1"), "group", "left_semi").select("doc_id", "group"),
+    lambda s, f: _slim(s, f).join(_folds(s, f).where("fold = 1"), "group", "left_semi").select("doc_id", "group"),
     f'WITH {_F} SELECT doc_id, "group" FROM roled WHERE fold = 1',
 )
 register(
     "rows_outside_fold",
-    lambda s, f: _slim(s, f).join(groups.create_folds(_slim(s, f)).where("fold in (0, 1)"), "group", "left_anti").select("doc_id", "group"),
+    lambda s, f: _slim(s, f).join(_folds(s, f).where("fold in (0, 1)"), "group", "left_anti").select("doc_id", "group"),
     f'WITH {_F} SELECT doc_id, "group" FROM roled WHERE fold NOT IN (0, 1)',
 )
 register(
     "fold_sizes",
-    lambda s, f: groups.fold_sizes(_slim(s, f), groups.create_folds(_slim(s, f))),
+    lambda s, f: groups.fold_sizes(_slim(s, f), _folds(s, f)),
     f"""WITH {_F}, c AS (SELECT fold, count(*) AS n_val FROM roled WHERE fold <> 0 GROUP BY fold)
 SELECT fold, n_val, (SELECT sum(n_val) FROM c)::BIGINT - n_val AS n_train FROM c""",
 )
 register(
     "folds_but_one",
-    lambda s, f: groups.create_folds(_slim(s, f)).where("fold not in (0, 1)"),
+    lambda s, f: _folds(s, f).where("fold not in (0, 1)"),
     f'WITH {_F} SELECT fold, label, "group" FROM folds WHERE fold NOT IN (0, 1)',
 )
 register(
     "training_groups",
-    lambda s, f: groups.training_groups(groups.create_folds(_slim(s, f)), 1),
+    lambda s, f: groups.training_groups(_folds(s, f), 1),
     f'WITH {_F} SELECT DISTINCT "group" FROM folds WHERE fold NOT IN (0, 1)',
 )
 register(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(
@@ -43,11 +45,44 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _write(df: DataFrame) -> str:
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/textgrade-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a Parquet table in the shared folder, and go on from there.
 
     The table outlives any executor, is read by column, and tells the optimizer its size.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/textgrade-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df))
+
+
+_KEPT: dict[tuple, tuple[str, StructType]] = {}
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop file system and path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` derives from the files under ``source``, written once a session.
+
+    It is made anew when the source has changed (time, bytes or number of files) and when its own files are gone.
+    """
+    system, place = _files(spark, source)
+    summary = system.getContentSummary(place)
+    version = system.getFileStatus(place).getModificationTime(), summary.getLength(), summary.getFileCount()
+    key = spark.sparkContext.applicationId, name, source
+    held = _KEPT.get((*key, version))
+    if held:
+        system, place = _files(spark, held[0])
+    if not held or not system.exists(place):
+        for old in [k for k in _KEPT if k[:3] == key]:
+            del _KEPT[old]
+        df = make()
+        held = _KEPT[(*key, version)] = _write(df), df.schema
+    return spark.read.schema(held[1]).parquet(held[0])
