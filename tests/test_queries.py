@@ -13,7 +13,8 @@ CHECKED = [
     "dependency_features", "annotated_tokens", "conllu_parsed", "word_syllables", "lemma_frequency_features", "word_frequency_features",
     "feature_table", "chapter_files", "numbered_chapters", "corpus_union_capped", "language_profiles", "language_kept_text",
     "document_groups", "group_folds", "train_validation_rows", "three_way_rows", "fold_sizes", "split_train_test", "split_stratified",
-    "rank_forward_fill", "describe_table", "histograms", "knn_neighbours", "gnb_cv_predictions", "classification_report",
+    "stratified_group_folds", "text_files_round_trip", "csv_corpus_round_trip", "csv_missing_round_trip", "json_round_trip", "dictionary_round_trip",
+    "ranking_round_trip", "rank_forward_fill", "describe_table", "histograms", "knn_neighbours", "gnb_cv_predictions", "classification_report",
     "fold_result_table", "group_result_table", "lda_moments",
 ]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("document_features", "corpus", "modelling", "round_trips")
+MODULES = ("document_features", "corpus", "modelling", "round_trips", "feature_profiles")
 
 
 def load_all():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -68,15 +68,20 @@ def _files(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``make`` derives from the files under ``source``, written once a session.
+def _version(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    system, place = _files(spark, path)
+    summary = system.getContentSummary(place)
+    return system.getFileStatus(place).getModificationTime(), summary.getLength(), summary.getFileCount()
+
+
+def kept(spark: SparkSession, name: str, source: str | Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` derives from the files under ``source`` (one path or several), written once a session.
 
     It is made anew when the source has changed (time, bytes or number of files) and when its own files are gone.
     """
-    system, place = _files(spark, source)
-    summary = system.getContentSummary(place)
-    version = system.getFileStatus(place).getModificationTime(), summary.getLength(), summary.getFileCount()
-    key = spark.sparkContext.applicationId, name, source
+    sources = (source,) if isinstance(source, str) else tuple(source)
+    version = tuple(_version(spark, path) for path in sources)
+    key = spark.sparkContext.applicationId, name, sources
     held = _KEPT.get((*key, version))
     if held:
         system, place = _files(spark, held[0])
