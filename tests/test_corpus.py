@@ -394,3 +394,35 @@ def test_letters_beyond_the_basic_plane(spark):
     row = spark.createDataFrame([(text,)], "t string").select(langid.grams(langid.letters_only(F.col("t")), (2, 3)).alias("g")).first()
     plain = " " + text.replace("\U00010400", "\U00010428") + " "
     assert row["g"] == [plain[i : i + n] for n in (2, 3) for i in range(len(plain) - n + 1)]
+
+
+def test_language_scores_equal_a_sum_gram_by_gram(spark):
+    from textgrade.operators import langid
+
+    random.seed(8)
+    letters = "abcde\U00010428é"
+    words = ["".join(random.choice(letters) for _ in range(random.randint(1, 6))) for _ in range(60)]
+    grams = sorted({w[i : i + n] for w in words for n in (1, 2, 3, 5) for i in range(len(w) - n + 1)})
+    weights = {(g, l): random.randint(1, 10**7) for g in grams for l in "xyz" if random.random() < 0.5}
+    profiles = spark.createDataFrame([(l, g, w) for (g, l), w in weights.items()], "lang string, gram string, weight long")
+    texts = [" ".join(random.sample(words, random.randint(1, 9))) for _ in range(80)] + [None, "", "7 8", "ZZ zz", "a" * 5000]
+    texts += texts[:3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = langid.detect(docs, profiles, ["z", "y", "x"], ["id"], "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and plan.count("ArrowEvalPython") == 1
+
+    known = {g for g, _ in weights}
+    expected = {}
+    for i, text in enumerate(texts):
+        clean = f" {' '.join((text or '').lower().split())} "
+        if "7" in clean:
+            continue
+        hits = [clean[a : a + n] for n in (1, 2, 3, 5) for a in range(len(clean) - n + 1) if clean[a : a + n] in known]
+        if hits:
+            sums = {l: sum(weights.get((g, l), 0) for g in hits) for l in "xyz"}
+            expected[i] = max("xyz", key=lambda l: (sums[l], -ord(l))), max(sums.values())
+    assert {r["id"]: (r["lang_pred"], r["score"]) for r in found.collect()} == expected
+    none = langid.detect(docs, profiles.limit(0), ["x"], ["id"], "t")
+    assert none.columns == ["id", "lang_pred", "score"] and none.count() == 0
+    assert langid.detect(docs.limit(0), profiles, ["x"], ["id"], "t").count() == 0

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ GRAM_SIZES = (3,)
 PROFILE_SIZE = 1000
 FLOOR = 1e-6  # share assumed for a gram missing from a profile
 _NOT_LETTERS = r"[^\p{L}]+"
+_POINT_BITS = 21  # of a code point
+_CHUNK = 2_000_000  # code points that are looked up together
 SCALE = 1_000_000  # weights are whole millionths, so that sums do not depend on their order
 
 
@@ -52,24 +56,89 @@ def language_profiles(
     return best.join(totals, lang).select(lang, "gram", "n", weight.alias("weight"))
 
 
-def detect(
-    units_df: DataFrame, profiles: DataFrame, languages: Sequence[str], keys: Sequence[str], text: str, sizes: Sequence[int] = GRAM_SIZES
-) -> DataFrame:
-    """Best language per unit: ``keys, lang_pred, score``; units without a known gram are left out.
+class GramTable:
+    """Exact lookup of many grams at once: every prefix length has one sorted array of codes.
+
+    A code is the number of the prefix one shorter and the next code point, so a gram of any length is
+    found by as many binary searches as it has code points, and no two grams share a code.
+    """
 
-    Profiles are laid out as one row per gram with a column per language, so a gram meets one row.
-    They hold at most profile size x languages rows.
+    def __init__(self, grams: Sequence[str], weights: np.ndarray):
+        self.weights = weights
+        self.levels: dict[int, list[np.ndarray]] = {}
+        self.rows: dict[int, np.ndarray] = {}
+        lengths = np.array([len(g) for g in grams], dtype=np.int64)
+        for n in sorted(set(lengths.tolist()) - {0}):
+            at = np.flatnonzero(lengths == n)
+            points = _code_points("".join(grams[i] for i in at)).reshape(len(at), n)
+            levels, state = [], points[:, 0]
+            for j in range(n):
+                state = state if j == 0 else state << _POINT_BITS | points[:, j]
+                codes, state = np.unique(state, return_inverse=True)
+                levels.append(codes)
+            order = np.empty(len(levels[-1]), dtype=np.int64)
+            order[state] = at
+            self.levels[n], self.rows[n] = levels, order
+
+    def hits(self, points: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units and rows of the table of all known grams; ``unit`` numbers the text of each code point."""
+        units, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n, levels in self.levels.items():
+            at = np.flatnonzero(unit[: len(unit) - n + 1] == unit[n - 1 :]) if len(unit) >= n else np.empty(0, np.int64)
+            state = np.zeros(len(at), dtype=np.int64)
+            for j, codes in enumerate(levels):
+                code = state << _POINT_BITS | points[at + j]
+                state = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                known = codes[state] == code
+                at, state = at[known], state[known]
+            units.append(unit[at])
+            rows.append(self.rows[n][state])
+        return np.concatenate(units), np.concatenate(rows)
+
+    def sums(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Known grams of each text, and the sum of their weights per column; whole millionths add up exactly."""
+        count, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), self.weights.shape[1]))
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        part = np.cumsum(lengths) // _CHUNK
+        for chosen in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
+            points = _code_points("".join(texts[i] for i in chosen))
+            units, rows = self.hits(points, np.repeat(np.arange(len(chosen)), lengths[chosen]))
+            count[chosen] = np.bincount(units, minlength=len(chosen))
+            for c in range(total.shape[1]):
+                total[chosen, c] = np.bincount(units, self.weights[rows, c], len(chosen))
+        return count, total
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+
+
+def detect(units_df: DataFrame, profiles: DataFrame, languages: Sequence[str], keys: Sequence[str], text: str) -> DataFrame:
+    """Best language per row: ``keys, lang_pred, score``; rows without a known gram (or text) are left out.
+
+    The score is the sum of the weights of all grams; the first language by name wins a tie. The profiles
+    (profile size x languages rows) go to the tasks with the scorer, so rows stay where they are: no row
+    per gram, no join, no shuffle. Grams are as long as those of the profiles.
     """
-    wide = profiles.groupBy("gram").agg(
-        *[F.sum(F.when(F.col("lang") == l, F.col("weight"))).alias(f"_w_{l}") for l in languages]
-    )
-    hits = gram_rows(units_df, text, keys, sizes).join(F.broadcast(wide), "gram")
-    sums = hits.groupBy(*keys).agg(*[F.coalesce(F.sum(f"_w_{l}"), F.lit(0)).alias(f"_w_{l}") for l in languages])
-    ranked = F.array(
-        *[F.struct(F.col(f"_w_{l}").alias("score"), F.lit(-i).alias("first"), F.lit(l).alias("lang")) for i, l in enumerate(sorted(languages))]
-    )
-    best = F.array_max(ranked)
-    return sums.select(*keys, best["lang"].alias("lang_pred"), best["score"].alias("score"))
+    names = sorted(languages)
+    wide = profiles.where(F.col("lang").isin(names)).groupBy("gram").agg(
+        *[F.coalesce(F.sum(F.when(F.col("lang") == l, F.col("weight"))), F.lit(0)).alias(f"w{i}") for i, l in enumerate(names)]
+    ).toPandas()
+    table = GramTable(wide["gram"].tolist(), wide[[f"w{i}" for i in range(len(names))]].to_numpy(np.float64))
+
+    # not deterministic, so that the filter below does not score every row a second time
+    @F.pandas_udf("lang string, score long")
+    def best(cleaned: pd.Series) -> pd.DataFrame:
+        count, total = table.sums(cleaned.fillna("").tolist())
+        first, known = total.argmax(axis=1), count > 0
+        lang = np.where(known, np.array(names, dtype=object)[first], None)
+        score = pd.array(total[np.arange(len(total)), first].astype(np.int64), dtype="Int64")
+        score[~known] = pd.NA
+        return pd.DataFrame({"lang": lang, "score": score})
+
+    scored = units_df.select(*keys, best.asNondeterministic()(letters_only(F.col(text))).alias("_best"))
+    found = scored.where(F.col("_best.lang").isNotNull())
+    return found.select(*keys, F.col("_best.lang").alias("lang_pred"), F.col("_best.score").alias("score"))
 
 
 def keep_language(
@@ -77,6 +146,5 @@ def keep_language(
 ) -> DataFrame:
     """Only the pages (or lines) in the ``target`` language, put together again per document."""
     split = units(df, split_units(F.col("text")) if pieces is None else pieces, [key])
-    found = detect(split, profiles, languages, [key, "unit_id"], "unit")
-    kept = split.join(found.where(F.col("lang_pred") == target), [key, "unit_id"], "left_semi")
-    return reassembled(kept, key, "unit_id", "unit")
+    found = detect(split, profiles, languages, [key, "unit_id", "unit"], "unit")
+    return reassembled(found.where(F.col("lang_pred") == target), key, "unit_id", "unit")
