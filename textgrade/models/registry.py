@@ -5,62 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    OneVsRest,
-)
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-import numpy as np
-import pandas as pd
-from pyspark.ml import Transformer
+from pyspark.ml import Estimator
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
 
 from textgrade.fixed_values import SEED
+from textgrade.models.kernel import KernelMachine
 from textgrade.models.knn import NearestNeighbours
 from textgrade.models.lda import LinearDiscriminant
 from textgrade.models.trees import BOOSTED, BOOSTED_FOREST, FOREST, TreeEnsemble
 
 
-class RandomFourierFeatures(Transformer):
-    """Cosine features whose inner products approach a radial basis kernel (Rahimi & Recht, 2007)."""
-
-    def __init__(self, inputCol: str, outputCol: str, size: int = 128, gamma: float | None = None, seed: int = SEED):
-        super().__init__()
-        self.input_col, self.output_col = inputCol, outputCol
-        self.size, self.gamma, self.seed = size, gamma, seed
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        size, gamma, seed = self.size, self.gamma, self.seed
-
-        @F.pandas_udf("array<double>")
-        def cosines(xs: pd.Series) -> pd.Series:
-            x = np.stack(xs.to_numpy())
-            rng = np.random.default_rng(seed)
-            scale = gamma if gamma is not None else 1.0 / x.shape[1]  # inputs are standardized
-            w = rng.normal(0.0, np.sqrt(2 * scale), (x.shape[1], size))
-            b = rng.uniform(0.0, 2 * np.pi, size)
-            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ w + b)))
-
-        return dataset.withColumn(self.output_col, array_to_vector(cosines(vector_to_array(self.input_col))))
-
-
-def kernel_machine(size: int = 128, max_iter: int = 20) -> Estimator:
-    """Support vector machine on approximate radial basis features, one class against the rest."""
-    return Pipeline(
-        stages=[
-            StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True),
-            RandomFourierFeatures("_scaled", "_kernel", size),
-            OneVsRest(classifier=LinearSVC(maxIter=max_iter), featuresCol="_kernel", labelCol="label"),
-        ]
-    )
-
-
 def boosted_trees(rounds: int = 100, depth: int = 6, seed: int = SEED) -> Estimator:
     """Gradient boosting of a softmax over all classes, a tree a class and round."""
     return TreeEnsemble(replace(BOOSTED, rounds=rounds, depth=depth, seed=seed))
@@ -82,7 +36,7 @@ MODELS: dict[str, Callable[[], Estimator]] = {
     "KNN": NearestNeighbours,
     "CART": lambda: DecisionTreeClassifier(seed=SEED),
     "NB": lambda: NaiveBayes(modelType="gaussian"),
-    "SVM": kernel_machine,
+    "SVM": KernelMachine,
     "RF": forest,
     "XGB": boosted_trees,
     "XGBRF": boosted_forest,
