@@ -93,4 +93,41 @@ def test_nearest_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
     assert got == [(20, 1, 1, 0.5), (20, 2, 6, -1.0)]
+    more = spark.createDataFrame([(80, [2.0]), (20, [3.0]), (80, [2.0, 0.0]), (100, [1.0, 2.0, 3.0])], df.schema)
+    got = [tuple(r) for r in ann.nearest(df.union(more), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    twenty = [(20, 1, 80, 6.0), (20, 2, 7, 3.0), (20, 3, 1, 0.5), (20, 4, 6, -1.0)]
+    assert got == twenty + [(80, 1, 20, 6.0), (80, 2, 7, 2.0), (80, 3, 1, 1.0), (80, 4, 6, -2.0)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_few_probes_and_nearly_empty_parts_give_k_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    lone = [(20 * i, (np.eye(8)[i % 8] * 10 + 0.01 * rng.normal(size=8)).tolist()) for i in range(16)]
+    crowd = [(1000 + i, (-np.ones(8) + 0.01 * rng.normal(size=8)).tolist()) for i in range(600)]
+    again = [(20, lone[3][1])] * 30 + [(40, lone[2][1])] * 30  # repeated ids hold one candidate each
+
+    def by_axis(vectors, parts, recall):
+        router = ann.Router([np.zeros((8, 1)), np.zeros(1), np.zeros((1, 8)), np.zeros(8), np.eye(8)])
+        return router  # one probe: the part of the largest component
+
+    monkeypatch.setattr(ann, "learn", by_axis)
+    df = spark.createDataFrame(lone + crowd + again, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") < 1000).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {i for i, _ in lone} and all(len(set(ids)) == len(ids) == 20 and q not in ids for q, ids in got.items())
+
+
+def test_recall_on_the_given_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    slim = [(r.vec_id, r.embedding) for r in rows.select("vec_id", "embedding").collect()]
+    ids, x = np.array([i for i, _ in slim]), np.array([v for _, v in slim], float)
+    got = {}
+    for r in ann.nearest(rows, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = (x * x[q]).sum(axis=1)
+        score[ids == ids[q]] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(got) and all(len(g) == 20 for g in got.values())

@@ -3,13 +3,15 @@
 The neighbour graph of a bounded sample is cut into parts of equal size with few edges between them. A
 small network learns, from a vector alone, how its neighbours are spread over the parts. It puts every
 vector of the table into its most probable part and sends every query to as many of the most probable
-parts as the wanted recall takes on the sample. There the query is compared with all vectors, and its
+parts as the wanted recall takes on the sample, and to more where these hold too few rows. There the query is compared with all vectors, and its
 best are ranked by their exact inner product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -147,8 +149,10 @@ def nearest(
     Nearest is the largest inner product, in double precision; ties go to the smaller id. Every row but
     the query's own is a candidate; a row is known by its id, so rows of the query's own id are left out,
     and of rows that repeat an id the best counts. Vectors that are null, zero or have null or non-finite
-    components, those without id and those of another length than most take no part. With no more
-    candidates than ``k`` all of them are returned. An empty table gives no rows.
+    components and those without id take no part. Vectors of another length are a search of their own, for
+    an inner product needs equal lengths. A query that finds fewer than ``k`` ids in the parts it visits goes
+    on down its order of parts until there are enough, so it gets ``k`` rows, or all candidates if they are
+    fewer. An empty table gives no rows.
     """
     fine = rows.filter(usable(vector_col) & F.col(id_col).isNotNull())
     slim = fine.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -156,8 +160,43 @@ def nearest(
     spark = rows.sparkSession
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, count, queries = max(((r["n"], r["rows"], r["queries"]) for r in sizes), key=lambda r: (r[1], r[0]))
-    slim = slim.filter(F.size("v") == width)
+    parts_of = [
+        _nearest_of_width(slim.filter(F.size("v") == r["n"]), r["n"], r["rows"], r["queries"], k, sample, parts, recall)
+        for r in sorted(sizes, key=lambda r: r["n"]) if r["queries"]
+    ]
+    if not parts_of:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, parts_of)
+    if len(parts_of) > 1:  # an id that stands with vectors of several lengths has one list all the same
+        found = _best(found, k)
+    return found
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` ids of each query; negative scores sort the array of at most k from each block."""
+    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best")
+    )
+    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select(
+        "query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score")
+    )
+
+
+def enough(order: Column, held: Sequence[int], probes: int, wanted: int) -> Column:
+    """The first parts of ``order``: ``probes`` of them, and more until they hold ``wanted`` ids."""
+    sizes = F.array(*[F.lit(int(n)).cast("long") for n in held])
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("ids"))
+    step = lambda a, p: F.when(
+        (a["n"] < probes) | (a["ids"] < wanted), F.struct((a["n"] + 1).alias("n"), (a["ids"] + F.get(sizes, p)).alias("ids"))
+    ).otherwise(a)
+    return F.slice(order, F.lit(1), F.aggregate(order, start, step, lambda a: a["n"]))
+
+
+def _nearest_of_width(
+    slim: DataFrame, width: int, count: int, queries: int, k: int, sample: int, parts: int, recall: float
+) -> DataFrame:
+    """Search among vectors of one length."""
+    spark = slim.sparkSession
     draw = F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 30))
     drawn = slim.filter(draw < int(min(1.0, 1.1 * sample / count) * (1 << 30))).select(draw.alias("d"), "vec_id", "v").collect()
     drawn = sorted(drawn, key=lambda r: (r["d"], r["vec_id"]))[:sample]
@@ -169,36 +208,53 @@ def nearest(
         for batch in batches:
             x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, width)
             chances = router.chances(x)
-            order = np.argsort(-chances, axis=1, kind="stable")[:, : max(router.probes, 1)].astype(np.int32)
-            visits = pa.ListArray.from_arrays(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32), order.ravel())
+            order = np.argsort(-chances, axis=1, kind="stable").astype(np.int32)
+            # queries keep their whole order, other rows the one part they are held in
+            asked = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+            listed = asked[:, None] | (np.arange(order.shape[1]) == 0)[None, :]
+            ends = np.concatenate([[0], np.cumsum(listed.sum(axis=1))]).astype(np.int32)
+            visits = pa.ListArray.from_arrays(ends, order[listed])
             yield pa.RecordBatch.from_arrays([*batch.columns, visits], ["vec_id", "v", "q", "parts"])
 
     placed = saved(slim.mapInArrow(place, "vec_id long, v array<double>, q boolean, parts array<int>"))
+    # every id counts in one part only, so parts that hold k + 1 ids hold k candidates beside the query's own
+    own = placed.groupBy("vec_id").agg(F.min(F.get("parts", 0)).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    ids = {r["part"]: r["n"] for r in own.collect()}  # a row a part
+    visits = enough(F.col("parts"), [ids.get(p, 0) for p in range(n_parts)], max(shared.value.probes, 1), k + 1)
     ways = max(1, -(-count // (n_parts * BLOCK))), max(1, -(-queries // (n_parts * BLOCK)))
-    salt = lambda n, name: F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(n)).cast("int").alias(name)
+    # by id and vector, so that an id with many vectors does not fill one block
+    salt = lambda n, name: F.pmod(F.xxhash64(F.lit(name), "vec_id", "v"), F.lit(n)).cast("int").alias(name)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = placed.select("vec_id", "v", F.get("parts", 0).alias("part"), salt(ways[0], "i")).withColumn("j", every(ways[1]))
-    asks = placed.filter("q").select("vec_id", "v", F.explode("parts").alias("part"), salt(ways[1], "j")).withColumn("i", every(ways[0]))
+    asks = placed.filter("q").select("vec_id", "v", F.explode(visits).alias("part"), salt(ways[1], "j")).withColumn("i", every(ways[0]))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         ids, asked = np.asarray(left["vec_id"]), np.asarray(right["vec_id"])
-        x = np.asarray(left["v"].combine_chunks().flatten()).reshape(len(ids), width)
+        by_id = np.argsort(ids, kind="stable")
+        x = np.asarray(left["v"].combine_chunks().flatten()).reshape(len(ids), width)[by_id]
+        ids = ids[by_id]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # rows that repeat an id are one candidate
         y = np.asarray(right["v"].combine_chunks().flatten()).reshape(len(asked), width)
         out = []
         for at in range(0, len(asked), 256):
             near = y[at : at + 256] @ x.T
             near[asked[at : at + 256, None] == ids[None, :]] = -np.inf
-            if len(ids) > k:
-                floor = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+            if len(starts) > k:
+                floor = -np.partition(-np.maximum.reduceat(near, starts, axis=1), k - 1, axis=1)[:, k - 1 : k]
                 hits = near >= floor - 1e-9 * (1 + np.abs(floor))  # rounding of the product can't lose one
             else:
                 hits = np.ones(near.shape, bool)
             hits &= near > -np.inf
             q, c = np.nonzero(hits)
             score = (y[at + q] * x[c]).sum(axis=1)
+            order = np.lexsort((-score, ids[c], q))
+            q, c, score = q[order], c[order], score[order]
+            if len(starts) < len(ids) and len(q):
+                best = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[c][1:] != ids[c][:-1])])
+                q, c, score = q[best], c[best], score[best]
             order = np.lexsort((ids[c], -score, q))
             q, c, score = q[order], c[order], score[order]
             first = np.searchsorted(q, q)
@@ -207,10 +263,4 @@ def nearest(
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names)
 
     met = held.groupBy("part", "i", "j").cogroup(asks.groupBy("part", "i", "j")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    # the best k of each query: negative scores sort the array of at most k from each block
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best")
-    )
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select(
-        "query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score")
-    )
+    return _best(met, k)
