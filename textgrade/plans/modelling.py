@@ -355,6 +355,69 @@ register(
     lambda s, f: crossval.lda_cross_predict(folded(s, f)).select("id", "fold", "label", F.col("prediction").cast("int").alias("prediction")),
 )
 
+# Three measures are few enough for SQL to invert their scatter by cofactors, so predictions can be compared row by row.
+_LDA_MEASURES = ("l_extendedprice", "l_discount", "l_tax")
+_LDA_FOLDS = 5
+
+
+def _measures(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, features, label, fold``: low, middle and high charges, to be told from price, discount and tax."""
+    charge = F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))
+    return read_table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber").cast("long")).alias("id"),
+        F.array(*[F.col(c).cast("double") for c in _LDA_MEASURES]).alias("features"),
+        F.when(charge <= 35_000, 0).when(charge <= 65_000, 1).otherwise(2).alias("label"),
+        F.pmod("l_orderkey", F.lit(_LDA_FOLDS)).cast("int").alias("fold"),
+    )
+
+
+def _measures_sql(training: str) -> str:
+    """Predictions of every row by the classes' moments over folds ``t`` that train for fold ``f``."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    s = lambda i, j: f"s{min(i % 3, j % 3)}{max(i % 3, j % 3)}"
+    # the cofactors of a symmetric matrix, taken round the clock, need no signs
+    cofactor = lambda i, j: f"({s(i + 1, j + 1)} * {s(i + 2, j + 2)} - {s(i + 1, j + 2)} * {s(i + 2, j + 1)})"
+    det = " + ".join(f"{s(0, j)} * {cofactor(0, j)}" for j in range(3))
+    centred = ", ".join(f"{c}::DOUBLE - avg({c}::DOUBLE) OVER () AS x{i}" for i, c in enumerate(_LDA_MEASURES))
+    return f"""
+li AS (SELECT l_orderkey::BIGINT * 10 + l_linenumber::BIGINT AS id, (l_orderkey % {_LDA_FOLDS})::INTEGER AS fold, {centred},
+  l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) AS charge, CASE WHEN charge <= 35000 THEN 0 WHEN charge <= 65000 THEN 1 ELSE 2 END AS label,
+  row_number() OVER () AS r FROM lineitem),
+part AS (SELECT fold AS t, label, count(*)::DOUBLE AS n, {", ".join(f"sum(x{i}) AS a{i}" for i in range(3))},
+  {", ".join(f"sum(x{i} * x{j}) AS p{i}{j}" for i, j in pairs)} FROM li GROUP BY ALL),
+moment AS (SELECT f, label, sum(n) AS n, {", ".join(f"sum(a{i}) / sum(n) AS m{i}" for i in range(3))},
+  {", ".join(f"sum(p{i}{j}) - sum(a{i}) * sum(a{j}) / sum(n) AS w{i}{j}" for i, j in pairs)}
+  FROM part JOIN (SELECT DISTINCT fold AS f FROM li) ON {training} GROUP BY f, label),
+scatter AS (SELECT f, sum(n) AS total, {", ".join(f"sum(w{i}{j}) / (sum(n) - count(*)) AS s{i}{j}" for i, j in pairs)} FROM moment GROUP BY f),
+turned AS (SELECT f, label, n / total AS prior, m0, m1, m2,
+  {", ".join(f"({' + '.join(f'{cofactor(i, j)} * m{j}' for j in range(3))}) / ({det}) AS c{i}" for i in range(3))} FROM moment JOIN scatter USING (f)),
+score AS (SELECT r, id, fold, li.label, turned.label AS guess,
+  c0 * (x0 - m0 / 2) + c1 * (x1 - m1 / 2) + c2 * (x2 - m2 / 2) + ln(prior) AS v FROM li JOIN turned ON f = fold),
+pred AS (SELECT r, id, fold, label, arg_max(guess, v)::INTEGER AS prediction FROM score GROUP BY ALL)"""
+
+
+register(
+    "lda_measures_predictions",
+    lambda s, f: crossval.lda_cross_predict(_measures(s, f)).select("id", "fold", "label", F.col("prediction").cast("int").alias("prediction")),
+    f"WITH {_measures_sql('t <> f')} SELECT id, fold, label, prediction FROM pred",
+)
+register(
+    "cv_protocol_predictions",  # fold 0 is kept out of training and scored by the models of all others
+    lambda s, f: crossval.cross_validate(ml_ready(_measures(s, f)), {"LDA": MODELS["LDA"]}, test_fold=0, evaluate_holdout=True),
+    f"WITH {_measures_sql('t <> f AND t <> 0')} SELECT 'LDA' AS model, fold, id, label, prediction FROM pred",
+)
+register(
+    "cv_protocol_scores",
+    lambda s, f: _rounded(
+        metrics.weighted_scores(
+            crossval.cross_validate(ml_ready(_measures(s, f)), {"LDA": MODELS["LDA"]}, test_fold=0, evaluate_holdout=True), ["model", "fold"]
+        ).select("model", "fold", "accuracy"),
+        ("accuracy",),
+    ),
+    f"""WITH {_measures_sql('t <> f AND t <> 0')}
+SELECT 'LDA' AS model, fold, {sql_rounded('avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS accuracy FROM pred GROUP BY fold""",
+)
+
 # --- trained models, checked by tests -----------------------------------------------------------------------
 
 
