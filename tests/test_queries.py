@@ -16,6 +16,7 @@ CHECKED = [
     "stratified_group_folds", "text_files_round_trip", "csv_corpus_round_trip", "csv_missing_round_trip", "json_round_trip", "dictionary_round_trip",
     "ranking_round_trip", "rank_forward_fill", "describe_table", "histograms", "knn_neighbours", "gnb_cv_predictions", "classification_report",
     "fold_result_table", "group_result_table", "lda_moments",
+    "lda_measures_predictions", "cv_protocol_predictions", "cv_protocol_scores", "language_detect", "language_accuracy",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
