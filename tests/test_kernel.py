@@ -85,3 +85,19 @@ def test_odd_rows(spark):
     assert [r["prediction"] for r in MODELS["SVM"]().fit(apart).transform(apart).orderBy("id").collect()] == [7.0, 7.0, 2.0, 2.0]
     with pytest.raises(ValueError, match="two classes"):
         MODELS["SVM"]().fit(flat.where(F.col("label") == 1))
+
+
+def test_sums_come_to_the_driver_without_arrow(spark):
+    """With Arrow off, Spark's default, an array column reaches the driver as lists."""
+    x, y = clouds(60, 5)
+    df = table(spark, x, y)
+    want = kernel.KernelMachine().fit(df)
+    setting = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        got = kernel.KernelMachine().fit(df)
+    finally:
+        spark.conf.set(setting, before)
+    for pair, weights in want.weights.items():
+        np.testing.assert_allclose(got.weights[pair], weights, atol=1e-6)
