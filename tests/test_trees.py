@@ -150,3 +150,38 @@ def test_odd_rows(spark):
     for spec in SMALL.values():
         got = trees.run_fits(data, [trees.Fit(spec, (0, 1))]).collect()
         assert len(got) == 4 and {r["prediction"] for r in got} <= {0, 2}
+
+
+def test_few_members_at_a_time_grow_the_same_trees(spark, monkeypatch):
+    """Memory goes by ``PAIRS`` and not by rows times members, and a forest may be dealt out in pieces."""
+    df, x, label = rows_of(spark)
+    data = trees.bin_rows(df)
+    fits = [trees.Fit(s, (0, 1, 2, 3, 4, 5), fold) for s in SMALL.values() for fold in (0, None)]
+    whole = predictions(trees.run_fits(data, fits))
+    bins, ids, labels, _ = data.shared().value
+    one = trees.fit_here(fits[1], bins, ids, labels, 3)[0]
+    monkeypatch.setattr(trees, "PAIRS", 200)
+    monkeypatch.setattr(trees, "ROWS", 50)
+    assert [p.members for p in fits[1].handfuls(len(ids), 3)] == [1] * 5
+    few = trees.fit_here(fits[1], bins, ids, labels, 3)[0]
+    scores = [trees.outputs(t, fits[1], bins, 3) for t in (one, few)]
+    np.testing.assert_allclose(*scores, atol=1e-12)
+    monkeypatch.setattr(trees, "DEAL", 1)
+    monkeypatch.setattr(trees, "PIECE", 2)
+    monkeypatch.setattr(trees.Fit.pieces, "__defaults__", (2,))
+    assert predictions(trees.run_fits(data, fits)) == whole
+
+
+def test_held_out_rows_keep_ids_and_labels(spark, monkeypatch):
+    """Trees are grown in tasks, not on the driver; rows asked may repeat an id and have labels that no tree knows."""
+    df, _, _ = rows_of(spark)
+    rows = crossval.from_array(df, "features")
+    asked = rows.where("fold = 0").withColumn("label", F.when(F.col("id") == 0, 9).otherwise(F.col("label")))
+    asked = asked.unionByName(asked.where("id = 3"))
+    train = rows.where("fold <> 0")
+    monkeypatch.setattr(trees.TreeEnsemble, "fit", None)
+    for model in (forest(6, 5), boosted_trees(3, 3), boosted_forest(5, 3)):
+        got = crossval.train_model(model, train, asked, "M", 0).collect()
+        assert len(got) == asked.count() and sum(r["id"] == 3 for r in got) == 2
+        assert next(r["label"] for r in got if r["id"] == 0) == 9
+        assert sum(r["label"] == r["prediction"] for r in got) > 0.45 * len(got)
