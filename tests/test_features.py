@@ -180,3 +180,35 @@ def test_text_helpers(spark):
 
 def test_feature_file_headers():
     assert len(FEATURE_HEADERS) == 44 and list(FEATURE_HEADERS.values()) == list(features.FEATURE_NAMES)
+
+
+def test_small_dictionaries_cost_no_shuffle_of_forms(spark):
+    """Lookups in a dictionary that fits the head add up tokens where they are: one shuffle of sums by document."""
+    rows = [(1, "a b a c"), (2, "b b"), (2, "a z"), (3, "z"), (None, "a")]
+    tokens = annotate.tokenize(spark.createDataFrame(rows, "doc_id long, text string"))
+    dictionary = spark.createDataFrame([("a", 9, 1), ("b", 4, 2)], "form string, freq long, rank long")
+    found = frequency.frequency_features(frequency.form_uses(tokens), "text", dictionary, "word")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    got = {r["doc_id"]: tuple(r)[1:] for r in found.collect()}
+    assert got == {1: (22 / 3, 4.0, 4 / 3, 2.0), 2: (17 / 3, 4.0, 5 / 3, 2.0)}
+    counted = frequency.frequency_features(frequency.form_counts(tokens), "text", dictionary, "word")
+    assert {r["doc_id"]: tuple(r)[1:] for r in counted.collect()} == got
+
+
+def test_conllu_blocks_without_a_shuffle(spark):
+    """A sentence's lines are joined where they are, also across batches; repeated sentences are blocks of their own."""
+    from textgrade.sources.conllu import to_blocks
+
+    lines = [(d, s, w, f"{d}-{s}-{w}") for d in (1, 1, None, 2) for s in range(4) for w in range(1, 8)]
+    df = spark.createDataFrame(lines, "doc_id long, sent_id int, word_id int, line string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        blocks = to_blocks(df)
+        assert "Exchange hashpartitioning" not in blocks._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(map(str, r)) for r in blocks.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = [(str(d), str(s), "\n".join(f"{d}-{s}-{w}" for w in range(1, 8))) for d in (1, 1, None, 2) for s in range(4)]
+    assert got == sorted(want)
