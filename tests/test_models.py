@@ -41,6 +41,17 @@ def test_knn_matches_brute_force(spark, copies, pivots, block):
         assert [got[i][p] for p in range(1, 6)] == want
 
 
+def test_knn_holds_few_distances_at_a_time(spark, monkeypatch):
+    """Neither queries on their way to all cells nor distances of a block stand in memory together."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(0, 1, (300, 8)))]
+    df = spark.createDataFrame(rows, "id long, features array<double>").repartition(3)
+    want = sorted(map(tuple, knn.neighbours(df, df, 4, 8, 100).collect()))
+    monkeypatch.setattr(knn, "ROUTED", 7)
+    monkeypatch.setattr(knn, "CELLS_AT_ONCE", 200)
+    assert sorted(map(tuple, knn.neighbours(df, df, 4, 8, 100).collect())) == want
+
+
 def test_knn_with_fewer_rows_than_neighbours(spark):
     train = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, features array<double>")
     query = spark.createDataFrame([(9, [0.2])], "id long, features array<double>")

@@ -24,6 +24,8 @@ from textgrade.operators.ranking import seeded_key
 
 PIVOTS = 64
 BLOCK = 4096
+ROUTED = 128  # queries that are sent to their cells together: each goes to all cells at worst
+CELLS_AT_ONCE = 1 << 20  # distances of a block's queries and rows that are held together
 SLACK = 1e-9  # rounding of the bounds must never exclude a true neighbour
 DECIMALS = 9  # distances are compared at this precision, equal ones by id
 
@@ -77,9 +79,7 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, pivots: int = PIVOT
     radius_cell, radius = radii["cell"].to_numpy(), radii["radius"].to_numpy()
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in (b.iloc[a : a + ROUTED] for b in batches for a in range(0, len(b), ROUTED)):
             d = np.sqrt(_distances(np.stack(batch["features"].to_numpy()), centers))
             upper = d[:, radius_cell] + radius[None, :]
             at = min(k, upper.shape[1]) - 1
@@ -110,6 +110,11 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, pivots: int = PIVOT
         if q.empty or t.empty:
             return pd.DataFrame({"id": [], "neighbour_id": [], "distance": []})
         x, y = np.stack(q["features"].to_numpy()), np.stack(t["features"].to_numpy())
+        step = max(1, CELLS_AT_ONCE // len(y))
+        ids, asked = t["id"].to_numpy(), q["id"].to_numpy()
+        return pd.concat([nearest_few(x[a : a + step], asked[a : a + step], y, ids) for a in range(0, len(x), step)], ignore_index=True)
+
+    def nearest_few(x: np.ndarray, asked: np.ndarray, y: np.ndarray, every: np.ndarray) -> pd.DataFrame:
         # a matrix product finds all that can be among the k nearest, differences then give exact distances
         size = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :]
         rough = size - 2 * (x @ y.T)
@@ -117,11 +122,11 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, pivots: int = PIVOT
         limit = np.partition(rough, at, axis=1)[:, at : at + 1]
         row, hit = np.nonzero(rough <= limit + SLACK * (1 + size) + 2 * 10.0**-DECIMALS)
         d = np.round(((x[row] - y[hit]) ** 2).sum(axis=1), DECIMALS)
-        ids = t["id"].to_numpy()[hit]
+        ids = every[hit]
         order = np.lexsort((ids, d, row))
         row, ids, d = row[order], ids[order], d[order]
         first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pd.DataFrame({"id": q["id"].to_numpy()[row[first]], "neighbour_id": ids[first], "distance": d[first]})
+        return pd.DataFrame({"id": asked[row[first]], "neighbour_id": ids[first], "distance": d[first]})
 
     keys = ["cell", "block", "cut"]
     candidates = (
