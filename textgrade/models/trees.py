@@ -347,14 +347,15 @@ def joined(parts: Sequence[Trees]) -> Trees:
 
 
 def _grow_here(fit: Fit, round_: int, bins: np.ndarray, ids: np.ndarray, labels: np.ndarray, margins: np.ndarray, n_classes: int) -> Trees:
-    """All open nodes of a level at a time. Where nodes see all or most features, the histograms of the larger of two
-    children are their parent's less the other's; forests, whose nodes see few, count anew."""
+    """All open nodes of a level at a time. In boosting over rounds the histograms of the larger of two children are their
+    parent's less the other's."""
     pairs = Sample(fit, round_, ids, labels, margins, n_classes)
     growing = _growing(fit, round_, n_classes)
     every = growing.features
     on, slots, c = np.arange(len(pairs.row)), pairs.tree, n_classes if fit.spec.gini else 2
     widest = growing.n_trees << min(fit.spec.depth - 1, 30)
-    halve = not fit.spec.gini and 2 * growing.subset.shape[1] >= len(every) and widest * len(every) * BINS * c <= CELLS
+    # a single round has but two gradients, so that many splits are equally good and rounding would choose: it counts anew
+    halve = fit.spec.rounds > 1 and not fit.spec.gini and 2 * growing.subset.shape[1] >= len(every) and widest * len(every) * BINS * c <= CELLS
     above = None  # histograms over all features of the parents of the open nodes
     while len(growing.slots):
         n = len(growing.slots)
