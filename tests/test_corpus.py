@@ -426,3 +426,21 @@ def test_language_scores_equal_a_sum_gram_by_gram(spark):
     none = langid.detect(docs, profiles.limit(0), ["x"], ["id"], "t")
     assert none.columns == ["id", "lang_pred", "score"] and none.count() == 0
     assert langid.detect(docs.limit(0), profiles, ["x"], ["id"], "t").count() == 0
+
+
+def test_files_are_read_whole_byte_for_byte(spark, tmp_path):
+    """Plain files go by the reader of bytes, with the rows that the text reader gives."""
+    import gzip
+
+    from textgrade.sources.text import read_documents
+
+    given = {"a.txt": "žluť\r\nx\n".encode(), "b.txt": b"\xef\xbb\xbfbom", "c.txt": b"bad \xff\xfe", "empty.txt": b"", "d.txt.gz": gzip.compress(b"packed"), "e.md": b"no"}
+    for name, data in given.items():
+        (tmp_path / name).write_bytes(data)
+    df = read_documents(spark, str(tmp_path))
+    assert "binaryFile" in df._jdf.queryExecution().executedPlan().toString()
+    shown = lambda d: sorted((r["file_name"], r["h"]) for r in d.selectExpr("file_name", "hex(text) AS h").collect())
+    assert shown(df) == [(n, given[n].hex().upper()) for n in ("a.txt", "b.txt", "c.txt")]
+    plain = spark.read.option("pathGlobFilter", "*.txt").text(str(tmp_path), wholetext=True)
+    assert shown(df) == shown(plain.selectExpr("_metadata.file_name AS file_name", "value AS text"))
+    assert [r["text"] for r in read_documents(spark, str(tmp_path), "*.gz").collect()] == ["packed"]
