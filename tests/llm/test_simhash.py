@@ -96,6 +96,27 @@ def test_postings_meet_within_the_bound(spark, max_bits, positions):
     assert all(keys[a] & keys[b] for a, b in pairs)
 
 
+@pytest.mark.parametrize("positions", [8, 17, 18, 21])
+def test_tally_counts_matching_positions(positions):
+    rng = np.random.default_rng(4)
+    differ = np.bitwise_and.reduce(rng.integers(0, 2**64, (3, 500), dtype=np.uint64))
+    bits = [f"{x:064b}"[::-1] for x in [0, *differ.tolist()]]
+    edges = [64 * i // positions for i in range(positions + 1)]
+    want = [sum("1" not in b[lo:hi] for lo, hi in zip(edges, edges[1:])) for b in bits]
+    assert simhash.tally(np.r_[np.uint64(0), differ], positions).tolist() == want
+
+
+def test_wide_pairs_with_the_tally(spark):
+    """All pairs within the bound and no others, from an index whose guaranteed minimum is more than one match."""
+    assert simhash.SPARE > 1
+    rng = np.random.default_rng(6)
+    fps = [int(x) for x in rng.integers(-(2**62), 2**62, 40)]
+    fps += [f ^ sum(1 << int(b) for b in rng.choice(62, k, replace=False)) for f in fps[:20] for k in (3, 9, 16, 17)]
+    nodes = spark.createDataFrame([(i, f, 100, i) for i, f in enumerate(fps)], "mark long, fp long, n int, root long")
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 16}
+    assert {(r.a, r.b) for r in simhash.wide_pairs(nodes, 16, 0.8, False).collect()} == want
+
+
 def jaccard(a, b, width=5):
     def parts(t):
         w = t.lower().split()

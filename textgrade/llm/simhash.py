@@ -9,9 +9,11 @@ pairs; lists that are too long for one task are compared in blocks spread over t
 these links are the near-duplicate classes.
 
 The pairs of :func:`alike_classes` can be far apart in bits, since a shingle set with a given Jaccard
-similarity to another has a fingerprint that is only likely to be near. Its positions are finer than
-bytes, ``max_bits + 1`` or more of them, keys also hold a class of set sizes, and every pair within the
-bound is verified by its shingle sets before it links.
+similarity to another has a fingerprint that is only likely to be near. The index is the same with
+positions finer than bytes, more of them than bits that may differ. Postings are keyed by one position
+and its bits, keys also hold a class of set sizes. The tally of a pair's matching positions drops those
+below the guaranteed minimum, the rest are verified bit by bit, and every pair within the bound is
+verified by its shingle sets before it links.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ BITS_AT_ONCE = 1 << 15  # shingles whose bits are counted together
 SHORT_LIST = 32  # lists up to this length are compared by shifts
 BLOCK = 4096  # fingerprints of a list that one task compares with each other
 THRESHOLD = 0.8  # Jaccard similarity of shingle sets that are alike
+SPARE = 2  # positions of a wide index beyond the bits that may differ: the matches that every near pair has
 WIDE_BITS = 16  # sets of similarity 0.8 differ in 9.7 bits on the average: 99 of 100 in at most so many
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 17
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -83,18 +86,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, f"doc_id {kind}, digest long, fp long")
 
 
-def postings(fps: DataFrame, max_bits: int = 4, positions: int = 8) -> DataFrame:
-    """The rows of ``fps`` for each choice of ``positions - max_bits`` positions: its number, their bits, the row.
+def runs(positions: int) -> list[tuple[int, int]]:
+    """First bit and end of every position: the 64 bits cut into ``positions`` runs, as even as can be."""
+    edges = [64 * i // positions for i in range(positions + 1)]
+    return list(zip(edges, edges[1:]))
+
+
+def postings(fps: DataFrame, max_bits: int = 4, positions: int = 8, together: int | None = None) -> DataFrame:
+    """The rows of ``fps`` for each choice of ``together`` positions: its number, their bits, the row.
 
-    The 64 bits are cut into ``positions`` runs, as even as can be. Fingerprints that differ in at most
-    ``max_bits`` bits agree in that many positions at least, so they meet under one choice or more.
+    Fingerprints that differ in at most ``max_bits`` bits agree in ``positions - max_bits`` positions at
+    least, so they meet under one choice or more of up to that many, which is the default.
     """
     if not 0 <= max_bits < positions <= 64:
         raise ValueError("there must be more positions than bits that may differ, and at most 64")
-    edges = [64 * i // positions for i in range(positions + 1)]
-    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    masks = [(1 << b) - (1 << a) for a, b in runs(positions)]
     keys = []
-    for at, places in enumerate(combinations(masks, positions - max_bits)):
+    for at, places in enumerate(combinations(masks, together or positions - max_bits)):
         mask = sum(places)
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(at).cast("int").alias("places"), F.col("fp").bitwiseAND(F.lit(signed)).alias("bytes")))
@@ -110,6 +118,19 @@ def close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
     return out
 
 
+def tally(differ: np.ndarray, positions: int) -> np.ndarray:
+    """In how many positions pairs match, ``differ`` being the bits in which they don't."""
+    spans = runs(positions)
+    # the first bit of a run stands for the run: it is set if any of its bits is
+    first = [np.uint64(sum(1 << a for a, b in spans if b - a > shift)) for shift in range(max(b - a for a, b in spans))]
+    found, part = differ & first[0], np.empty_like(differ)
+    for shift, mask in enumerate(first[1:], 1):
+        np.right_shift(differ, np.uint64(shift), out=part)
+        part &= mask
+        found |= part
+    return positions - np.bitwise_count(found)
+
+
 def forest(left: np.ndarray, right: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between (and within, if they are the same) two lists."""
     nodes = np.unique(np.concatenate([left, right]))
@@ -282,7 +303,8 @@ def wide_pairs(nodes: DataFrame, max_bits: int, threshold: float, first: bool, p
     """
     sized = F.when(F.col("n") > 0, F.floor(F.log("n") / F.lit(float(np.log(1 / threshold) * 1.01)))).otherwise(-2).cast("int")
     met = nodes.select("mark", "fp", "n", "root", sized.alias("own"), F.explode(F.array(sized, sized + 1)).alias("size"))
-    keyed = postings(met, max_bits, positions or max_bits + 1)
+    positions = positions or max_bits + SPARE
+    keyed = postings(met, max_bits, positions, together=1)
 
     def compare(table: pa.Table) -> pa.Table:
         order = np.lexsort([np.asarray(table["mark"])])
@@ -291,7 +313,9 @@ def wide_pairs(nodes: DataFrame, max_bits: int, threshold: float, first: bool, p
         at, step = np.arange(len(mark)), max(1, PAIRS_AT_ONCE // len(mark))
         for low in range(0, len(mark), step):
             rows = at[low : low + step]
-            near = np.bitwise_count(fp[rows, None] ^ fp[None, : rows[-1] + 1]) <= max_bits
+            differ = fp[rows, None] ^ fp[None, : rows[-1] + 1]
+            near = tally(differ, positions) >= positions - max_bits
+            near &= np.bitwise_count(differ) <= max_bits
             v, u = np.nonzero(near)
             v = rows[v]
             fit = (u < v) & (home[u] | home[v]) & (np.minimum(n[u], n[v]) >= threshold * np.maximum(n[u], n[v]) - 1e-6)
