@@ -201,6 +201,28 @@ def test_tokens_are_those_of_the_library():
     assert [i.tolist() for i in tokens.encode(texts)] == want
 
 
+def test_packing_workers_hold_little():
+    """Few characters are encoded at once, and a chunk that is one word stands in one cache only."""
+    asked = []
+
+    class Counting:
+        def encode(self, texts):
+            asked.append(sum(map(len, texts)))
+            return [np.zeros(0, np.uint32) for _ in texts]
+
+    assert len(list(packing._encoded(Counting(), ["word " * 200] * 1000))) == 1000
+    assert max(asked) <= (1 << 18) + 1000
+    tokens = packing.Tokens(WORDS)
+    texts = ["one two, three", "two (three) three", "", "it's one-two ... one", "two,"]
+    for _ in range(2):
+        assert [x.tolist() for x in tokens.encode(texts)] == [tokens.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "one" in tokens.chunks.place and "it's" in tokens.chunks.place
+    assert "it" in tokens.words.place and "three" in tokens.words.place and len(tokens.words.place) < 10
+    plain = packing.Tokens(WORDS)
+    plain.encode(["only plain words here"])
+    assert len(plain.chunks.place) == 4 and not plain.words.place
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["the", "cat", "x!"]) for _ in range(rng.randint(0, 90)))) for i in range(300)]

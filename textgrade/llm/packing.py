@@ -12,6 +12,7 @@ ranges of ranks, by which Spark places the pieces.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from textgrade.llm.common import bound_batches, give_back, saved, worker_cache
 
 CAPACITY = 2048
-CHUNKS, NAMES = 250_000, 400_000  # chunks and words kept in the caches of a worker
+CHUNKS, NAMES = 350_000, 50_000  # chunks and words kept in the caches of a worker
+GROUP = 1 << 18  # characters encoded together
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the word rule of the vocabulary file
 
 
@@ -42,6 +44,7 @@ class Tokens:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
         self.library = Tokenizer.from_file(path)
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
@@ -63,9 +66,19 @@ class Tokens:
         return out
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks; a chunk that is one word is held as a chunk already and takes no second place."""
         parts = list(map(_WORD.findall, chunks))
-        flat, ends = self.words.get(list(chain.from_iterable(parts)), self._words)
-        return flat, ends[np.cumsum([0, *map(len, parts)])]
+        alone = [len(p) == 1 for p in parts]
+        single, ends_1 = self._words([p[0] for p in parts if len(p) == 1])
+        mixed, ends_2 = self.words.get([w for p in parts if len(p) != 1 for w in p], self._words)
+        ends_2 = ends_2[np.cumsum([0, *(len(p) for p in parts if len(p) != 1)])]
+        # both lists end to end, then in the order of the chunks
+        order = np.empty(len(parts), np.int64)
+        order[np.r_[np.flatnonzero(alone), np.flatnonzero(~np.array(alone, bool))]] = np.arange(len(parts))
+        flat, starts = np.r_[single, mixed], np.r_[ends_1[:-1], len(single) + ends_2[:-1]][order]
+        sizes = np.r_[np.diff(ends_1), np.diff(ends_2)][order]
+        ends = np.r_[0, np.cumsum(sizes)]
+        return flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
@@ -133,7 +146,7 @@ def _encoded(tokens: Tokens, texts: list[str]) -> Iterator[np.ndarray]:
     for text in texts:
         group.append(text)
         size += len(text)
-        if size > 1 << 20:
+        if size > GROUP:
             yield from tokens.encode(group)
             group, size = [], 0
     yield from tokens.encode(group)
@@ -153,7 +166,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                     owner.append(i), piece.append(k), start.append(at), length.append(len(part)), crc.append(zlib.crc32(part.astype("<u4").tobytes()))
             columns = [pa.array(c, k) for c, k in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        give_back()
+            give_back()  # what a batch leaves behind would stand beside the next one's
 
     bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
