@@ -201,6 +201,15 @@ def test_tokens_are_those_of_the_library():
     assert [i.tolist() for i in tokens.encode(texts)] == want
 
 
+def test_plain_words_go_to_the_model_alone():
+    """Without the library's normalising of each text; every code point below U+0250 in and beside words."""
+    tokens = packing.Tokens(WORDS)
+    texts = [f"a{c}b {c} x1{c}, {c}'ll {c}{c}" for c in map(chr, range(0x250)) if c not in "\x1c\x1d\x1e\x1f"]
+    want = [tokens.library.encode(t, add_special_tokens=False).ids for t in texts]
+    tokens.library = None
+    assert [i.tolist() for t in texts for i in tokens.encode([t])] == want and [i.tolist() for i in tokens.encode(texts)] == want
+
+
 def test_packing_workers_hold_little():
     """Few characters are encoded at once, and a chunk that is one word stands in one cache only."""
     asked = []

@@ -13,32 +13,46 @@ ranges of ranks, by which Spark places the pieces.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain, repeat
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textgrade.llm.common import bound_batches, give_back, saved, worker_cache
 
 CAPACITY = 2048
-CHUNKS, NAMES = 350_000, 50_000  # chunks and words kept in the caches of a worker
+CHUNKS, NAMES = 349_000, 50_000  # chunks and words kept in the caches of a worker; from 349,526 on a dict is twice as large
 GROUP = 1 << 18  # characters encoded together
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the word rule of the vocabulary file
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed value: bytes that are a letter of their own in the file
+_LETTERS = np.arange(256, dtype="<u2")  # the letter of each byte in the file; a space stays, it only parts words here
+_LETTERS[sorted({*range(256)} - {*_SHOWN})] = 256 + np.arange(256 - len(_SHOWN))
+_LETTERS[32] = 32
+
+
+def _word_rule() -> re.Pattern:
+    """The word rule of the vocabulary file, spelt out for code points below U+0250 and what they are in lower case."""
+    points = {c for i in range(0x250) for c in chr(i) + chr(i).lower()}
+    of = {k: "".join(re.escape(c) for c in sorted(points) if category(c)[0] == k) for k in "LN"}
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\s{of['L']}{of['N']}]+")  # fixed value: the rule
+
+
+_WORD = _word_rule()
 
 
 class Tokens:
     """Ids of texts by a vocabulary file of ``tokenizers``, through a cache of chunks between white space.
 
     White space always parts words in this vocabulary and is dropped, so the ids of a text are those of
-    its chunks. Words not seen before go to the library together; the end-of-word mark of their last
-    token parts them again. A text with code points from U+0250 on, where case and composition are less
-    plain, or with a special token's string goes to the library as a whole.
+    its chunks. Words not seen before go to the library's model one by one, in the letters that stand for
+    their bytes there. A text with code points from U+0250 on, where case and composition are less plain,
+    or with a special token's string goes to the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,9 +60,7 @@ class Tokens:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
         self.library = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        for token, i in self.library.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+        self.model = self.library.model  # each look at it makes another wrapper
         self.chunks, self.words = _Lists(CHUNKS), _Lists(NAMES)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -67,7 +79,7 @@ class Tokens:
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks; a chunk that is one word is held as a chunk already and takes no second place."""
-        parts = list(map(_WORD.findall, chunks))
+        parts = [[c] if c.isalpha() else _WORD.findall(c) for c in chunks]
         alone = [len(p) == 1 for p in parts]
         single, ends_1 = self._words([p[0] for p in parts if len(p) == 1])
         mixed, ends_2 = self.words.get([w for p in parts if len(p) != 1 for w in p], self._words)
@@ -81,11 +93,14 @@ class Tokens:
         return flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            raise ValueError("words and their ids don't match")
-        return ids, np.r_[0, ends]
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        tokenize, text = self.model.tokenize, " ".join(words)
+        if not (text.isascii() and text.isprintable()):
+            words = _LETTERS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le").split(" ")
+        lists = [[t.id for t in tokenize(w)] for w in words]
+        ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1])), np.r_[0, ends]
 
 
 def _plain(text: str) -> bool:
