@@ -47,6 +47,27 @@ def test_code_switched_words_have_their_own_language():
     assert chances.argmax(axis=1).tolist() == [0, 0, 1, 1]
 
 
+def test_language_workers_hold_little(monkeypatch):
+    """Chunks of a few texts are learned at once; a full cache keeps what is common and drops what a batch adds."""
+    rng = np.random.default_rng(3)
+    model = langid.fit([("aa", ["saba", "daba"] * 10), ("bb", ["zoto", "moto"] * 10)] * 9)
+    texts = [" ".join(["saba", "zoto", *("".join(rng.choice(list("abotz"), 7)) for _ in range(60))]) for _ in range(400)]
+    want = langid.Reader(model).read(texts)
+    asked = []
+    monkeypatch.setattr(langid.Model, "emissions", lambda self, words, own=langid.Model.emissions: asked.append(list(words)) or own(self, words))
+    monkeypatch.setattr(langid, "GROUP", 5_000, raising=False)
+    assert langid.Reader(model).read(texts) == want
+    assert max(map(len, asked)) < 1_000 < sum(map(len, asked))
+    asked.clear()
+    monkeypatch.setattr(langid, "CACHE", 500)
+    reader = langid.Reader(model)
+    got = [reader.read(texts[i : i + 10]) for i in range(0, 30, 10)]
+    assert sum(words.count("saba") for words in asked) == 1 and "saba" in reader.chunks
+    assert len(reader.chunks) == len(reader.words) < 700 and reader.missed > 500
+    got += [reader.read(texts[i : i + 10]) for i in range(30, 400, 10)]
+    assert [x for langs, _ in got for x in langs] == want[0] and np.allclose([x for _, scores in got for x in scores], want[1], atol=1e-5)
+
+
 def test_languages_of_odd_rows(spark):
     rows = [(i, f"{'aba saba' if i % 2 else 'oto zoto'} " * 10, "a" if i % 2 else "b", "x") for i in range(60)]
     rows += [(100, None, "a", "x"), (101, "", None, None), (None, "saba aba", None, "x"), (102, "…12", "a", "x"), (103, "ABA " * 50_000, None, "x")]

@@ -28,7 +28,8 @@ NGRAMS = (1, 2, 3, 4)
 SPACE = 1 << 17  # hashed n-gram features
 ROUNDS, RATE, DECAY = 60, 0.15, 1e-3  # of the fit
 TYPICAL, SEEN = 0.9, 3  # share of a language in a word of its lexicon, and how often it must be seen
-CACHE = 250_000  # chunks and words kept in the caches of a worker
+CACHE = 250_000  # chunks kept by a worker, and those of one batch
+GROUP = 1 << 18  # characters whose chunks are looked up together
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -99,7 +100,9 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, change: np.ndarray, count:
     length = sizes[order]
     longest = int(length[0]) if len(length) else 0
     alive = np.searchsorted(-length, -np.arange(longest), side="left")  # sequences longer than t
-    local = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
+    local = scores - scores.max(axis=1, keepdims=True) if len(scores) else scores.copy()
+    del scores
+    np.exp(local, out=local)
     move = np.exp(change - change.max())
     ahead = np.empty_like(local)
     state = np.full((len(length), n_labels), 1 / n_labels, local.dtype)
@@ -109,7 +112,7 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, change: np.ndarray, count:
         state = (state[:k] if t == 0 else state[:k] @ move) * local[at]
         state /= state.sum(axis=1, keepdims=True)
         ahead[at] = state
-    out = np.empty_like(local)
+    out = ahead  # a place is read for the last time when it is written
     moves = np.zeros((n_labels, n_labels))
     back = np.ones((len(length), n_labels), local.dtype)
     for t in range(longest - 1, -1, -1):
@@ -214,7 +217,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 class Reader:
-    """Reads texts with a model; keeps the scores of the words it has met."""
+    """Reads texts with a model; keeps the scores of the words it has met.
+
+    It keeps what comes first, and so what is common; once there is enough of it, what a batch adds is
+    dropped after that batch. When that has been twice as much, the texts have changed and it starts anew.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -225,6 +232,7 @@ class Reader:
         self.words: dict[str, int] = {}
         self.scores = np.zeros((1 << 16, len(self.model.langs)), np.float32)
         self.weights = np.zeros(1 << 16, np.float32)
+        self.missed = 0
 
     def _learn(self, chunks: set[str]) -> None:
         plain = {c: letters(c) for c in chunks}
@@ -237,24 +245,33 @@ class Reader:
         self.words.update(zip(new, range(used, used + len(new))))
         self.chunks.update((c, self.words[w]) for c, w in plain.items())
 
-    def read(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Language and score of each text."""
+    def _look_up(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the words of each text; only chunks not met before are held as strings, those of a few texts at once."""
         found, open_ = [], []
-        for text in texts:  # a text's chunks are looked up at once: only those not met before are held as strings
+        for text in texts:
             chunks = text.split()
             at = np.fromiter(map(self.chunks.get, chunks, repeat(-1)), np.int32, len(chunks))
             missing = np.flatnonzero(at < 0)
             if len(missing):
                 open_.append((at, missing, [chunks[i] for i in missing.tolist()]))
             found.append(at)
-        new = {c for _, _, chunks in open_ for c in chunks}
-        if self.chunks and len(self.chunks) + len(new) > CACHE:
-            self.clear()
-            return self.read(texts)
-        if new:
-            self._learn(new)
+        if open_:
+            self._learn({c for _, _, chunks in open_ for c in chunks})
         for at, missing, chunks in open_:
             at[missing] = list(map(self.chunks.__getitem__, chunks))
+        return found
+
+    def read(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        if self.missed > 2 * CACHE:
+            self.clear()
+        kept = (len(self.chunks), len(self.words)) if len(self.chunks) >= CACHE else None
+        found = [at for group in _groups(texts, GROUP) for at in self._look_up(group)]
+        if kept:
+            self.missed += len(self.chunks) - kept[0]
+            for held, n in zip((self.chunks, self.words), kept):
+                for _ in range(len(held) - n):
+                    held.popitem()  # the last that came; their scores stand until the next batch
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         at = np.concatenate(found) if found else np.zeros(0, np.int32)
         weights = self.weights[at]
@@ -270,15 +287,19 @@ class Reader:
         return langs, np.clip(score, 0, 1).tolist()
 
 
-def _read(reader: Reader, texts: list[str]) -> Iterator[tuple[list[str], list[float]]]:
+def _groups(texts: list[str], most: int) -> Iterator[list[str]]:
     group, size = [], 0
     for text in texts:
         group.append(text)
         size += len(text)
-        if size > 4 << 20:
-            yield reader.read(group)
+        if size > most:
+            yield group
             group, size = [], 0
-    yield reader.read(group)
+    yield group
+
+
+def _read(reader: Reader, texts: list[str]) -> Iterator[tuple[list[str], list[float]]]:
+    yield from map(reader.read, _groups(texts, 4 << 20))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
