@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from textgrade.llm import simhash
+from textgrade.llm import common, simhash
 from textgrade.llm.common import components
 
 
@@ -157,3 +157,98 @@ def test_stage_against_brute_force_jaccard(spark):
     want = {find(i) for i in range(len(texts))}
     got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     assert sorted(got) == sorted(want)
+
+
+def near_copies(rng, groups, copies, words=60, edits=3):
+    """Texts around a few bases; two copies of one base are about 0.6 to 1 alike."""
+    texts = []
+    for _ in range(groups):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+        for _ in range(copies):
+            copy = list(base)
+            for at in rng.choice(words, int(rng.integers(0, edits)), replace=False):
+                copy[at] = f"v{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def fingerprint(text, width=5):
+    return simhash.majority(np.unique(simhash.shingle_hashes(text.encode(), width)))
+
+
+def linked(text_of, max_bits=16, threshold=0.8):
+    """All pairs of different texts within the bits whose similarity is enough."""
+    marks, fps = sorted(text_of), {m: fingerprint(t) for m, t in text_of.items()}
+    return {(a, b) for i, b in enumerate(marks) for a in marks[:i] if (fps[a] ^ fps[b]).bit_count() <= max_bits and jaccard(text_of[a], text_of[b]) >= threshold}
+
+
+def roots_of(nodes, pairs):
+    root = {n: n for n in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {n: find(n) for n in nodes}
+
+
+def set_rows(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    text_of = {r.mark: texts[r.doc_id] for r in simhash.shingle_sets(df).collect()}
+    return df, text_of
+
+
+def test_alike_sets_share_a_listed_shingle(spark):
+    """No pair is lost by the lists, unrelated texts have none, and a passage that all hold brings them no pairs."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{x}" for x in range(40))
+    texts = near_copies(rng, 12, 6) + [" ".join(f"u{x}" for x in rng.integers(0, 10**7, 80)) for _ in range(30)]
+    texts += [passage + " " + " ".join(f"x{x}" for x in rng.integers(0, 10**7, 40)) for _ in range(60)] + ["", "one two", "one two three four five six"]
+    df, text_of = set_rows(spark, texts)
+    cells = simhash.saved(simhash.set_cells(df))
+    shared = simhash.shared_shingles(cells, 0.8).collect()
+    lists = {}
+    for r in shared:
+        lists.setdefault(r.key, set()).add(r.mark)
+    alone = {m for m, t in text_of.items() if t.startswith("u")}
+    assert not alone & {r.mark for r in shared}
+    want = linked(text_of)
+    assert len(want) > 20 and all(any({a, b} <= held for held in lists.values()) for a, b in want)
+    nodes = cells.selectExpr("explode(arrays_zip(mark, fp, n)) AS x").selectExpr("x.*", "x.mark AS root")
+    kept = spark.createDataFrame(shared, "mark long, key int, at int")
+    found = {(r.a, r.b) for r in simhash.wide_pairs(nodes, 16, 0.8, False, shared=kept).collect()}
+    assert want <= found and not any(text_of[a].startswith("p0") for a, b in found)
+    firsts = {(r.a, r.b) for r in simhash.wide_pairs(nodes, 16, 0.8, True, shared=kept).collect()}
+    assert firsts <= found and len(firsts) <= len(shared)
+
+
+@pytest.mark.parametrize("size", [1000, 16])
+def test_crowds_give_few_rows_and_lose_no_link(spark, size):
+    """Near copies of which some are linked and some are not: at most a row for each set and pair of blocks."""
+    texts = near_copies(np.random.default_rng(9), 2, 50, edits=7)
+    df, text_of = set_rows(spark, texts)
+    sets = simhash.shingle_sets(df).dropDuplicates(["mark"]).selectExpr("mark", "fp", "n", "mark AS root", "shingles")
+    crowds = sets.selectExpr("cast(1 as long) AS place", "mark")
+    found = [(r.a, r.b) for r in simhash.crowd_links(crowds, sets, 16, 0.8, size=size).collect()]
+    want = linked(text_of)
+    assert set(found) <= want and roots_of(text_of, found) == roots_of(text_of, want)
+    blocks = -(-len(text_of) // size)
+    assert len(found) < len(text_of) * blocks * blocks and len(found) < len(want)
+
+
+def test_large_group_of_near_copies(spark):
+    """One group far longer than a short list: right classes, no row for each pair, one table left behind."""
+    texts = near_copies(np.random.default_rng(10), 1, 150, edits=7) + near_copies(np.random.default_rng(11), 20, 4)
+    df, text_of = set_rows(spark, texts)
+    before = len(common._SAVED)
+    got = {r.mark: r.root for r in simhash.alike_sets(df).collect()}
+    assert len(common._SAVED) == before + 1
+    want = roots_of(text_of, linked(text_of))
+    groups = lambda roots: {frozenset(m for m in roots if roots[m] == r) for r in set(roots.values())}
+    assert groups(got) == groups(want)
+    rows = simhash.alike_classes(df).collect()
+    assert len(rows) == len(texts) and {(r.mark, r.root) for r in rows} == set(got.items())

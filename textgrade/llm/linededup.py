@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import bound_batches, saved
+from textgrade.llm.common import bound_batches, passing, saved
 
 RUN = 2  # lines of the shortest run that is deleted
 BLANK = " \t\r"
@@ -83,7 +83,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     digest = F.xxhash64(F.col(text_col))
     keyed = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    at = repeats(keyed, run).groupBy("doc_id", "digest").agg(F.collect_set("at").alias("at"))
+    with passing(docs.sparkSession) as keep:
+        at = keep(repeats(keyed, run).groupBy("doc_id", "digest").agg(F.collect_set("at").alias("at")))
     at = at.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("at").alias("__at"))
     met = docs.select(*own).join(at, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left")
     without = F.pandas_udf(_without, "text string, n_lines long, n_removed long, n_runs long")

@@ -9,15 +9,19 @@ pairs; lists that are too long for one task are compared in blocks spread over t
 these links are the near-duplicate classes.
 
 The pairs of :func:`alike_classes` can be far apart in bits, since a shingle set with a given Jaccard
-similarity to another has a fingerprint that is only likely to be near. The index is the same with
-positions finer than bytes, more of them than bits that may differ. Postings are keyed by one position
-and its bits, keys also hold a class of set sizes. The tally of a pair's matching positions drops those
-below the guaranteed minimum, the rest are verified bit by bit, and every pair within the bound is
-verified by its shingle sets before it links.
+similarity to another has a fingerprint that is only likely to be near. So wide a bound takes in
+unrelated texts as well, as many as the square of their number says, whatever the positions. The index
+is therefore keyed by shingles: two sets of a wanted similarity share one of the first shingles of each,
+if both are in one order and the first ones are as many as may be missing, and one. In the order by the
+number of sets that hold a shingle, rare ones come first, and those of one set alone need no list. From
+the places of a shared shingle follows how much two sets can have in common at most. Pairs that are left
+are tallied by matching positions, finer than bytes and more than bits that may differ, the rest are
+verified bit by bit, and every pair within the bound is verified by its shingle sets before it links.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgrade.llm.common import bound_batches, components, give_back, saved, wide_batches, worker_cache
+from textgrade.llm.common import bound_batches, components, give_back, passing, saved, wide_batches, worker_cache
 
 SEED = 42  # fixed value: seed of the shingle hash
 BITS_AT_ONCE = 1 << 15  # shingles whose bits are counted together
@@ -37,6 +41,10 @@ THRESHOLD = 0.8  # Jaccard similarity of shingle sets that are alike
 SPARE = 2  # positions of a wide index beyond the bits that may differ: the matches that every near pair has
 WIDE_BITS = 16  # sets of similarity 0.8 differ in 9.7 bits on the average: 99 of 100 in at most so many
 PAIRS_AT_ONCE = 1 << 17
+COUNTED_AT_ONCE = 1 << 21  # shingles that one task counts together
+LISTED_AT_ONCE = 1 << 16  # entries of lists that are compared together
+CELLS_AT_ONCE = 8
+CROWD = 2048  # sets of a crowd that one task compares with each other
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -294,79 +302,287 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, f"doc_id {kind}, digest long, mark long, fp long, n int, shingles array<int>")
 
 
-def wide_pairs(nodes: DataFrame, max_bits: int, threshold: float, first: bool, positions: int | None = None) -> DataFrame:
+def set_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """The distinct shingle sets of ``docs``, each once, many in a row: ``cell, mark, fp, n, least, shingles``.
+
+    ``shingles`` holds those of all sets, one set after another, ``least`` of each set the first row that
+    has it: the smallest id (null last), then hash of the text.
+    """
+    rows = shingle_sets(docs, id_col, text_col, width)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+    sets = rows.groupBy("mark").agg(*[F.first(c).alias(c) for c in ("fp", "n", "shingles")], least)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("mark", "fp", "n", "least")] + [batch.column("shingles").flatten()]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), *lists], ["cell", "mark", "fp", "n", "least", "shingles"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    least_kind = f"array<struct<none:boolean,doc_id:{kind},digest:bigint>>"
+    return sets.mapInArrow(pack, f"cell long, mark array<long>, fp array<long>, n array<int>, least {least_kind}, shingles array<int>")
+
+
+def _dealt(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of shingles by bucket, and the ends of the buckets in it."""
+    bucket = shingles % np.uint32(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def shared_shingles(cells: DataFrame, threshold: float) -> DataFrame:
+    """``mark, key, at``: the shingles by which sets of the wanted similarity meet, and their places.
+
+    Sets are in the order by the number of sets that hold a shingle (65,535 at most), then by shingle.
+    Sets with a similarity of ``threshold`` or more have one of the given shingles in common: of ``n``
+    at least ``threshold * n`` are, so the first ones, as many as may be missing and one, hold the
+    first common one. Shingles of one set alone are left out.
+    """
+    total = cells.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
+    buckets = max(1, -(-total // COUNTED_AT_ONCE))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, held in zip(batch.column("cell").to_pylist(), batch.column("shingles")):
+                shingles = np.asarray(held.values).view(np.uint32)
+                order, ends = _dealt(shingles, buckets)
+                full = np.flatnonzero(np.diff(ends)).tolist()
+                parts = [shingles[order[ends[b] : ends[b + 1]]].tobytes() for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(parts, pa.binary())], ["cell", "bucket", "shingles"])
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint32) for x in table["shingles"].to_pylist()]
+        _, which, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        found = np.split(np.minimum(n, (1 << 16) - 1).astype(np.uint16)[which], np.cumsum([len(p) for p in parts])[:-1])
+        return pa.table({"cell": table["cell"], "bucket": table["bucket"], "holders": pa.array([f.tobytes() for f in found], pa.binary())})
+
+    def first(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        if left.num_rows and right.num_rows:
+            mark, n, held = (np.asarray(left[c][0].values) for c in ("mark", "n", "shingles"))
+            shingles, holders = held.view(np.uint32), np.zeros(len(held), np.uint16)
+            in_order = right.sort_by("bucket")["holders"].to_pylist()
+            holders[_dealt(shingles, buckets)[0]] = np.frombuffer(b"".join(in_order), np.uint16)
+            own = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((shingles, holders, own))
+            at = np.arange(len(own)) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
+            most = n - np.ceil(threshold * n - 1e-6).astype(np.int64) + 1
+            kept = (at < most[own]) & (holders[order] > 1)
+            out = [mark[own[kept]], held[order[kept]], at[kept].astype(np.int32)]
+        return pa.table([pa.array(x) for x in out], ["mark", "key", "at"])
+
+    with wide_batches(cells.sparkSession, CELLS_AT_ONCE):
+        dealt = cells.select("cell", "shingles").mapInArrow(deal, "cell long, bucket int, shingles binary")
+        counted = saved(dealt.groupBy("bucket").applyInArrow(count, "cell long, bucket int, holders binary"))
+    sets = cells.select("cell", "mark", "n", "shingles").groupBy("cell")
+    return sets.cogroup(counted.groupBy("cell")).applyInArrow(first, "mark long, key int, at int")
+
+
+def wide_pairs(
+    nodes: DataFrame, max_bits: int, threshold: float, first: bool, positions: int | None = None, shared: DataFrame | None = None
+) -> DataFrame:
     """``a, b``: marks of ``nodes (mark, fp, n, root)`` within ``max_bits`` whose sizes allow the similarity.
 
-    With ``first``, each node of a list is given the first one near it only; else it is given all that
-    have another root. Sizes that allow the similarity are in one class or in neighbouring ones: a node
-    stands in its own class and visits the next.
+    With ``first``, each node of a list is given one node near it only; else it is given all that have
+    another root. With ``shared`` (see :func:`shared_shingles`), nodes are compared that share a shingle and
+    can be similar by its places. Without, all nodes are, through postings of one position and its bits:
+    sizes that allow the similarity are in one class or in neighbouring ones, so a node stands in its own
+    class and visits the next.
     """
-    sized = F.when(F.col("n") > 0, F.floor(F.log("n") / F.lit(float(np.log(1 / threshold) * 1.01)))).otherwise(-2).cast("int")
-    met = nodes.select("mark", "fp", "n", "root", sized.alias("own"), F.explode(F.array(sized, sized + 1)).alias("size"))
     positions = positions or max_bits + SPARE
-    keyed = postings(met, max_bits, positions, together=1)
+    if shared is not None:
+        lists = max(1, -(-shared.count() // LISTED_AT_ONCE))
+        met = nodes.select("mark", "fp", "n", "root").join(shared.select("mark", "key", "at"), "mark")
+        keyed = met.select("*", F.lit(True).alias("home"), F.pmod("key", F.lit(lists)).alias("list"))
+        groups = ["list"]
+    else:
+        sized = F.when(F.col("n") > 0, F.floor(F.log("n") / F.lit(float(np.log(1 / threshold) * 1.01)))).otherwise(-2).cast("int")
+        met = nodes.select("mark", "fp", "n", "root", sized.alias("own"), F.explode(F.array(sized, sized + 1)).alias("size"))
+        fixed = [F.lit(0).alias("key"), F.lit(0).alias("at"), (F.col("own") == F.col("size")).alias("home")]
+        keyed = postings(met, max_bits, positions, together=1).select("*", *fixed)
+        groups = ["places", "bytes", "size"]
 
     def compare(table: pa.Table) -> pa.Table:
-        order = np.lexsort([np.asarray(table["mark"])])
-        mark, fp, n, root, own, size = (np.asarray(table[c])[order] for c in ("mark", "fp", "n", "root", "own", "size"))
-        fp, home, out = fp.view(np.uint64), own == size, [np.zeros((0, 2), np.int64)]
-        at, step = np.arange(len(mark)), max(1, PAIRS_AT_ONCE // len(mark))
-        for low in range(0, len(mark), step):
-            rows = at[low : low + step]
-            differ = fp[rows, None] ^ fp[None, : rows[-1] + 1]
-            near = tally(differ, positions) >= positions - max_bits
-            near &= np.bitwise_count(differ) <= max_bits
-            v, u = np.nonzero(near)
-            v = rows[v]
-            fit = (u < v) & (home[u] | home[v]) & (np.minimum(n[u], n[v]) >= threshold * np.maximum(n[u], n[v]) - 1e-6)
-            v, u = v[fit], u[fit]
+        mark, fp, n, root, key, at, home = (np.asarray(table[c]) for c in ("mark", "fp", "n", "root", "key", "at", "home"))
+        fp, common, out = fp.view(np.uint64), (n - at).astype(np.int64), [np.zeros((0, 2), np.int64)]
+        # lists one after another, each in an order of its own, so that what is compared first differs
+        mixed = (mark.view(np.uint64) ^ key.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier
+        order = np.lexsort((mixed, key))
+
+        def near(u, v) -> np.ndarray:
+            differ = fp[u] ^ fp[v]
+            found = tally(differ, positions) >= positions - max_bits
+            found &= np.bitwise_count(differ) <= max_bits
+            found &= (home[u] | home[v]) & (np.minimum(common[u], common[v]) >= threshold / (1 + threshold) * (n[u] + n[v]) - 1e-6)
+            return found if first else found & (root[u] != root[v])
+
+        def give(u: np.ndarray, v: np.ndarray) -> None:
+            out.append(np.stack([np.minimum(mark[u], mark[v]), np.maximum(mark[u], mark[v])], axis=1))
+
+        edges = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
+        sizes = np.diff(edges)
+        short = np.repeat(sizes <= SHORT_LIST, sizes)
+        x, run, found = order[short], np.repeat(np.arange(len(sizes)), sizes)[short], []
+        for shift in range(1, min(SHORT_LIST, len(x))):
+            same = np.flatnonzero(run[shift:] == run[:-shift])
+            if not len(same):
+                break
+            same = same[near(x[same], x[same + shift])]
+            found.append(np.stack([same, same + shift]))
+        if found:
+            u, v = np.concatenate(found, axis=1)
             if first:
-                v, place = np.unique(v, return_index=True)
-                u = u[place]
-            else:
-                apart = root[u] != root[v]
-                v, u = v[apart], u[apart]
-            out.append(np.stack([mark[u], mark[v]], axis=1))
-        found = np.concatenate(out)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+                ranked = np.lexsort((u, v))
+                u, v = u[ranked], v[ranked]
+                one = np.r_[True, v[1:] != v[:-1]][: len(v)]
+                u, v = u[one], v[one]
+            give(x[u], x[v])
+        for k in np.flatnonzero(sizes > SHORT_LIST).tolist():
+            members = order[edges[k] : edges[k + 1]]
+            if first:  # the first takes all near it, then the first of those left
+                while len(members) > 1:
+                    hub, members = members[0], members[1:]
+                    taken = near(hub, members)
+                    give(np.full(int(taken.sum()), hub), members[taken])
+                    members = members[~taken]
+                continue
+            _, kind = np.unique(root[members], return_inverse=True)
+            large = kind == np.argmax(np.bincount(kind))  # these need no comparing among themselves
+            rest, step = np.flatnonzero(~large), max(1, PAIRS_AT_ONCE // len(members))
+            for low in range(0, len(rest), step):
+                rows = rest[low : low + step]
+                i, j = np.nonzero(near(members[rows][:, None], members[None, :]))
+                once = large[j] | (rows[i] < j)
+                give(members[rows[i[once]]], members[j[once]])
+        pairs = np.concatenate(out)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return keyed.groupBy(*groups).applyInArrow(compare, "a long, b long").distinct()
+
+
+def mixed_lists(nodes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists whose nodes ``(mark, root)`` have more than one root: ``shared`` of short ones, and crowds ``place, mark``.
+
+    A crowd is made of long lists. Lists of one group of near copies hold much the same roots, so their
+    place is the smallest hash of a root: a set then stands in one crowd or few, not in one for each list.
+    """
+    listed = saved(nodes.select("mark", "root").join(shared, "mark"))
+    lists = listed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.xxhash64("root")).alias("place")
+    )
+    mixed = saved(lists.filter("low <> high").select("key", "n", "place"))
+    short = listed.join(mixed.filter(F.col("n") <= SHORT_LIST).select("key"), "key").select("mark", "key", "at")
+    long = listed.join(mixed.filter(F.col("n") > SHORT_LIST).select("key", "place"), "key")
+    return saved(short), saved(long.select("place", "mark").distinct())
 
-    return keyed.groupBy("places", "bytes", "size").applyInArrow(compare, "a long, b long").distinct()
 
+def crowd_links(crowds: DataFrame, sets: DataFrame, max_bits: int, threshold: float, positions: int | None = None, size: int = CROWD) -> DataFrame:
+    """``a, b``: links that join the roots of a crowd's sets ``(mark, fp, n, root, shingles)`` wherever two are alike.
 
-def alike_classes(
+    Pairs are verified where they meet and only a spanning forest of their links is given, so no pair is
+    a row. Crowds of more than ``size`` sets are cut into blocks that meet two by two.
+    """
+    positions = positions or max_bits + SPARE
+    blocks = crowds.groupBy("place").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("blocks"))
+    dealt = crowds.join(blocks, "place").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    met = dealt.select("place", "mark", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = met.join(sets, "mark").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        mark, fp, n, root, block = (np.asarray(table[c]) for c in ("mark", "fp", "n", "root", "block"))
+        fp, apart, out = fp.view(np.uint64), block.min() != block.max(), []
+        held, which = np.unique(np.asarray(table["shingles"].combine_chunks().flatten()), return_inverse=True)
+        ends = np.cumsum(n, dtype=np.int64)
+        starts = ends - n
+        _, kind = np.unique(root, return_inverse=True)
+        kind = kind.copy()
+        for u in np.flatnonzero(kind != np.argmax(np.bincount(kind))).tolist():
+            v = np.flatnonzero(kind != kind[u])
+            if apart:
+                v = v[block[v] != block[u]]
+            differ = fp[v] ^ fp[u]
+            near = (tally(differ, positions) >= positions - max_bits) & (np.bitwise_count(differ) <= max_bits)
+            near &= np.minimum(n[v], n[u]) >= threshold * np.maximum(n[v], n[u]) - 1e-6
+            v = v[near & (n[v] > 0)]
+            if not len(v):
+                continue
+            has = np.zeros(len(held), bool)
+            has[which[starts[u] : ends[u]]] = True
+            bounds = np.cumsum(n[v], dtype=np.int64)
+            tokens = which[np.repeat(starts[v] - bounds + n[v], n[v]) + np.arange(bounds[-1])]
+            both = np.add.reduceat(has[tokens].astype(np.int64), bounds - n[v])
+            v = v[both / (n[u].astype(np.int64) + n[v] - both) >= threshold]
+            kinds, place = np.unique(kind[v], return_index=True)
+            out += [(mark[u], mark[x]) for x in v[place].tolist()]
+            kind[np.isin(kind, kinds)] = kind[u]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
+
+    return tiles.groupBy("place", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def alike_sets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = WIDE_BITS, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """``doc_id, digest, mark, root`` of every row: classes of texts whose shingle sets are alike.
+    """``mark, root, least`` of every distinct shingle set: classes of sets that are alike, and the first row of each set.
 
     Sets with fingerprints within ``max_bits`` bits are candidates, and only a Jaccard similarity of
     ``threshold`` or more links them. First each set is compared with one near it under every key; sets
-    that this leaves in different classes then meet in pairs, so large groups cost no square of pairs.
-    Texts without words are alike in full.
+    that this leaves in different classes then meet in pairs, those of long lists where they are verified,
+    so large groups cost no square of rows. Texts without words are alike in full.
     """
-    rows = saved(shingle_sets(docs, id_col, text_col, width))
-    nodes = saved(rows.select("mark", "fp", "n", "shingles").dropDuplicates(["mark"]))
-    sets = nodes.select("mark", "shingles")
+    spark = docs.sparkSession
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mark, n, shingles in zip(batch.column("mark"), batch.column("n"), batch.column("shingles")):
+                ends = np.r_[0, np.cumsum(np.asarray(n.values))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([mark.values, pa.ListArray.from_arrays(pa.array(ends), shingles.values)], ["mark", "shingles"])
+
+    with passing(spark) as keep:
+        cells = saved(set_cells(docs, id_col, text_col, width))
+        shared = saved(shared_shingles(cells, threshold))
+        nodes = saved(cells.select(F.explode(F.arrays_zip("mark", "fp", "n")).alias("x")).select("x.*"))
+
+        def sets_of(marks: DataFrame) -> DataFrame:
+            with wide_batches(spark, CELLS_AT_ONCE):
+                every = cells.select("mark", "n", "shingles").mapInArrow(unpack, "mark long, shingles array<int>")
+                return saved(every.join(saved(marks.distinct()), "mark", "left_semi"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("mark")))
+            met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+            both = F.size(F.array_intersect("x", "y"))
+            return saved(met.filter(both / (F.size("x") + F.size("y") - both) >= threshold).select("a", "b"))
+
+        tried = saved(wide_pairs(nodes.withColumn("root", F.col("mark")), max_bits, threshold, True, shared=shared))
+        links = verified(tried)
+        classes = components(links).toDF("mark", "root")
+        placed = saved(nodes.join(classes, "mark", "left").select("mark", "fp", "n", F.coalesce("root", "mark").alias("root")))
+        short, crowds = mixed_lists(placed, shared)
+        rest = saved(wide_pairs(placed, max_bits, threshold, False, shared=short).join(tried, ["a", "b"], "left_anti"))
+        links = links.union(verified(rest))
+        if not crowds.isEmpty():
+            links = links.union(saved(crowd_links(crowds, placed.join(sets_of(crowds.select("mark")), "mark"), max_bits, threshold)))
+        roots = components(links).toDF("mark", "root")
+        least = cells.select(F.explode(F.arrays_zip("mark", "least")).alias("x")).select("x.*")
+        return keep(least.join(roots, "mark", "left").select("mark", F.coalesce("root", "mark").alias("root"), "least"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return met.filter(both / (F.size("x") + F.size("y") - both) >= threshold).select("a", "b")
 
-    tried = saved(wide_pairs(nodes.select("mark", "fp", "n", F.col("mark").alias("root")), max_bits, threshold, True))
-    links = saved(verified(tried))
-    classes = components(links).toDF("mark", "root")
-    placed = saved(nodes.join(classes, "mark", "left").select("mark", "fp", "n", F.coalesce("root", "mark").alias("root")))
-    rest = wide_pairs(placed, max_bits, threshold, False).join(tried, ["a", "b"], "left_anti")
-    roots = components(links.union(verified(rest))).toDF("mark", "root")
-    return rows.select("doc_id", "digest", "mark").join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+def alike_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = WIDE_BITS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """``doc_id, digest, mark, root`` of every row: the classes of :func:`alike_sets`."""
+    sets = alike_sets(docs, id_col, text_col, width, max_bits, threshold).select("mark", "root")
+    return shingle_sets(docs, id_col, text_col, width).select("doc_id", "digest", "mark").join(sets, "mark").select("doc_id", "digest", "mark", "root")
 
 
 def without_alike(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = WIDE_BITS, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """``docs`` with one row of each class of :func:`alike_classes`: the smallest id (null last), then hash of the text."""
-    found = alike_classes(docs, id_col, text_col, width, max_bits, threshold)
-    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row"))
+    """``docs`` with one row of each class of :func:`alike_sets`: the smallest id (null last), then hash of the text."""
+    found = alike_sets(docs, id_col, text_col, width, max_bits, threshold)
+    stays = found.groupBy("root").agg(F.min("least").alias("row"))
     stays = stays.select(F.col("row.doc_id").alias("__id"), F.col("row.digest").alias("__digest"))
     met = docs.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__digest")))
     return met.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
