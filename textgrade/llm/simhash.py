@@ -43,6 +43,7 @@ WIDE_BITS = 16  # sets of similarity 0.8 differ in 9.7 bits on the average: 99 o
 PAIRS_AT_ONCE = 1 << 17
 COUNTED_AT_ONCE = 1 << 21  # shingles that one task counts together
 LISTED_AT_ONCE = 1 << 16  # entries of lists that are compared together
+CELL_SETS = 250
 CELLS_AT_ONCE = 8
 CROWD = 2048  # sets of a crowd that one task compares with each other
 
@@ -305,7 +306,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def set_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """The distinct shingle sets of ``docs``, each once, many in a row: ``cell, mark, fp, n, least, shingles``.
 
-    ``shingles`` holds those of all sets, one set after another, ``least`` of each set the first row that
+    ``shingles`` holds those of all sets as bytes, one set after another, ``least`` of each set the first row that
     has it: the smallest id (null last), then hash of the text.
     """
     rows = shingle_sets(docs, id_col, text_col, width)
@@ -313,14 +314,18 @@ def set_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     sets = rows.groupBy("mark").agg(*[F.first(c).alias(c) for c in ("fp", "n", "shingles")], least)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("fingerprints", int)
         for batch in batches:
-            columns = [batch.column(c) for c in ("mark", "fp", "n", "least")] + [batch.column("shingles").flatten()]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), *lists], ["cell", "mark", "fp", "n", "least", "shingles"])
+            for low in range(0, batch.num_rows, CELL_SETS):
+                part = batch.slice(low, CELL_SETS)
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in ("mark", "fp", "n", "least")]
+                held = pa.array([np.asarray(part.column("shingles").flatten()).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), *lists, held], ["cell", "mark", "fp", "n", "least", "shingles"])
+        give_back()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     least_kind = f"array<struct<none:boolean,doc_id:{kind},digest:bigint>>"
-    return sets.mapInArrow(pack, f"cell long, mark array<long>, fp array<long>, n array<int>, least {least_kind}, shingles array<int>")
+    return sets.mapInArrow(pack, f"cell long, mark array<long>, fp array<long>, n array<int>, least {least_kind}, shingles binary")
 
 
 def _dealt(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,29 +343,41 @@ def shared_shingles(cells: DataFrame, threshold: float) -> DataFrame:
     at least ``threshold * n`` are, so the first ones, as many as may be missing and one, hold the
     first common one. Shingles of one set alone are left out.
     """
-    total = cells.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
+    total = cells.agg(F.sum(F.expr("aggregate(n, 0L, (x, y) -> x + y)")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // COUNTED_AT_ONCE))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("fingerprints", int)
         for batch in batches:
             for cell, held in zip(batch.column("cell").to_pylist(), batch.column("shingles")):
-                shingles = np.asarray(held.values).view(np.uint32)
+                shingles = np.frombuffer(held.as_buffer(), np.uint32)
                 order, ends = _dealt(shingles, buckets)
                 full = np.flatnonzero(np.diff(ends)).tolist()
                 parts = [shingles[order[ends[b] : ends[b + 1]]].tobytes() for b in full]
                 yield pa.RecordBatch.from_arrays([pa.array([cell] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(parts, pa.binary())], ["cell", "bucket", "shingles"])
+        give_back()
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint32) for x in table["shingles"].to_pylist()]
-        _, which, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        found = np.split(np.minimum(n, (1 << 16) - 1).astype(np.uint16)[which], np.cumsum([len(p) for p in parts])[:-1])
-        return pa.table({"cell": table["cell"], "bucket": table["bucket"], "holders": pa.array([f.tobytes() for f in found], pa.binary())})
+        give_back()
+        ordered = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["shingles"]])
+        ordered.sort()
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        n = np.diff(np.r_[starts, len(ordered)])
+        known, n = ordered[starts[n > 1]], np.minimum(n[n > 1], (1 << 16) - 1).astype(np.uint16)
+        found = []
+        for x in table["shingles"]:
+            part = np.frombuffer(x.as_buffer(), np.uint32)
+            place = np.minimum(np.searchsorted(known, part), max(0, len(known) - 1))
+            holders = np.where(known[place] == part, n[place], np.uint16(1)) if len(known) else np.ones(len(part), np.uint16)
+            found.append(holders.astype(np.uint16).tobytes())
+        return pa.table({"cell": table["cell"], "bucket": table["bucket"], "holders": pa.array(found, pa.binary())})
 
     def first(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
         if left.num_rows and right.num_rows:
-            mark, n, held = (np.asarray(left[c][0].values) for c in ("mark", "n", "shingles"))
-            shingles, holders = held.view(np.uint32), np.zeros(len(held), np.uint16)
+            mark, n = (np.asarray(left[c][0].values) for c in ("mark", "n"))
+            shingles = np.frombuffer(left["shingles"][0].as_buffer(), np.uint32)
+            holders = np.zeros(len(shingles), np.uint16)
             in_order = right.sort_by("bucket")["holders"].to_pylist()
             holders[_dealt(shingles, buckets)[0]] = np.frombuffer(b"".join(in_order), np.uint16)
             own = np.repeat(np.arange(len(n)), n)
@@ -368,7 +385,7 @@ def shared_shingles(cells: DataFrame, threshold: float) -> DataFrame:
             at = np.arange(len(own)) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
             most = n - np.ceil(threshold * n - 1e-6).astype(np.int64) + 1
             kept = (at < most[own]) & (holders[order] > 1)
-            out = [mark[own[kept]], held[order[kept]], at[kept].astype(np.int32)]
+            out = [mark[own[kept]], shingles[order[kept]].view(np.int32), at[kept].astype(np.int32)]
         return pa.table([pa.array(x) for x in out], ["mark", "key", "at"])
 
     with wide_batches(cells.sparkSession, CELLS_AT_ONCE):
@@ -534,10 +551,13 @@ def alike_sets(
     spark = docs.sparkSession
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("fingerprints", int)
         for batch in batches:
             for mark, n, shingles in zip(batch.column("mark"), batch.column("n"), batch.column("shingles")):
                 ends = np.r_[0, np.cumsum(np.asarray(n.values))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([mark.values, pa.ListArray.from_arrays(pa.array(ends), shingles.values)], ["mark", "shingles"])
+                held = pa.array(np.frombuffer(shingles.as_buffer(), np.int32))
+                yield pa.RecordBatch.from_arrays([mark.values, pa.ListArray.from_arrays(pa.array(ends), held)], ["mark", "shingles"])
+        give_back()
 
     with passing(spark) as keep:
         cells = saved(set_cells(docs, id_col, text_col, width))
