@@ -252,3 +252,22 @@ def test_large_group_of_near_copies(spark):
     assert groups(got) == groups(want)
     rows = simhash.alike_classes(df).collect()
     assert len(rows) == len(texts) and {(r.mark, r.root) for r in rows} == set(got.items())
+
+
+def test_similar_sets_link_whatever_their_bits(spark):
+    """Eight words and one more have four of five shingles in common, but some fingerprints are over 16 bits apart; in short lists and in a crowd."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(80):
+        words = [f"w{x}" for x in rng.integers(0, 10**7, 9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    hub = [f"h{x}" for x in range(8)]  # like each of the next texts, which are not like one another: a list of 81
+    crowd = [" ".join(hub)] + [" ".join([*hub, f"x{x}"]) for x in rng.integers(0, 10**7, 80)]
+    assert any((fingerprint(crowd[0]) ^ fingerprint(t)).bit_count() > 16 for t in crowd)
+    texts += crowd
+    df, text_of = set_rows(spark, texts)
+    every = linked(text_of, max_bits=64)
+    assert len(every) > len(linked(text_of))  # there are pairs that a bound of 16 bits leaves out
+    got = {r.mark: r.root for r in simhash.alike_sets(df).collect()}
+    groups = lambda roots: {frozenset(m for m in roots if roots[m] == r) for r in set(roots.values())}
+    assert groups(got) == groups(roots_of(text_of, every)) != groups(roots_of(text_of, linked(text_of)))

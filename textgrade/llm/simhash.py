@@ -14,9 +14,11 @@ unrelated texts as well, as many as the square of their number says, whatever th
 is therefore keyed by shingles: two sets of a wanted similarity share one of the first shingles of each,
 if both are in one order and the first ones are as many as may be missing, and one. In the order by the
 number of sets that hold a shingle, rare ones come first, and those of one set alone need no list. From
-the places of a shared shingle follows how much two sets can have in common at most. Pairs that are left
-are tallied by matching positions, finer than bytes and more than bits that may differ, the rest are
-verified bit by bit, and every pair within the bound is verified by its shingle sets before it links.
+the places of a shared shingle follows how much two sets can have in common at most. Of the pairs that are
+left, near fingerprints come first: they are tallied by matching positions, finer than bytes and more than
+bits that may differ, and verified bit by bit. This joins most of what is alike at little cost. Sets that meet
+and are still in different classes are then compared whatever their bits, for a similarity doesn't bound
+them, and every pair is verified by its shingle sets before it links: no similar pair is left out.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ SHORT_LIST = 32  # lists up to this length are compared by shifts
 BLOCK = 4096  # fingerprints of a list that one task compares with each other
 THRESHOLD = 0.8  # Jaccard similarity of shingle sets that are alike
 SPARE = 2  # positions of a wide index beyond the bits that may differ: the matches that every near pair has
-WIDE_BITS = 16  # sets of similarity 0.8 differ in 9.7 bits on the average: 99 of 100 in at most so many
+WIDE_BITS = 16  # sets of similarity 0.8 differ in 9.7 bits on the average: 99 of 100, of short ones 93, in at most so many
 PAIRS_AT_ONCE = 1 << 17
 COUNTED_AT_ONCE = 1 << 21  # shingles that one task counts together
 LISTED_AT_ONCE = 1 << 16  # entries of lists that are compared together
@@ -396,9 +398,9 @@ def shared_shingles(cells: DataFrame, threshold: float) -> DataFrame:
 
 
 def wide_pairs(
-    nodes: DataFrame, max_bits: int, threshold: float, first: bool, positions: int | None = None, shared: DataFrame | None = None
+    nodes: DataFrame, max_bits: int | None, threshold: float, first: bool, positions: int | None = None, shared: DataFrame | None = None
 ) -> DataFrame:
-    """``a, b``: marks of ``nodes (mark, fp, n, root)`` within ``max_bits`` whose sizes allow the similarity.
+    """``a, b``: marks of ``nodes (mark, fp, n, root)`` within ``max_bits`` (None: any) whose sizes allow the similarity.
 
     With ``first``, each node of a list is given one node near it only; else it is given all that have
     another root. With ``shared`` (see :func:`shared_shingles`), nodes are compared that share a shingle and
@@ -406,7 +408,9 @@ def wide_pairs(
     sizes that allow the similarity are in one class or in neighbouring ones, so a node stands in its own
     class and visits the next.
     """
-    positions = positions or max_bits + SPARE
+    if max_bits is None and shared is None:
+        raise ValueError("without shared shingles, fingerprints need a bound")
+    positions = positions or (max_bits or 0) + SPARE
     if shared is not None:
         lists = max(1, -(-shared.count() // LISTED_AT_ONCE))
         met = nodes.select("mark", "fp", "n", "root").join(shared.select("mark", "key", "at"), "mark")
@@ -427,10 +431,11 @@ def wide_pairs(
         order = np.lexsort((mixed, key))
 
         def near(u, v) -> np.ndarray:
-            differ = fp[u] ^ fp[v]
-            found = tally(differ, positions) >= positions - max_bits
-            found &= np.bitwise_count(differ) <= max_bits
-            found &= (home[u] | home[v]) & (np.minimum(common[u], common[v]) >= threshold / (1 + threshold) * (n[u] + n[v]) - 1e-6)
+            found = (home[u] | home[v]) & (np.minimum(common[u], common[v]) >= threshold / (1 + threshold) * (n[u] + n[v]) - 1e-6)
+            if max_bits is not None:
+                differ = fp[u] ^ fp[v]
+                found &= tally(differ, positions) >= positions - max_bits
+                found &= np.bitwise_count(differ) <= max_bits
             return found if first else found & (root[u] != root[v])
 
         def give(u: np.ndarray, v: np.ndarray) -> None:
@@ -493,13 +498,13 @@ def mixed_lists(nodes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFra
     return saved(short), saved(long.select("place", "mark").distinct())
 
 
-def crowd_links(crowds: DataFrame, sets: DataFrame, max_bits: int, threshold: float, positions: int | None = None, size: int = CROWD) -> DataFrame:
+def crowd_links(crowds: DataFrame, sets: DataFrame, max_bits: int | None, threshold: float, positions: int | None = None, size: int = CROWD) -> DataFrame:
     """``a, b``: links that join the roots of a crowd's sets ``(mark, fp, n, root, shingles)`` wherever two are alike.
 
     Pairs are verified where they meet and only a spanning forest of their links is given, so no pair is
-    a row. Crowds of more than ``size`` sets are cut into blocks that meet two by two.
+    a row. Crowds of more than ``size`` sets are cut into blocks that meet two by two. ``max_bits`` of None is no bound.
     """
-    positions = positions or max_bits + SPARE
+    positions = positions or (max_bits or 0) + SPARE
     blocks = crowds.groupBy("place").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("blocks"))
     dealt = crowds.join(blocks, "place").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     met = dealt.select("place", "mark", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -517,10 +522,10 @@ def crowd_links(crowds: DataFrame, sets: DataFrame, max_bits: int, threshold: fl
             v = np.flatnonzero(kind != kind[u])
             if apart:
                 v = v[block[v] != block[u]]
-            differ = fp[v] ^ fp[u]
-            near = (tally(differ, positions) >= positions - max_bits) & (np.bitwise_count(differ) <= max_bits)
-            near &= np.minimum(n[v], n[u]) >= threshold * np.maximum(n[v], n[u]) - 1e-6
-            v = v[near & (n[v] > 0)]
+            v = v[(np.minimum(n[v], n[u]) >= threshold * np.maximum(n[v], n[u]) - 1e-6) & (n[v] > 0)]
+            if max_bits is not None:
+                differ = fp[v] ^ fp[u]
+                v = v[(tally(differ, positions) >= positions - max_bits) & (np.bitwise_count(differ) <= max_bits)]
             if not len(v):
                 continue
             has = np.zeros(len(held), bool)
@@ -543,10 +548,10 @@ def alike_sets(
 ) -> DataFrame:
     """``mark, root, least`` of every distinct shingle set: classes of sets that are alike, and the first row of each set.
 
-    Sets with fingerprints within ``max_bits`` bits are candidates, and only a Jaccard similarity of
-    ``threshold`` or more links them. First each set is compared with one near it under every key; sets
-    that this leaves in different classes then meet in pairs, those of long lists where they are verified,
-    so large groups cost no square of rows. Texts without words are alike in full.
+    A Jaccard similarity of ``threshold`` or more links two sets. First each set is compared with one near it,
+    within ``max_bits`` bits, under every key; sets that this leaves in different classes then meet in pairs
+    whatever their bits, those of long lists where they are verified, so large groups cost no square of rows.
+    Texts without words are alike in full.
     """
     spark = docs.sparkSession
 
@@ -580,10 +585,10 @@ def alike_sets(
         classes = components(links).toDF("mark", "root")
         placed = saved(nodes.join(classes, "mark", "left").select("mark", "fp", "n", F.coalesce("root", "mark").alias("root")))
         short, crowds = mixed_lists(placed, shared)
-        rest = saved(wide_pairs(placed, max_bits, threshold, False, shared=short).join(tried, ["a", "b"], "left_anti"))
+        rest = saved(wide_pairs(placed, None, threshold, False, shared=short).join(tried, ["a", "b"], "left_anti"))
         links = links.union(verified(rest))
         if not crowds.isEmpty():
-            links = links.union(saved(crowd_links(crowds, placed.join(sets_of(crowds.select("mark")), "mark"), max_bits, threshold)))
+            links = links.union(saved(crowd_links(crowds, placed.join(sets_of(crowds.select("mark")), "mark"), None, threshold)))
         roots = components(links).toDF("mark", "root")
         least = cells.select(F.explode(F.arrays_zip("mark", "least")).alias("x")).select("x.*")
         return keep(least.join(roots, "mark", "left").select("mark", F.coalesce("root", "mark").alias("root"), "least"))
