@@ -99,6 +99,34 @@ def test_an_attempt_written_again_leaves_one_whole_file(tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["a.txt", "b.txt"] and (tmp_path / "a.txt").read_text() == "first"
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path):
+    import pyarrow as pa
+
+    writer = named_files.NamedTextFiles({"path": f"file:{tmp_path}/x"}).writer(None, False)
+    batch = pa.RecordBatch.from_pydict({"name": ["a.txt", "b.txt"], "text": ["first", "x"]})
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([batch]))
+    assert os.listdir(tmp_path / "x") == []
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no list of files, and the rows are those of Spark's reader."""
+    texts = {f"{i:03d}_é {i}.txt": f"text {i}\r\n" for i in range(60)} | {"_hidden.txt": "x", ".dot.txt": "x", "none.txt": "", "a.csv": "x", "000.txt": "y", "%41.txt": "z", "a;b[1]#?+.txt": "v", "n\xa0b\u2003s.txt": "w"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.txt").write_text("x")
+    for folder, glob in ((str(tmp_path), "*.txt"), (f"file:{tmp_path}/", "0*_*.txt"), (str(tmp_path), "00?.txt"), (str(tmp_path), "nothing.txt")):
+        got = read_documents(spark, folder, glob)
+        assert got.inputFiles() == []
+        plain = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).where("length > 0")
+        want = {(r.name, r.text) for r in plain.selectExpr("_metadata.file_name AS name", "cast(content AS string) AS text").collect()}
+        assert {(r["file_name"], r["text"]) for r in got.collect()} == want and got.count() == len(want)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_documents(spark, str(tmp_path / "missing"))
+
+
 def test_csv_keeps_blanks_quotes_and_line_breaks(spark, tmp_path):
     rows = [(0, "a", ' x "y" '), (1, "b", "l1\nl2, \\"), (2, "c", "NA"), (0, "d", "")]
     sinks.write_csv(spark.createDataFrame(rows, "label int, name string, text string"), str(tmp_path / "c"))
