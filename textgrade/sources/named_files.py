@@ -2,7 +2,8 @@
 
 A task writes every text to the staging folder and moves it to its name when it is whole, so a reader never sees
 part of a file, and an attempt that is repeated puts the same texts in the same places. What lost attempts
-leave behind lies in the staging folder, which goes when the job commits or aborts.
+leave behind lies in the staging folder, which goes when the job commits or aborts. Tasks don't make that folder,
+so one that is still at work when its job has ended can't write any more.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ class NamedTextFiles(DataSource):
             raise ValueError(f"{path} is not empty")
         if found:
             system.delete_dir_contents(folder)
-        return NamedTextWriter(path)
+        made = NamedTextWriter(path)
+        system.create_dir(f"{folder}/{made.staging}", recursive=True)
+        return made
 
 
 class NamedTextWriter(DataSourceArrowWriter):
@@ -55,9 +58,10 @@ class NamedTextWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = _open(self.path)
-        system.create_dir(f"{folder}/{self.staging}", recursive=True)
         files = 0
         for batch in iterator:
+            if system.get_file_info(f"{folder}/{self.staging}").type == fs.FileType.NotFound:
+                raise OSError(f"the job that writes {self.path} has ended")
             for name, text in zip(batch.column("name"), batch.column("text")):
                 part, whole = f"{folder}/{self.staging}/{uuid.uuid4().hex}", f"{folder}/{name.as_py()}"
                 with system.open_output_stream(part) as out:
@@ -70,7 +74,6 @@ class NamedTextWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, folder = _open(self.path)
-        system.create_dir(f"{folder}/{self.staging}", recursive=True)  # no task, no folder
         system.delete_dir(f"{folder}/{self.staging}")
 
     def abort(self, messages: list[Written | None]) -> None:
