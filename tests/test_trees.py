@@ -185,3 +185,37 @@ def test_held_out_rows_keep_ids_and_labels(spark, monkeypatch):
         assert len(got) == asked.count() and sum(r["id"] == 3 for r in got) == 2
         assert next(r["label"] for r in got if r["id"] == 0) == 9
         assert sum(r["label"] == r["prediction"] for r in got) > 0.45 * len(got)
+
+
+def test_histograms_two_features_at_a_time():
+    """All ways to add up give the sums that a plain loop gives."""
+    rng = np.random.default_rng(7)
+    bins = rng.integers(0, trees.BINS, (3000, 5)).astype(np.uint8)
+    row = np.tile(np.arange(3000), 3)
+    tree = np.repeat(np.arange(3), 3000)
+    stats = rng.normal(size=(9000, 2))
+
+    def plain(row, slots, stats, subset):
+        out = np.zeros((*subset.shape, trees.BINS, 2))
+        for r, s, x in zip(row, slots, stats):
+            for j, f in enumerate(subset[s]):
+                out[s, j, bins[r, f]] += x
+        return out
+
+    every = np.broadcast_to(np.arange(5), (3, 5))
+    want = plain(row, tree, stats, every)
+    both = trees.paired(bins, range(5))
+    for matrix in (bins, np.asfortranarray(bins)):
+        for kind in ({}, {"pairs": both, "n_features": 5}, {"pairs": both, "n_features": 5, "tiled": True}):
+            np.testing.assert_allclose(trees.histograms(matrix, row, tree, stats, every, **kind), want, atol=1e-9)
+        few = rng.choice(9000, 700, replace=False)
+        for subset in (every, np.sort(rng.permuted(every, axis=1)[:, :3], axis=1), np.sort(rng.permuted(every, axis=1)[:, :2], axis=1), every[:, ::-1]):
+            for some in (np.arange(9000), few):
+                got = trees.histograms(matrix, row[some], tree[some], stats[some], subset, both, 5)
+                np.testing.assert_allclose(got, plain(row[some], tree[some], stats[some], subset), atol=1e-9)
+    assert both.dtype == np.uint16 and both.shape == (3000, 3)
+    # what a boosted fit notes down as each row's leaf is what its trees say
+    fit, label = trees.Fit(SMALL["XGB"], (0, 2, 4)), rng.integers(0, 3, 3000)
+    ends = np.full((3, 3000), -1)
+    grown = trees.grow_here(fit, 0, bins, np.arange(3000), label, np.zeros((3000, 3)), 3, ends=ends)
+    assert len(grown.feature) > 3 and (ends == grown.leaves(bins)).all()
