@@ -110,8 +110,11 @@ def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path):
     assert os.listdir(tmp_path / "x") == []
 
 
-def test_files_are_listed_by_tasks(spark, tmp_path):
-    """The driver holds no list of files, and the rows are those of Spark's reader."""
+def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds no list of many files, and the rows are those of Spark's reader."""
+    from textgrade.sources import text as source
+
+    monkeypatch.setattr(source, "FEW_FILES", 10)
     texts = {f"{i:03d}_é {i}.txt": f"text {i}\r\n" for i in range(60)} | {"_hidden.txt": "x", ".dot.txt": "x", "none.txt": "", "a.csv": "x", "000.txt": "y", "%41.txt": "z", "a;b[1]#?+.txt": "v", "n\xa0b\u2003s.txt": "w"}
     for name, text in texts.items():
         (tmp_path / name).write_bytes(text.encode())

@@ -8,12 +8,14 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FEW_FILES = 4096  # that the driver may list
 SHARES_A_CORE = 2
 ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 4 << 20
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-!.~'()*:@&=+$,;")  # fixed value: what a URI's path may hold
@@ -24,8 +26,8 @@ def read_documents(spark: SparkSession, folder: str, glob: str = "*.txt") -> Dat
 
     Plain text files are read as bytes, a quarter of the time a file that Spark's text reader takes. That
     reader unpacks files by the end of their names, so it stays for globs that may match packed ones.
-    Spark's readers list all files on the driver, about a kilobyte each, so a folder that can be opened
-    without them is listed by the tasks (see :func:`_shares`).
+    Spark's readers list all files on the driver, about a kilobyte each, so a folder of more than ``FEW_FILES``
+    that can be opened without them is listed by the tasks (see :func:`_shares`).
     """
     name = F.col("_metadata.file_name").alias("file_name")
     if glob.endswith(".txt"):
@@ -42,14 +44,17 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _place(spark: SparkSession, folder: str) -> str | None:
-    """The URI of a folder that tasks can open by themselves and that holds files only; else None."""
+    """The URI of a folder that tasks can open by themselves; None for any other, and for one of few files."""
     if re.search(r"[*?\[\]{}\\%]", folder):
         return None
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     try:
         system, at = _open(uri)
-        return uri if system.get_file_info(at).type == fs.FileType.Directory else None
+        if system.get_file_info(at).type != fs.FileType.Directory:
+            return None
+        few = isinstance(system, fs.LocalFileSystem) and len(list(islice(_names(system, at), FEW_FILES + 1))) <= FEW_FILES
+        return None if few else uri
     except (pa.ArrowException, OSError):  # a store that only Spark opens
         return None
 
